@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitrine.llm import chat, common, mixing
+from vitrine.llm import chat, common, fingerprint, mixing, neardup
 
-_QUERIES = {"op1_chat_formatting": chat.op1_chat_formatting, "op6_mixing": mixing.op6_mixing}
+_QUERIES = {"op1_chat_formatting": chat.op1_chat_formatting, "op6_mixing": mixing.op6_mixing, "op9_fingerprints": fingerprint.op9_fingerprints, "op10_near_duplicates": neardup.op10_near_duplicates}
 
 
 def _run(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
