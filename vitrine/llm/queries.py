@@ -6,9 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitrine.llm import chat, common, fingerprint, mixing, neardup
-
-_QUERIES = {"op1_chat_formatting": chat.op1_chat_formatting, "op6_mixing": mixing.op6_mixing, "op9_fingerprints": fingerprint.op9_fingerprints, "op10_near_duplicates": neardup.op10_near_duplicates}
+from vitrine.llm import chat, common, fingerprint, langid, mixing, neardup, token_orc
+
+_QUERIES = {
+    "op1_chat_formatting": chat.op1_chat_formatting,
+    "op2_token_orc": token_orc.op2_token_orc,
+    "op6_mixing": mixing.op6_mixing,
+    "op7_language_id": langid.op7_language_id,
+    "op9_fingerprints": fingerprint.op9_fingerprints,
+    "op10_near_duplicates": neardup.op10_near_duplicates,
+}
 
 
 def _run(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
