@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitrine.llm import chat, common, fingerprint, html_tpr, langid, media, mixing, neardup, token_orc
+from vitrine.llm import chat, common, fingerprint, html_tpr, langid, media, mixing, neardup, quality, sp_maxplus, token_orc
 
 _QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
     "op2_token_orc": token_orc.op2_token_orc,
     "op3_html_extraction": html_tpr.op3_html_extraction,
+    "op4_sentencepiece": sp_maxplus.op4_sentencepiece,
     "op5_media_columns": media.op5_media_columns,
     "op6_mixing": mixing.op6_mixing,
     "op7_language_id": langid.op7_language_id,
+    "op8_quality_classifier": quality.op8_quality_classifier,
     "op9_fingerprints": fingerprint.op9_fingerprints,
     "op10_near_duplicates": neardup.op10_near_duplicates,
 }
