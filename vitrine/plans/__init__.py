@@ -1 +1,17 @@
+"""Queries over the driver's tables that apply the operators, and their SQL."""
 
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from vitrine.plans import catalogue_queries
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(catalogue_queries.QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(catalogue_queries.SQL)
