@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitrine.plans import catalogue_queries
+from vitrine.plans import catalogue_queries, record_queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(catalogue_queries.QUERIES)
+    return {**catalogue_queries.QUERIES, **record_queries.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(catalogue_queries.SQL)
+    return {**catalogue_queries.SQL, **record_queries.SQL}
