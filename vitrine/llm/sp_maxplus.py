@@ -119,8 +119,11 @@ class Segmenter:
             self.known[u] = array("i", self._word(u)).tobytes()
 
     def words(self, units: list[str]) -> bytes:
-        self.remember(units)
-        return b"".join(map(self.known.__getitem__, units))
+        coded = list(map(self.known.get, units))
+        if None in coded:
+            self.remember(units)
+            coded = map(self.known.__getitem__, units)
+        return b"".join(coded)
 
     def cut(self, core: int, text: str) -> tuple[list[str], int, int]:
         """The whole words of a chunk of `core` characters, whose text goes on a little; where the first starts and the last ends.
