@@ -6,12 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitrine.plans import catalogue_queries, record_queries
+from vitrine.plans import catalogue_queries, record_queries, stream_queries
+from vitrine.workers import let_workers_import
+
+
+def _run(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        let_workers_import(spark)
+        return query(spark, sf_dir)
+
+    return run
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**catalogue_queries.QUERIES, **record_queries.QUERIES}
+    every = {**catalogue_queries.QUERIES, **record_queries.QUERIES, **stream_queries.QUERIES}
+    return {k: _run(f) for k, f in every.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**catalogue_queries.SQL, **record_queries.SQL}
+    return {**catalogue_queries.SQL, **record_queries.SQL, **stream_queries.SQL}
