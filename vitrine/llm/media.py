@@ -40,7 +40,7 @@ def rgb_tensors(images: DataFrame, media: str = "media") -> DataFrame:
     """images with height, width and rgb (uint8 [height, width, 3], row by row) of each JPEG in the column media; a null one has nulls.
     Input columns of these names are replaced."""
     kept = [c for c in images.columns if c not in ("height", "width", "rgb")]
-    schema = images.select(*kept).schema.add("height", "int").add("width", "int").add("rgb", "binary")
+    schema = images.select(*kept).schema.add("height", "integer").add("width", "integer").add("rgb", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
