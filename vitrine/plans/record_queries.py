@@ -215,13 +215,13 @@ def followed_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.with_followed(follows, p.groupBy("brand_id").agg(F.count_distinct("kind").alias("kinds")), catalogue.counts_of(p, "brand_id"))
 
 
-_LINES = "(SELECT user_id AS doc_id, event_id AS line_no, CAST(value AS INT) % 6 AS indent, CASE event_type WHEN 'view' THEN 'link' WHEN 'error' THEN 'heading' WHEN 'click' THEN 'button' ELSE 'text' END AS kind, event_type || event_id AS text FROM events WHERE user_id < 20)"
+_LINES = "(SELECT user_id AS doc_id, event_id AS line_no, CAST(floor(value) AS INT) % 6 AS indent, CASE event_type WHEN 'view' THEN 'link' WHEN 'error' THEN 'heading' WHEN 'click' THEN 'button' ELSE 'text' END AS kind, event_type || event_id AS text FROM events WHERE user_id < 20)"
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
     kinds = F.when(kind == "view", "link").when(kind == "error", "heading").when(kind == "click", "button").otherwise("text")
-    return table(spark, sf_dir, "events").where("user_id < 20").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("line_no"), (F.round("value").cast("int") % 6).alias("indent"), kinds.alias("kind"), F.concat("event_type", F.col("event_id").cast("string")).alias("text"))
+    return table(spark, sf_dir, "events").where("user_id < 20").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("line_no"), (F.floor("value").cast("int") % 6).alias("indent"), kinds.alias("kind"), F.concat("event_type", F.col("event_id").cast("string")).alias("text"))
 
 
 @query(f"SELECT a.doc_id, a.line_no, max(b.line_no) AS parent_line FROM {_LINES} a LEFT JOIN {_LINES} b ON a.doc_id = b.doc_id AND b.line_no < a.line_no AND b.indent < a.indent GROUP BY a.doc_id, a.line_no")
