@@ -5,13 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vitrine.workers import let_workers_import
+
+__all__ = ["SLICE_BYTES", "WORD", "join_checked", "let_workers_import", "read", "shared_dir", "slices", "staged", "text_buffers"]
+
 #: A word, in every operator that counts words: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Python works through a batch in slices of about this many bytes of text, so memory doesn't follow the batch.
@@ -22,13 +25,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def let_workers_import(spark: SparkSession) -> None:
-    """Python workers of a local session find this package even where PYTHONPATH doesn't name it."""
-    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(":"):
-        env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH", "")) if x)
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. A cluster names it in spark.checkpoint.dir; only tests leave it unset."""
     top = spark.conf.get("spark.checkpoint.dir", None)
