@@ -20,6 +20,8 @@ from vitrine.llm.common import join_checked, read, staged
 BIN_WIDTHS = {"word_chars": 0.5, "distinct": 0.08, "upper": 0.05, "marks": 0.04, "line_words": 8.0}
 MAX_BINS = 64
 SMOOTHING = 1.0
+#: Characters without marks or capitals that every text is taken to have besides its own, so that a short one isn't judged by a few.
+SHORT_CHARS = 60
 #: Bounds of a group's pull towards the prior above it, in documents.
 LEAST_STRENGTH, MOST_STRENGTH = 2.0, 1000.0
 #: Bounds of the evidence of one document for its site and of one feature for a document.
@@ -37,7 +39,7 @@ def features(text: Column) -> dict[str, Column]:
     """Numbers of a whole text; a null text is empty, and an empty one has zeros."""
     text = F.coalesce(text, F.lit(""))
     words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    n, chars = F.greatest(F.size(words), F.lit(1)), F.greatest(F.length(text), F.lit(1))
+    n, chars = F.greatest(F.size(words), F.lit(1)), F.length(text) + SHORT_CHARS
     without = lambda pattern: F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
     return {
         "word_chars": F.length(text) / n,
