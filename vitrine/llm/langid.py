@@ -1,13 +1,14 @@
 """Language identification by segmentation-marginalised unigrams.
 
 Each language has a probability for every piece of a fixed public vocabulary. A text's likelihood is the sum over all its segmentations
-into pieces, found by the forward algorithm; no piece crosses white space, so it is a product over words, and a worker remembers the words
-it has seen. The probabilities come from two rounds of expectation-maximisation over the word counts of the labelled texts, each round
+into pieces, found by the forward algorithm. Only letters tell a language, so a text is its runs of letters, each after a space; its likelihood
+is their product, and a worker remembers the words it has seen. The probabilities come from two rounds of expectation-maximisation over the word counts of the labelled texts, each round
 one Spark job whose result is one number per language and piece.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,9 +28,10 @@ SMOOTHING = 0.1
 SCORE_WORDS = 30
 UNDETERMINED = "und"
 #: Words that a Python worker remembers; beyond that it starts afresh, which bounds memory and changes no result.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 #: Longer words are scored in runs of this many characters.
 WORD_CHARS = 200
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 @dataclass
@@ -40,8 +42,8 @@ class Model:
 
 
 def split_words(text: str) -> list[str]:
-    words = text.lower().split()
-    if any(len(w) > WORD_CHARS for w in words):
+    words = _LETTERS.findall(text.lower())
+    if words and len(max(words, key=len)) > WORD_CHARS:
         words = [w[i : i + WORD_CHARS] for w in words for i in range(0, len(w), WORD_CHARS)]
     return words
 
@@ -56,7 +58,7 @@ def fit(docs: DataFrame, tokenizer: str, label: str = "lang", fit_documents: int
         return Model(tokenizer, languages, log_p)
     share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, fit_documents / counts[k]))])
     chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < 1_000_000 * share[F.col("label")])
-    words = chosen.select("label", F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).where("word != ''").groupBy("label", "word").agg(F.count("*").alias("n"))
+    words = chosen.select("label", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word")).groupBy("label", "word").agg(F.count("*").alias("n"))
     words = staged(words, "langid-words")
     for _ in range(ROUNDS):
         expected = np.full(log_p.shape, SMOOTHING)
@@ -106,24 +108,23 @@ class _Scorer:
 
     def text(self, text: str) -> tuple[np.ndarray, int]:
         """log likelihood of the whole text by language, and its words. Long texts go in pieces cut at a space."""
-        total, count, start = np.zeros(len(self.model.languages)), 0, 0
+        total, count, start, letters = np.zeros(len(self.model.languages)), 0, 0, False
         while start < len(text):
             cut = text.find(" ", start + (1 << 20))
             end = cut + 1 if cut >= 0 else len(text)
             words = split_words(text[start:end])
+            letters = letters or any(w[0].isalpha() or any(map(str.isalpha, w)) for w in words)
             start = end
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            if new := set(words).difference(self.known):
-                self.learn(list(new))
+            places = list(map(self.known.get, words))
+            if None in places:
+                if len(self.known) > REMEMBERED:
+                    self.known.clear()
+                self.learn(list({w for w, p in zip(words, places, strict=True) if p is None}) if self.known else list(set(words)))
+                places = list(map(self.known.__getitem__, words))
             if words:
-                total += self.scores[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))].sum(axis=0)
+                total += self.scores[places].sum(axis=0)
                 count += len(words)
-        return total, count
-
-
-def has_letter(text: str) -> bool:
-    return text.lower() != text.upper() or any(map(str.isalpha, text))
+        return total, count if letters else 0
 
 
 _scorers: dict[int, tuple[bytes, _Scorer]] = {}
@@ -155,10 +156,10 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 predicted, scores = [], []
                 for t in rows.column(text):
                     t = t.as_py()
-                    if not t or not model.languages or not has_letter(t):
+                    total, n = scorer.text(t or "") if model.languages else (None, 0)
+                    if not n:
                         predicted.append(UNDETERMINED), scores.append(0.0)
                         continue
-                    total, n = scorer.text(t)
                     total = (total - total.max()) * min(1.0, SCORE_WORDS / max(n, 1))
                     best = int(total.argmax())
                     predicted.append(model.languages[best]), scores.append(float(1 / np.exp(total).sum()))

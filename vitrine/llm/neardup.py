@@ -7,7 +7,7 @@ the threshold of 0.8 misses every one of the 32 bands with probability (1 - 0.8^
 
 Texts with equal sets are one class. In each bucket, classes are first held against one leader, so a bucket costs as many pairs as it has
 members however large it is; only members that stay in different components go on to further leaders, and what remains after that is
-held against all members of other components. Every link is confirmed on the full sets. Components come from alternating large-star
+searched for partners in other components by prefix filtering, which misses none. Every link is confirmed on the full sets. Components come from alternating large-star
 and small-star steps over written tables.
 """
 
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vitrine.llm.common import join_checked, read, slices, staged
@@ -25,8 +25,8 @@ from vitrine.llm.wordhash import mix, shingle_hashes, word_hashes
 
 ROWS, BANDS = 5, 32
 BINS = ROWS * BANDS
-#: Rounds after the first; all but the last give each bucket one leader, the last compares what is left of different components.
-LEADER_ROUNDS = 2
+#: Rounds after the first in which each bucket has one leader, before what is left of different components is compared.
+LEADER_ROUNDS = 1
 _SEEDS = mix(np.arange(1, 2 * BINS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _SEED_1, _SEED_2 = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 _LOW = np.uint64((1 << 40) - 1)
@@ -152,18 +152,17 @@ def near_duplicates(docs: DataFrame, k: int = 5) -> DataFrame:
 
     links = staged(_linked(pair(buckets.where("rep != leader")), sets), "verified")
     tested, label = pair(buckets.where("rep != leader")), staged(components(links), "labels")
-    for salt in range(1, LEADER_ROUNDS + 1):
+    for salt in range(1, LEADER_ROUNDS + 2):
         open_ = _open_buckets(buckets, label)
         if open_.isEmpty():
             break
-        if salt < LEADER_ROUNDS:
+        if salt <= LEADER_ROUNDS:
             order = F.xxhash64("rep", "key", F.lit(salt))
             lead = open_.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("rep").alias("leader"), F.col("n").alias("leader_n"), F.col("component").alias("leader_component"))).alias("l")).select("key", "l.leader", "l.leader_n", "l.leader_component")
-            crossing = open_.join(lead.hint("merge"), "key").where("component != leader_component")
+            found = pair(open_.join(lead.hint("merge"), "key").where("component != leader_component"))
         else:
-            other = open_.select("key", F.col("rep").alias("leader"), F.col("n").alias("leader_n"), F.col("component").alias("leader_component"))
-            crossing = open_.join(other.hint("merge"), "key").where("component < leader_component")
-        more = staged(pair(crossing).join(tested, ["a", "b"], "left_anti"), "more-pairs")
+            found = _prefix_pairs(open_.select("rep", "component").distinct(), sets)
+        more = staged(found.join(tested, ["a", "b"], "left_anti"), "more-pairs")
         tested = tested.union(more)
         found = staged(_linked(more, sets), "verified")
         if not found.isEmpty():
@@ -175,6 +174,24 @@ def near_duplicates(docs: DataFrame, k: int = 5) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def _prefix_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes (rep, component) of different components that can have a similarity of 0.8, by prefix filtering, which is exact.
+
+    With elements in order of rarity, such a pair shares one of the first n - ceil(0.8 n) + 1, and from the first that it shares enough
+    elements are left in both. An element that one set alone has can't be shared, but takes a place, so a text with its own edits throughout
+    has no partners to be tried.
+    """
+    tokens = nodes.join(sets.withColumnRenamed("doc_id", "rep"), "rep").select("rep", "component", F.size("elements").alias("n"), F.explode("elements").alias("e"))
+    often = tokens.groupBy("e").agg(F.count("*").alias("often")).where("often > 1")
+    shared, own = tokens.join(often.hint("merge"), "e"), Window.partitionBy("rep")
+    shared = shared.withColumn("place", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("often", "e")) - 1)
+    prefix = staged(shared.where("place <= n - (4 * n + 4) DIV 5").select("rep", "component", "n", "e", "place"), "prefixes")
+    other = prefix.select("e", *(F.col(c).alias(f"other_{c}") for c in ("rep", "component", "n", "place")))
+    left = 1 + F.least(F.col("n") - F.col("place"), F.col("other_n") - F.col("other_place")) - 1
+    both = prefix.join(other.hint("merge"), "e").where((F.col("component") < F.col("other_component")) & _near_in_size(F.col("n"), F.col("other_n")) & (9 * left >= 4 * (F.col("n") + F.col("other_n"))))
+    return both.select(F.greatest("rep", "other_rep").alias("a"), F.least("rep", "other_rep").alias("b")).distinct()
+
+
 def _open_buckets(buckets: DataFrame, label: DataFrame) -> DataFrame:
     """The rows of the buckets that hold more than one component, with component; written, as several steps read it."""
     named = buckets.select("key", "rep", "n").join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))

@@ -8,6 +8,8 @@ from typing import Any
 import numpy as np
 
 SPACE = "▁"
+#: About what a symbol of a likely word costs, in logarithms.
+SYMBOL = 2.5
 
 
 class Vocabulary:
@@ -102,5 +104,21 @@ class Lattice:
         return beta
 
     def total(self, weights: np.ndarray) -> np.ndarray:
-        """log of the sum over all segmentations of each word: [word, column]."""
-        return self.forward(weights)[np.arange(len(self.lengths)), self.lengths]
+        """log of the sum over all segmentations of each word: [word, column].
+
+        Probabilities are summed as they are, scaled up for each symbol; words whose sum leaves the range of numbers are summed as logarithms.
+        """
+        longest = int(self.lengths.max(initial=0))
+        scaled = np.exp(weights + SYMBOL * (self.ends - self.starts)[:, None])
+        alpha = np.zeros((len(self.lengths), longest + 1, weights.shape[1]))
+        alpha[:, 0] = 1
+        for t, e, heads in self._steps(self.ends, range(1, longest + 1)):
+            alpha[self.word[e[heads]], t] = np.add.reduceat(alpha[self.word[e], self.starts[e]] * scaled[e], heads, axis=0)
+        words = np.arange(len(self.lengths))
+        sums = alpha[words, self.lengths]
+        with np.errstate(divide="ignore"):
+            out = np.log(sums) - SYMBOL * self.lengths[:, None]
+        if not (np.isfinite(sums).all() and (sums > 1e-290).all()):
+            bad = ~(np.isfinite(sums) & (sums > 1e-290)).all(axis=1)
+            out[bad] = self.forward(weights)[words, self.lengths][bad]
+        return out

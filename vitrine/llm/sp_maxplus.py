@@ -33,7 +33,7 @@ from vitrine.llm.pieces import SPACE, vocabulary
 
 CHUNK = 1 << 15
 #: Words that a Python worker remembers; beyond that it starts afresh, which bounds memory and changes no result.
-REMEMBERED = 600_000
+REMEMBERED = 800_000
 #: Stands for a space mark that is in the text itself; no valid text has a lone surrogate.
 LITERAL = "\udc81"
 NEVER = -(1 << 60)
@@ -45,6 +45,7 @@ class Segmenter:
         self.vocab = vocabulary(path)
         self.states = self.vocab.longest
         first = min(self.vocab.ids.values())
+        self.pairs = {p[i : i + 2] for p in self.vocab.ids for i in range(len(p) - 1)}
         self.score = np.zeros(self.vocab.size, np.int64)
         for i in range(self.vocab.size):
             rank = i - first + 1 if i >= first else self.vocab.size
@@ -113,10 +114,22 @@ class Segmenter:
         return out[::-1]
 
     def remember(self, units: list[str]) -> None:
-        if len(self.known) > self.remembered:
-            self.known.clear()
-        for u in set(units).difference(self.known):
-            self.known[u] = array("i", self._word(u)).tobytes()
+        """Learns the pieces of units that aren't known. A unit is cut wherever no piece spans the two characters, and its parts are learned."""
+        known = self.known
+        if len(known) > self.remembered:
+            known.clear()
+        for u in set(units).difference(known):
+            parts, start = [], 0
+            for i in range(1, len(u)):
+                if u[i - 1 : i + 1] not in self.pairs:
+                    parts.append(u[start:i])
+                    start = i
+            parts.append(u[start:])
+            for part in parts:
+                if part not in known:
+                    known[part] = array("i", self._word(part)).tobytes()
+            if start:
+                known[u] = b"".join([known[part] for part in parts])
 
     def words(self, units: list[str]) -> bytes:
         coded = list(map(self.known.get, units))
@@ -143,8 +156,7 @@ class Segmenter:
         words, first, last = self.cut(core, text)
         if first < 0:
             return self._span(text, 0, core, core)
-        self.remember(words)
-        middle = sum(int(self.score[np.frombuffer(self.known[w], np.int32)].sum()) for w in words)
+        middle = int(self.score[np.frombuffer(self.words(words), np.int32)].sum())
         head = self._span(text, 0, first, first)[:, 0]
         tail = self._span(text, last, core, core)[0]
         out = np.maximum(head[:, None] + tail[None, :] + middle, NEVER)

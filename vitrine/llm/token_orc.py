@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from typing import Any
 
@@ -23,9 +24,20 @@ from vitrine.llm.common import read, shared_dir, slices
 
 END_ID = 1
 #: Encodings of words that a Python worker remembers; beyond that it starts afresh, which bounds memory and changes no result.
-REMEMBERED = 600_000
-_PLAIN = re.compile("[a-z]+")
+REMEMBERED = 1_000_000
+#: Lower-case letters that no normalization changes.
+_PLAIN = re.compile("[a-zß-öø-ÿ]+")
 _PUNCTUATION = ".,!?;:"
+
+
+def _byte_characters() -> list[str]:
+    """The character that byte-level vocabularies write for each byte: itself if it prints, else one of the next free ones."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
+
+
+_BYTE_CHARACTERS = _byte_characters()
 _workers: dict[str, "WordEncoder"] = {}
 
 
@@ -46,21 +58,24 @@ class WordEncoder:
     def learn(self, words: set[str]) -> None:
         rest, stems = [], {}
         for w in words:
-            low = w.lower() if w.isascii() else w
+            low = w.lower()
             stem = low.rstrip(_PUNCTUATION)
             if _PLAIN.fullmatch(stem):
                 stems[w] = (stem, low[len(stem) :])
             else:
                 rest.append(w)
-        #: A run of ASCII letters is one piece to the splitter and so is the punctuation that ends it.
-        new = {x for pair in stems.values() for x in pair if x and x not in self.known}
-        tails = [x for x in new if not x.isalpha()]
-        self.known.update(zip(tails, self._encode(tails), strict=True))
-        for x in new.difference(tails):
-            self.known[x] = np.array([t.id for t in self.model.tokenize(x)], np.int32).tobytes()
-        self.known[""] = b""
-        self.known.update((w, self.known[a] + self.known[b]) for w, (a, b) in stems.items())
-        self.known.update(zip(rest, self._encode(rest), strict=True))
+        #: A run of such letters is one piece to the splitter and so is the punctuation that ends it; pieces are read as mapped bytes.
+        new = {x for pair in stems.values() for x in pair}.difference(self.known)
+        tails = [x for x in new if x and x[0] in _PUNCTUATION]
+        parts = {"": b"", **dict(zip(tails, self._encode(tails), strict=True))}
+        for x in new.difference(parts):
+            mapped = x if x.isascii() else "".join(map(_BYTE_CHARACTERS.__getitem__, x.encode()))
+            parts[x] = array("i", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+        known = self.known
+        for w, pair in stems.items():
+            a, b = (parts[x] if x in parts else known[x] for x in pair)
+            known[w] = a + b
+        known.update(zip(rest, self._encode(rest), strict=True))
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text as little-endian int32. Long texts go in pieces cut at a space, so memory doesn't follow them."""
@@ -70,11 +85,13 @@ class WordEncoder:
             end = cut + 1 if cut >= 0 else len(text)
             words = text[start:end].replace("\n", " ").split(" ")
             start = end
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            if new := set(words).difference(self.known):
-                self.learn(new)
-            parts.append(b"".join(map(self.known.__getitem__, words)))
+            coded = list(map(self.known.get, words))
+            if None in coded:
+                if len(self.known) > REMEMBERED:
+                    self.known.clear()
+                self.learn({w for w, c in zip(words, coded, strict=True) if c is None} if self.known else set(words))
+                coded = map(self.known.__getitem__, words)
+            parts.append(b"".join(coded))
         return b"".join(parts)
 
 
@@ -106,7 +123,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str) -> None:
                 place += int(ends[-1])
 
     spark = docs.sparkSession
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions("doc_id", "text")
     options = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20), "orc.compress": "ZSTD"}
     dealt.mapInArrow(run, _STORED).write.options(**options).orc(path)
 

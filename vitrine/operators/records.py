@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vitrine.functions.predicates import is_product_link
 from vitrine.functions.urls import absolute
+from vitrine.operators.ranking import positioned
 
 
 def brand_record(brands: DataFrame) -> DataFrame:
@@ -70,7 +71,8 @@ def run_history(runs: DataFrame, key: str, start: str) -> DataFrame:
 def jobs_with_status(jobs: DataFrame, status: str | None) -> DataFrame:
     """Jobs from the newest, of one status if given, with how many there are of each after that filter."""
     rows = jobs if status is None else jobs.where(F.col("status") == status)
-    return rows.withColumn("of_status", F.count("*").over(Window.partitionBy("status"))).withColumn("position", F.row_number().over(Window.orderBy(F.col("started").desc(), F.col("job_id").desc())))
+    counted = rows.join(F.broadcast(rows.groupBy("status").agg(F.count("*").alias("of_status"))), "status")
+    return positioned(counted, F.col("started").desc(), F.col("job_id").desc())
 
 
 def fingerprint_matches(old: Column, new: Column, share: float = 0.7) -> Column:

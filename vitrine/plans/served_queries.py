@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.operators import catalogue, extract, records, trees
+from vitrine.operators.ranking import positioned
 from vitrine.plans.catalogue_queries import Query, category_nodes, category_products, products, table, variants
 from vitrine.sources.catalogue import NODES_SQL, PRODUCTS_SQL, VARIANTS_SQL
 
@@ -55,7 +56,7 @@ def run_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.run_history(runs, "o_custkey", "o_orderdate").select("run_id", "run_no", "days_since")
 
 
-@query("SELECT o_orderkey AS job_id, count(*) OVER (PARTITION BY o_orderstatus) AS of_status, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey DESC)::INT AS position FROM orders WHERE o_orderstatus = 'P'")
+@query("SELECT o_orderkey AS job_id, count(*) OVER (PARTITION BY o_orderstatus) AS of_status, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey DESC) AS position FROM orders WHERE o_orderstatus = 'P'")
 def jobs_with_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_orderdate").alias("started"), F.col("o_orderstatus").alias("status"))
     return records.jobs_with_status(jobs, "P").select("job_id", "of_status", "position")
@@ -108,8 +109,8 @@ def json_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.try_variant_get("p", "$.k", "int").alias("k"))
 
 
-@query(f"SELECT product_id, price, row_number() OVER (ORDER BY p DESC, product_id)::INT AS position FROM (SELECT *, coalesce(TRY_CAST(regexp_replace(CASE WHEN product_id % 7 = 0 THEN 'sold out' ELSE '$' || price END, '[^0-9.]', '', 'g') AS DOUBLE), 0) AS p FROM {PRODUCTS_SQL})")
+@query(f"SELECT product_id, price, row_number() OVER (ORDER BY p DESC, product_id) AS position FROM (SELECT *, coalesce(TRY_CAST(regexp_replace(CASE WHEN product_id % 7 = 0 THEN 'sold out' ELSE '$' || price END, '[^0-9.]', '', 'g') AS DOUBLE), 0) AS p FROM {PRODUCTS_SQL})")
 def shown_price_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = F.when(F.col("product_id") % 7 == 0, "sold out").otherwise(F.concat(F.lit("$"), F.col("price").cast("string")))
-    order = Window.orderBy(catalogue.price_of_text(shown).desc(), "product_id")
-    return products(spark, sf_dir).select("product_id", "price", F.row_number().over(order).alias("position"))
+    rows = products(spark, sf_dir).select("product_id", "price", catalogue.price_of_text(shown).alias("shown"))
+    return positioned(rows, F.col("shown").desc(), F.col("product_id").asc()).drop("shown")
