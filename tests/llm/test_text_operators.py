@@ -219,6 +219,22 @@ def test_main_text() -> None:
         assert html_tpr.main_text(page) == text
 
 
+def test_main_text_in_several_parts() -> None:
+    long = [f"<p>Sentence {k}, which is long enough to count, has commas; it ends here.</p>" for k in range(6)]
+    plain = [x[3:-4] for x in long]
+    for page, text in (
+        (f"<h1>Title</h1><p>lead</p><div class=body>{''.join(long)}</div>", ["Title", "lead", *plain]),
+        (f"<div><a>Home</a></div><h1><a>Title</a></h1><div>by me</div><div><div>{''.join(long)}</div></div>", ["Title", "by me", *plain]),
+        (f"<div>{''.join(long[:4])}</div><div>{''.join(long[4:])}</div>", plain),
+        (f"<div>{''.join(long[:4])}</div><h2>Part</h2><div>{''.join(long[4:])}</div>", [*plain[:4], "Part", *plain[4:]]),
+        (f"<article>{''.join(long[:5])}</article><article>Short</article>", [*plain[:5], "Short"]),
+        (f"<article>{long[0]}</article><div><article>{long[1]}</article></div>", plain[:2]),
+        (f"<article><p>Teaser, short.</p></article><div>{''.join(long)}</div>", ["Teaser, short.", *plain]),
+        (f"<main><h1>Title</h1><article>{''.join(long)}</article></main>", ["Title", *plain]),
+    ):
+        assert html_tpr.main_text(PAGE % page) == "\n".join(text)
+
+
 def test_extract(spark) -> None:
     rows = [(1, "u", PAGE % f"<article>{BODY}</article>", "x"), (1, "u", PAGE % f"<article>{BODY}</article>", "x"), (None, None, None, None), (2, "v", "<article>" + "<p>long, text.</p>" * 20_000 + "</article>", "y")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")

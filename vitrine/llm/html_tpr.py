@@ -1,9 +1,10 @@
 """HTML extraction by tag-path ratios.
 
 Text nodes are grouped by the path of tags from the root. Per path, text length and punctuation are summed and set against its nodes,
-smoothed over neighbouring nodes in page order, and fused by their product; the paths above the threshold hold the content. The
-region that holds most of that text is then kept as a whole, so that a short paragraph or a heading stays, without the parts of it that
-tags, roles or class names show to be menus, notices, adverts, forms or comments.
+smoothed over neighbouring nodes in page order, and fused by their product; the paths above the threshold hold the content. All their
+nodes and all named articles are kept, and what lies beside them in the smallest container that holds them all, so that a short
+paragraph or a heading stays; where the page's highest heading stands before that container, so is what follows from it on. The parts
+that tags, roles or class names show to be menus, notices, adverts, forms or comments are left out.
 """
 
 from __future__ import annotations
@@ -35,12 +36,11 @@ _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _PUNCTUATION = re.compile(r"[.,;:!?，。；：！？、]")
 _ARTICLE = {"article", "main"}
-#: Elements that can be the region of the main text where no article is named.
+#: Elements that, besides an article, can be the region of the main text.
 CONTAINERS = {"body", "center", "div", "section", "table", "td"}
 #: Of the mean score, the share at which a node counts as content.
 THRESHOLD = 0.5
-#: Of the content text, the share that a narrower region must hold to be preferred.
-REGION_SHARE = 0.6
+HEADINGS = {f"h{k}": k for k in range(1, 7)}
 
 
 def _marked(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
@@ -149,23 +149,30 @@ def main_text(page: str | None) -> str:
     path = tag_paths(tags, parents)
     scores = content_scores(lengths, marks, np.array([path[nodes[i][0]] for i in filled]))
     chosen = scores >= THRESHOLD * scores.mean()
-    weight = np.zeros(len(parents))
-    for i, w in zip(filled, lengths * chosen, strict=True):
-        weight[nodes[i][0]] += w
-    for e in range(len(parents) - 1, 0, -1):
-        weight[parents[e]] += weight[e]
-    named = [e for e in range(len(parents)) if articles[e] and weight[e] > 0]
-    if named:
-        region = max(named, key=lambda e: (weight[e], e))
-    else:
-        region = max((e for e in range(len(parents)) if tags[e] in CONTAINERS and weight[e] >= REGION_SHARE * weight[0]), default=0)
+    article, heading = [0] * len(parents), [0] * len(parents)  # the outermost article around an element, the level of a heading
+    for e in range(1, len(parents)):
+        article[e] = article[parents[e]] or e * articles[e]
+        heading[e] = HEADINGS.get(tags[e], heading[parents[e]])
+    anchors = {article[nodes[i][0]] or nodes[i][0] for i, c in zip(filled, chosen, strict=True) if c or article[nodes[i][0]]}
+    below = [0] * len(parents)
+    for e in range(len(parents) - 1, -1, -1):
+        below[e] += e in anchors
+        if e:
+            below[parents[e]] += below[e]
+    #: The lowest common ancestor of all anchors.
+    region = max(e for e in range(len(parents)) if below[e] == len(anchors))
+    while region and not (tags[region] in CONTAINERS or articles[region]):
+        region = parents[region]
     inside = [False] * len(parents)
     inside[region] = True
     for e in range(region + 1, len(parents)):
         inside[e] = inside[parents[e]]
+    first = next(i for i in filled if inside[nodes[i][0]])
+    highest = min((heading[nodes[i][0]] for i in filled if heading[nodes[i][0]]), default=0)
+    titled = next((i for i in filled if i < first and highest and heading[nodes[i][0]] == highest), first)
     blocks: dict[int, list[str]] = {}
-    for e, b, t, _ in nodes:
-        if inside[e]:
+    for i, (e, b, t, _) in enumerate(nodes):
+        if inside[e] or titled <= i < first:
             blocks.setdefault(b, []).append(t)
     return "\n".join(t for t in (" ".join("".join(x).split()) for x in blocks.values()) if t)
 
