@@ -32,8 +32,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; columns unchanged."""
-    return mixing.mixed_documents(docs)
+    """Documents as often as the mix, weighted by `labels`, takes them; columns unchanged."""
+    return mixing.mixed_documents(docs, common.read(spark, sf_dir, "labels"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

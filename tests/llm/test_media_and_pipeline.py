@@ -90,6 +90,15 @@ def test_pipeline(spark) -> None:
     assert corpus_pipeline.run(spark, SF).count() == len(back)
 
 
+def test_pipeline_mixes_by_quality(spark) -> None:
+    docs, labels = common.read(spark, SF, "documents"), common.read(spark, SF, "labels")
+    taken = {r["doc_id"]: r["times"] for r in mixing.mix(docs, labels).collect() if r["times"]}
+    mixed = corpus_pipeline.mix_sources(spark, docs, SF)
+    assert mixed.columns == docs.columns
+    assert {r["doc_id"]: r["count"] for r in mixed.groupBy("doc_id").count().collect()} == taken
+    assert {r["doc_id"]: r["times"] for r in mixing.mix(docs).collect() if r["times"]} != taken
+
+
 def test_stages_take_odd_rows(spark, odd, tmp_path) -> None:
     odd.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")).write.parquet(f"{tmp_path}/labels.parquet")
     for docs in (odd.withColumn("n_chars", F.length("text").cast("long")), odd.where("false")):

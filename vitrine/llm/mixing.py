@@ -106,11 +106,13 @@ def mix(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     return mixed.select("doc_id", "source", "size", "source_size", "target", "times", (F.col("size") * F.col("times")).alias("taken"))
 
 
-def mixed_documents(docs: DataFrame) -> DataFrame:
-    """docs as the mix has them: each row as often as it is taken, its columns unchanged. All documents weigh 1."""
-    key, name = exponential_key(F.col("doc_id"), F.lit(1.0)), source_name(F.col("source"))
-    keyed = staged(docs.select("source", word_count(F.col("text")).alias("size"), name.alias("name"), key.alias("key")), "mix-keys")
-    times = apply_decisions(docs.select(F.struct("*").alias("row"), "doc_id", "source"), source_decisions(keyed), name, key)
+def mixed_documents(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """docs as the mix has them: each row as often as it is taken, its columns unchanged. labels as in mix()."""
+    weighted = lambda rows: quality_weights(rows, labels) if labels is not None else rows.withColumn("weight", F.lit(1.0))
+    key, name = exponential_key(F.col("doc_id"), F.col("weight")), source_name(F.col("source"))
+    keyed = weighted(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    keyed = staged(keyed.select("source", "size", name.alias("name"), key.alias("key")), "mix-keys")
+    times = apply_decisions(weighted(docs.select(F.struct("*").alias("row"), "doc_id", "source")), source_decisions(keyed), name, key)
     return times.where("times > 0").select("row", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int")))).select("row.*")
 
 
