@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import random
 from pathlib import Path
 
 import pytest
@@ -122,6 +123,17 @@ def test_sinks(spark, tmp_path: Path) -> None:
     assert spark.read.parquet(str(tmp_path / "index/index_metadata")).first()["product_count"] == 1
 
 
+def test_nearest_above_at_any_indent(spark) -> None:
+    rng = random.Random(1)
+    rows = [(doc, k, rng.choice([None, *range(-1, 60)]), f"x{k}") for doc in (1, 2, None) for k in range(150)]
+    want = {(d, k): max((j for e, j, other, _ in rows if e == d and j < k and i is not None and other is not None and other < i), default=None) for d, k, i, _ in rows}
+    lines = spark.createDataFrame(rows, "doc_id long, line_no long, indent int, kind string")
+    out = joins.nearest_above(lines)
+    assert out.columns == [*lines.columns, "parent_line"] and {(r["doc_id"], r["line_no"]): r["parent_line"] for r in out.collect()} == want
+    deep = spark.createDataFrame([(1, k, 2 * k, "x") for k in range(40)], lines.schema)
+    assert {r["line_no"]: r["parent_line"] for r in joins.nearest_above(deep).collect()} == {k: k - 1 if k else None for k in range(40)}
+
+
 def test_small_operators(spark) -> None:
     lines = spark.createDataFrame([(1, 1, 0, "heading", "H"), (1, 2, 2, "link", "L"), (1, 3, 0, "link", "M")], "doc_id int, line_no int, indent int, kind string, text string")
     assert {r["line_no"]: r["parent_line"] for r in joins.nearest_above(lines).collect()} == {1: None, 2: 1, 3: None}

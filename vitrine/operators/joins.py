@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 
 def user_of_session(sessions: DataFrame, users: DataFrame, now: str) -> DataFrame:
@@ -29,14 +33,28 @@ def with_followed(follows: DataFrame, brands: DataFrame, counts: DataFrame) -> D
 def nearest_above(lines: DataFrame) -> DataFrame:
     """For each line (doc_id, line_no, indent, kind), the nearest earlier one of smaller indent: parent_line; null at the top.
 
-    For every indent that occurs, the last line with it so far is carried forward by one window, so a document is sorted once and never joined with itself.
+    A document's lines are streamed in order with the stack of those still open, so it is sorted once, never joined with itself nor held
+    whole, and any indent may occur. A line without an indent has no parent and is none.
     """
-    w = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    deepest = 24
-    seen = [F.last(F.when(F.col("indent") == d, F.col("line_no")), ignorenulls=True).over(w).alias(f"_at_{d}") for d in range(deepest)]
-    marked = lines.select("*", *seen)
-    above = F.array_max(F.array(*[F.when(F.col("indent") > d, F.col(f"_at_{d}")) for d in range(deepest)]))
-    return marked.select(*lines.columns, above.alias("parent_line"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, opened = None, []
+        for batch in batches:
+            parents = []
+            for of, line, indent in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "line_no", "indent")), strict=True):
+                if of != doc:
+                    doc, opened = of, []
+                while indent is not None and opened and opened[-1][0] >= indent:
+                    opened.pop()
+                parents.append(opened[-1][1] if indent is not None and opened else None)
+                if indent is not None:
+                    opened.append((indent, line))
+            columns = dict(zip(batch.schema.names, batch.columns, strict=True)) | {"parent_line": pa.array(parents, batch.column("line_no").type)}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    lines = lines.drop("parent_line")
+    kind = lines.schema["line_no"].dataType
+    return lines.repartition("doc_id").sortWithinPartitions("doc_id", "line_no").mapInArrow(run, StructType([*lines.schema.fields, StructField("parent_line", kind)]))
 
 
 def carried_headings(lines: DataFrame) -> DataFrame:
