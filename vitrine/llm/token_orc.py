@@ -7,15 +7,18 @@ known when it is written, plus the sum of the files before, one number per file.
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,11 +26,24 @@ from pyspark.sql import functions as F
 from vitrine.llm.common import read, shared_dir, slices
 
 END_ID = 1
-#: Encodings of words that a Python worker remembers; beyond that it starts afresh, which bounds memory and changes no result.
-REMEMBERED = 1_000_000
-#: Lower-case letters that no normalization changes.
-_PLAIN = re.compile("[a-zß-öø-ÿ]+")
-_PUNCTUATION = ".,!?;:"
+#: Characters of a long text that are encoded at once.
+PIECE = 1 << 20
+#: Encodings of words in the younger of the two generations that a Python worker remembers, which bounds memory and changes no result.
+REMEMBERED = 500_000
+#: Rows of one file, about, so that files follow the data.
+FILE_ROWS = 200_000
+#: A word of lower-case letters that no normalization changes, and the punctuation that ends it.
+_PLAIN = re.compile("^([a-zß-öø-ÿ]+)([.,!?;:]*)$", re.M)
+#: Words of such letters, digits and ASCII marks, and the pieces that the splitter makes of them.
+_LATIN = re.compile("[!-@[-~ß-öø-ÿ]+")
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@[-`{-~]+")
+#: What a tokenizer file must say for its words to be encoded one by one.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLITTER = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [{"type": "Split", "pattern": {"Regex": _SPLITTER}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}],
+}
 
 
 def _byte_characters() -> list[str]:
@@ -41,58 +57,110 @@ _BYTE_CHARACTERS = _byte_characters()
 _workers: dict[str, "WordEncoder"] = {}
 
 
+def encodes_by_word(tokenizer: Any) -> bool:
+    """Whether a tokenizer is one whose normalizer and splitter never look across a space, as the fast path takes it to be."""
+    said = json.loads(tokenizer.to_str())
+    model = said["model"]
+    marks = [x["content"] for x in said["added_tokens"]]
+    plain = not any(x["normalized"] or x["lstrip"] or x["rstrip"] or x["single_word"] for x in said["added_tokens"]) and all(m.startswith("<|") and " " not in m for m in marks)
+    bare = model["type"] == "BPE" and not (model["dropout"] or model["unk_token"] or model["continuing_subword_prefix"] or model["byte_fallback"] or model["ignore_merges"])
+    return plain and bare and said["normalizer"] == _NORMALIZER and said["pre_tokenizer"] == _PRE_TOKENIZER and not (said["post_processor"] or said["truncation"] or said["padding"])
+
+
 class WordEncoder:
-    """A tokenizer whose normalizer and splitter never look across white space, with its words' encodings remembered as int32 bytes."""
+    """Encodes whole texts with the tokenizers library. Where that allows it, texts are encoded word by word and a worker remembers the
+    words' encodings, as int32 bytes, in two generations: words met again move to the younger one, which replaces the older when full."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
+        #: Spark runs a task on every core already.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer: Any = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.by_word = encodes_by_word(self.tokenizer)
+        self.remembered = remembered
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def _encode(self, words: list[str]) -> Iterator[bytes]:
-        for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False):
+    def _encode(self, texts: list[str]) -> Iterator[bytes]:
+        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
             yield np.array(e.ids, np.int32).tobytes()
 
-    def learn(self, words: set[str]) -> None:
-        rest, stems = [], {}
-        for w in words:
-            low = w.lower()
-            stem = low.rstrip(_PUNCTUATION)
-            if _PLAIN.fullmatch(stem):
-                stems[w] = (stem, low[len(stem) :])
+    def _pieces(self, pieces: Iterable[str]) -> None:
+        """Learns runs of one kind of character, each a piece to the splitter; pieces are read as mapped bytes."""
+        known, older, tokenize = self.known, self.older, self.model.tokenize
+        for x in pieces:
+            if x in older:
+                known[x] = older[x]
             else:
-                rest.append(w)
-        #: A run of such letters is one piece to the splitter and so is the punctuation that ends it; pieces are read as mapped bytes.
-        new = {x for pair in stems.values() for x in pair}.difference(self.known)
-        tails = [x for x in new if x and x[0] in _PUNCTUATION]
-        parts = {"": b"", **dict(zip(tails, self._encode(tails), strict=True))}
-        for x in new.difference(parts):
-            mapped = x if x.isascii() else "".join(map(_BYTE_CHARACTERS.__getitem__, x.encode()))
-            parts[x] = array("i", [t.id for t in self.model.tokenize(mapped)]).tobytes()
-        known = self.known
-        for w, pair in stems.items():
-            a, b = (parts[x] if x in parts else known[x] for x in pair)
-            known[w] = a + b
-        known.update(zip(rest, self._encode(rest), strict=True))
-
-    def encode(self, text: str) -> bytes:
-        """The ids of a whole text as little-endian int32. Long texts go in pieces cut at a space, so memory doesn't follow them."""
+                mapped = x if x.isascii() else "".join(map(_BYTE_CHARACTERS.__getitem__, x.encode()))
+                known[x] = array("i", [t.id for t in tokenize(mapped)]).tobytes()
+
+    def learn(self, words: set[str]) -> None:
+        if len(self.known) > self.remembered:
+            self.older, self.known = self.known, {}
+        older, known = self.older, self.known
+        if older:
+            met = [w for w in words if w in older]
+            known.update(zip(met, map(older.__getitem__, met), strict=True))
+            words = words.difference(met)
+        plain = _PLAIN.findall("\n".join(words))
+        rest = words.difference([a + b for a, b in plain])
+        mixed = [(w, _PIECES.findall(w)) for w in rest if _LATIN.fullmatch(w) and "<|" not in w]
+        self._pieces({x for pair in plain for x in pair}.union(*(parts for _, parts in mixed)).difference(known))
+        known.update([(a + b, known[a] + known[b]) for a, b in plain if b])
+        known.update([(w, b"".join(map(known.__getitem__, parts))) for w, parts in mixed])
+        odd = list(rest.difference([w for w, _ in mixed]))
+        known.update(zip(odd, self._encode(odd), strict=True))
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        coded = list(map(self.known.get, words))
+        if None in coded:
+            self.learn({w for w, c in zip(words, coded, strict=True) if c is None} if self.known else set(words))
+            coded = list(map(self.known.get, words))
+            if None in coded:  # the younger generation was replaced
+                known, older = self.known, self.older
+                coded = [known[w] if w in known else older[w] for w in words]
+        return coded
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and how many each has. Only the distinct words of the texts are looked up one by one."""
+        if not self.by_word:
+            coded = list(self._encode(texts))
+            return np.frombuffer(b"".join(coded), np.int32), np.array([len(x) // 4 for x in coded], np.int64)
+        lists = pc.split_pattern(pa.array([_lowered(t).replace("\n", " ") for t in texts], pa.large_string()), " ")
+        words = lists.values.dictionary_encode()
+        coded = self.encode_words(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        arena, size = np.frombuffer(b"".join(coded), np.int32), np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        at = words.indices.to_numpy()
+        length = size[at]
+        ends = np.cumsum(length)
+        ids = arena[np.repeat((np.cumsum(size) - size)[at] - (ends - length), length) + np.arange(ends[-1])]
+        return ids, np.diff(np.concatenate([[0], ends])[lists.offsets.to_numpy()])
+
+    def encode(self, text: str) -> np.ndarray:
+        """The ids of a text of any length. Long ones go in pieces cut at a space, so memory doesn't follow them."""
+        if len(text) <= PIECE or not self.by_word:
+            return self.encode_all([text])[0]
         parts, start = [], 0
         while start < len(text):
-            cut = text.find(" ", start + (1 << 20))
+            cut = text.find(" ", start + PIECE)
             end = cut + 1 if cut >= 0 else len(text)
-            words = text[start:end].replace("\n", " ").split(" ")
+            parts.append(self.encode_all([text[start:end]])[0])
             start = end
-            coded = list(map(self.known.get, words))
-            if None in coded:
-                if len(self.known) > REMEMBERED:
-                    self.known.clear()
-                self.learn({w for w, c in zip(words, coded, strict=True) if c is None} if self.known else set(words))
-                coded = map(self.known.__getitem__, words)
-            parts.append(b"".join(coded))
-        return b"".join(parts)
+        return np.concatenate(parts)
+
+
+def _lowered(text: str) -> str:
+    """The text in lower case if that changes single characters of Latin-1 alone, and no special token can arise by it; else the text."""
+    if "<|" in text:
+        return text
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
 
 
 def splits_at_space(path: str) -> WordEncoder:
@@ -110,20 +178,23 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str) -> None:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, place = splits_at_space(tokenizer), TaskContext.get().partitionId(), 0
-        end = np.array([END_ID], np.int32).tobytes()
         for batch in batches:
             for rows in slices(batch):
-                coded = [encoder.encode(t.as_py() or "") + end for t in rows.column("text")]
-                ends = np.cumsum([0, *(len(x) // 4 for x in coded)])
-                counts = np.diff(ends)
+                texts = [t or "" for t in rows.column("text").to_pylist()]
+                ids, counts = encoder.encode_all(texts) if len(texts) > 1 else ((one := encoder.encode(texts[0])), np.array([len(one)]))
+                ids, counts = np.insert(ids, np.cumsum(counts), END_ID), counts + 1
+                ends = np.concatenate([[0], np.cumsum(counts)])
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id"), pa.array(np.full(len(rows), part, np.int32)), pa.array(place + ends[:-1]), pa.array(counts.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(coded), np.int32)))],
+                    [rows.column("doc_id"), pa.array(np.full(len(rows), part, np.int32)), pa.array(place + ends[:-1]), pa.array(counts.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))],
                     ["doc_id", "part", "place", "n_tokens", "ids"],
                 )
                 place += int(ends[-1])
 
     spark = docs.sparkSession
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    files = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count() // FILE_ROWS)
+    #: The heads of texts spread the rows of one id, or of none, over files; they sort as the texts do.
+    dealt = docs.repartitionByRange(files, "doc_id", F.substring("text", 1, 8)).sortWithinPartitions("doc_id", "text")
     options = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20), "orc.compress": "ZSTD"}
     dealt.mapInArrow(run, _STORED).write.options(**options).orc(path)
 
