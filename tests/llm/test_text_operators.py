@@ -11,7 +11,7 @@ import pytest
 import reference
 from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
 
-from vitrine.llm import html_tpr, langid, neardup, pieces, sp_maxplus, token_orc, wordhash
+from vitrine.llm import common, html_tpr, langid, neardup, pieces, sp_maxplus, token_orc, wordhash
 from vitrine.llm.common import shared_dir
 
 SF = "/root/testdata/sf0.001"
@@ -137,7 +137,13 @@ def unigram_library(own: sp_maxplus.Segmenter) -> SentencePieceProcessor:
 def chunked(own: sp_maxplus.Segmenter, text: str, size: int) -> np.ndarray:
     x = sp_maxplus.prepared(text)
     parts = [(min(size, len(x) - i), x[i : i + size + own.states]) for i in range(0, len(x), size)]
-    states = sp_maxplus.boundary_states([own.matrix(*p) for p in parts])
+    scores, maps, states = [np.where(np.arange(own.states) == 0, 0, sp_maxplus.NEVER)], [], [0]
+    for p in parts:
+        maps.append(own.entering(*p, scores[-1]))
+        scores.append(sp_maxplus.advanced(scores[-1], own.matrix(*p)))
+    for m in reversed(maps):
+        states.append(int(m[states[-1]]))
+    states.reverse()
     return np.frombuffer(b"".join(own.trace(c, t, a, b) for (c, t), a, b in zip(parts, states[:-1], states[1:], strict=True)), np.int32)
 
 
@@ -153,10 +159,11 @@ def test_pieces_are_the_best_segmentation(spark) -> None:
             part = text[:300]
             whole = np.frombuffer(own.words(sp_maxplus._UNITS.findall(sp_maxplus.prepared(part))), np.int32)
             cut = chunked(own, part, size)
-            assert own.decode(cut) == part and score(cut) == score(whole)
-    for text in ("  a▁b\n\n  \tc ", "日本語😀" * 30, "x" * 300, " " * 40 + "b", "▁▁", "\x00\n"):
+            assert own.decode(cut) == part and (cut == whole).all()
+    for text in ("  a▁b\n\n  \tc ", "日本語😀" * 30, "x" * 300, " " * 40 + "b", "▁▁", "\x00\n", "banana" * 40, "ababab " * 20 + "e" * 150):
         for size in (5, 16, 40):
-            assert own.decode(chunked(own, text, size)) == text
+            whole = np.frombuffer(own.words(sp_maxplus._UNITS.findall(sp_maxplus.prepared(text))), np.int32)
+            assert own.decode(chunked(own, text, size)) == text and (chunked(own, text, size) == whole).all()
 
 
 def test_max_plus_product_is_associative() -> None:
@@ -164,6 +171,16 @@ def test_max_plus_product_is_associative() -> None:
     assert (sp_maxplus.product(sp_maxplus.product(a, b), c) == sp_maxplus.product(a, sp_maxplus.product(b, c))).all()
 
 
+def test_ids_do_not_depend_on_chunks(spark, odd) -> None:
+    """Chunks far smaller than words, and documents of more chunks than one group of the scan holds."""
+    sf = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").where("doc_id % 16 = 0 AND length(text) < 4000")
+    more = spark.createDataFrame([(-1, "xy" * 3000 + " end"), (-2, "日本語" * 500)], "doc_id long, text string")
+    docs = common.staged(odd.select("doc_id", "text").union(sf).union(more), "chunk-test")
+    want = sorted(map(tuple, sp_maxplus.encode(docs, PIECES).collect()), key=str)
+    for chunk in (17, 64, 1000):
+        assert sorted(map(tuple, sp_maxplus.encode(docs, PIECES, chunk).collect()), key=str) == want
+
+
 def test_pieces_in_spark(spark, odd) -> None:
     texts = sorted((r["doc_id"] or -1, r["text"] or "") for r in odd.collect())
     for chunk in (sp_maxplus.CHUNK, 1000):
