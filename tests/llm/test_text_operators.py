@@ -257,3 +257,43 @@ def test_extract(spark) -> None:
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
     got = html_tpr.extract(pages).collect()
     assert sorted((r["page_id"] or 0, r["n_chars"]) for r in got) == [(0, 0), (1, len(TEXT)), (1, len(TEXT)), (2, 20_000 * 12 - 1)] and html_tpr.extract(pages.where("false")).count() == 0
+
+
+def long_words() -> list[str]:
+    rng = random.Random(8)
+    return ["a" * 1500, "".join(rng.choices("abcdefghij", k=1300)), "日本語" * 400, "".join(rng.choices("thehndsöก", k=2100))]
+
+
+def test_language_of_long_words() -> None:
+    """Words of more than 1,000 letters against a sum in logarithms, whole and in blocks; their place in a batch doesn't count."""
+    vocab = pieces.vocabulary(PIECES)
+    log_p = np.log(np.random.default_rng(1).dirichlet(np.ones(vocab.size), 3).T + 1e-12)
+    want = []
+    for w in long_words():
+        symbols = vocab.symbols("▁" + w)
+        alpha = np.full((len(symbols) + 1, 3), -np.inf)
+        alpha[0] = 0
+        for i, s in enumerate(symbols):
+            if isinstance(s, int):
+                alpha[i + 1] = np.logaddexp(alpha[i + 1], alpha[i] + log_p[s])
+                continue
+            for j in range(i + 1, min(len(symbols), i + vocab.longest) + 1):
+                if all(isinstance(c, str) for c in symbols[i:j]) and (p := vocab.ids.get("".join(symbols[i:j]))) is not None:
+                    alpha[j] = np.logaddexp(alpha[j], alpha[i] + log_p[p])
+        want.append(alpha[-1])
+    scorer = langid._Scorer(langid.Model(PIECES, ["a", "b", "c"], log_p), remembered=3)
+    assert np.allclose(scorer.of(long_words()), want)
+    for block in (5, 100, 1299, 5000):
+        assert np.allclose([pieces.total_of_long(vocab, "▁" + w, log_p, block) for w in long_words()], want)
+    short = [f"w{i}" for i in range(50)]
+    alone = np.concatenate([scorer.of([w]) for w in short])
+    assert np.allclose(scorer.of([*short, *long_words()])[:50], alone) and np.allclose(scorer.of(long_words()), want)
+
+
+def test_language_learns_from_whole_words(spark) -> None:
+    """What tells two languages apart comes after 300 letters that they share."""
+    rows = [(i, "x" * 300 + tail * 50, lang) for i, (tail, lang) in enumerate([("ab", "p"), ("cd", "q")] * 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert all(r["lang_pred"] == r["lang"] for r in langid.identify(docs, langid.fit(docs, PIECES)).collect())
+    with pytest.raises(ValueError):
+        langid.fit(spark.range(300).selectExpr("id AS doc_id", "'a' AS text", "string(id) AS lang"), PIECES)

@@ -1,14 +1,16 @@
 """Language identification by segmentation-marginalised unigrams.
 
 Each language has a probability for every piece of a fixed public vocabulary. A text's likelihood is the sum over all its segmentations
-into pieces, found by the forward algorithm. Only letters tell a language, so a text is its runs of letters, each after a space; its likelihood
-is their product, and a worker remembers the words it has seen. The probabilities come from two rounds of expectation-maximisation over the word counts of the labelled texts, each round
-one Spark job whose result is one number per language and piece.
+into pieces, found by the forward algorithm. Only letters tell a language, so a text is its runs of letters, of any length, each after a
+space; its likelihood is their product, and a worker remembers the words it has seen. The probabilities come from two rounds of
+expectation-maximisation over the word counts of the labelled texts, each round one Spark job whose result is one number per language and
+piece.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.llm.common import read, slices, staged
-from vitrine.llm.pieces import SPACE, Lattice, vocabulary
+from vitrine.llm.pieces import SPACE, Lattice, by_cells, total_of_long, vocabulary
+from vitrine.llm.remember import distinct_words
 
 #: Labelled documents of each language that the fit reads, about; chosen by a hash of their ids among all.
 FIT_DOCUMENTS = 1000
@@ -27,10 +30,12 @@ SMOOTHING = 0.1
 #: Evidence beyond so many words doesn't raise the score further.
 SCORE_WORDS = 30
 UNDETERMINED = "und"
-#: Words that a Python worker remembers; beyond that it starts afresh, which bounds memory and changes no result.
-REMEMBERED = 1_000_000
-#: Longer words are scored in runs of this many characters.
-WORD_CHARS = 200
+#: Languages that may be learned; more labels than these are an error, as the model is held by every task.
+MOST_LANGUAGES = 200
+#: Words in the younger of the two generations that a Python worker remembers, which bounds memory and changes no result.
+REMEMBERED = 500_000
+#: Cells of a table of words by positions that are summed at once; longer words than LONG are scored a block at a time.
+CELLS, LONG = 40_000, 8192
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -42,24 +47,22 @@ class Model:
 
 
 def split_words(text: str) -> list[str]:
-    words = _LETTERS.findall(text.lower())
-    if words and len(max(words, key=len)) > WORD_CHARS:
-        words = [w[i : i + WORD_CHARS] for w in words for i in range(0, len(w), WORD_CHARS)]
-    return words
+    return _LETTERS.findall(text.lower())
 
 
 def fit(docs: DataFrame, tokenizer: str, label: str = "lang", fit_documents: int = FIT_DOCUMENTS) -> Model:
-    """Learns from the rows of docs (doc_id, text, label) that have all three."""
+    """Learns from the rows of docs (doc_id, text, label) that have all three. A word takes memory in proportion to its length."""
     known = docs.select("doc_id", "text", F.col(label).alias("label")).where("doc_id IS NOT NULL AND text IS NOT NULL AND label IS NOT NULL")
-    counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} different values of {label}")
     languages, vocab = sorted(counts), vocabulary(tokenizer)
     log_p = np.full((vocab.size, len(languages)), -np.log(vocab.size))
     if not languages:
         return Model(tokenizer, languages, log_p)
     share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, fit_documents / counts[k]))])
     chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < 1_000_000 * share[F.col("label")])
-    words = chosen.select("label", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word")).groupBy("label", "word").agg(F.count("*").alias("n"))
-    words = staged(words, "langid-words")
+    words = staged(_word_counts(chosen).groupBy("label", "word").agg(F.sum("n").alias("n")), "langid-words")
     for _ in range(ROUNDS):
         expected = np.full(log_p.shape, SMOOTHING)
         for r in _expected(words, Model(tokenizer, languages, log_p)).groupBy("language", "piece").agg(F.sum("n").alias("n")).collect():
@@ -68,21 +71,36 @@ def fit(docs: DataFrame, tokenizer: str, label: str = "lang", fit_documents: int
     return Model(tokenizer, languages, log_p)
 
 
+def _word_counts(texts: DataFrame) -> DataFrame:
+    """label, word, n: counts of words within batches of texts (label, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in slices(batch):
+                found = Counter()
+                for label, text in zip(rows.column("label").to_pylist(), rows.column("text").to_pylist(), strict=True):
+                    found.update((label, w) for w in split_words(text))
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([w for _, w in found], pa.string()), pa.array(found.values(), pa.int64())], ["label", "word", "n"])
+
+    return texts.select(F.col("label").cast("string").alias("label"), "text").mapInArrow(run, "label string, word string, n long")
+
+
 def _expected(words: DataFrame, model: Model) -> DataFrame:
     """Expected uses of each piece over all segmentations of the words (label, word, n)."""
-    place = {k: i for i, k in enumerate(model.languages)}
+    place = {str(k): i for i, k in enumerate(model.languages)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, out = vocabulary(model.tokenizer), np.zeros(model.log_p.shape)
         for batch in batches:
-            for rows in (batch.slice(i, 2000) for i in range(0, len(batch), 2000)):
-                language = np.array([place[x] for x in rows.column("label").to_pylist()])
-                lattice = Lattice(vocab, [SPACE + w[:WORD_CHARS] for w in rows.column("word").to_pylist()])
-                own = language[lattice.word]
+            all_words = [SPACE + w for w in batch.column("word").to_pylist()]
+            languages, counts = np.array([place[x] for x in batch.column("label").to_pylist()], np.int64), batch.column("n").to_numpy()
+            for some in by_cells(np.fromiter(map(len, all_words), np.int64, len(all_words)), CELLS):
+                lattice = Lattice(vocab, [all_words[i] for i in some])
+                own = languages[some][lattice.word]
                 weights = model.log_p[lattice.pieces, own][:, None]
                 alpha, beta = lattice.forward(weights), lattice.backward(weights)
                 through = alpha[lattice.word, lattice.starts, 0] + weights[:, 0] + beta[lattice.word, lattice.ends, 0] - beta[lattice.word, 0, 0]
-                np.add.at(out, (lattice.pieces, own), np.exp(through) * rows.column("n").to_numpy()[lattice.word])
+                np.add.at(out, (lattice.pieces, own), np.exp(through) * counts[some][lattice.word])
         piece, language = np.nonzero(out)
         yield pa.RecordBatch.from_arrays([pa.array(language.astype(np.int32)), pa.array(piece.astype(np.int32)), pa.array(out[piece, language])], ["language", "piece", "n"])
 
@@ -90,41 +108,61 @@ def _expected(words: DataFrame, model: Model) -> DataFrame:
 
 
 class _Scorer:
-    def __init__(self, model: Model) -> None:
-        self.vocab, self.model = vocabulary(model.tokenizer), model
+    """Log likelihoods of words by language, remembered in two generations."""
+
+    def __init__(self, model: Model, remembered: int = REMEMBERED) -> None:
+        self.vocab, self.model, self.remembered = vocabulary(model.tokenizer), model, remembered
         self.known: dict[str, int] = {}
-        self.scores = np.zeros((1024, len(model.languages)))
+        self.older: dict[str, int] = {}
+        self.scores = self.old_scores = np.zeros((0, len(model.languages)))
 
-    def learn(self, words: list[str]) -> None:
+    def _add(self, words: list[str], scores: np.ndarray) -> None:
         need = len(self.known) + len(words)
         if need > len(self.scores):
-            self.scores = np.concatenate([self.scores, np.zeros((max(need, 2 * len(self.scores)) - len(self.scores), self.scores.shape[1]))])
-        words.sort(key=len)
-        for i in range(0, len(words), 2000):
-            some = words[i : i + 2000]
-            lattice = Lattice(self.vocab, [SPACE + w for w in some])
-            self.scores[len(self.known) : len(self.known) + len(some)] = lattice.total(self.model.log_p[lattice.pieces])
-            self.known.update(zip(some, range(len(self.known), len(self.known) + len(some)), strict=True))
-
-    def text(self, text: str) -> tuple[np.ndarray, int]:
-        """log likelihood of the whole text by language, and its words. Long texts go in pieces cut at a space."""
-        total, count, start, letters = np.zeros(len(self.model.languages)), 0, 0, False
-        while start < len(text):
-            cut = text.find(" ", start + (1 << 20))
-            end = cut + 1 if cut >= 0 else len(text)
-            words = split_words(text[start:end])
-            letters = letters or any(w[0].isalpha() or any(map(str.isalpha, w)) for w in words)
-            start = end
-            places = list(map(self.known.get, words))
-            if None in places:
-                if len(self.known) > REMEMBERED:
-                    self.known.clear()
-                self.learn(list({w for w, p in zip(words, places, strict=True) if p is None}) if self.known else list(set(words)))
-                places = list(map(self.known.__getitem__, words))
-            if words:
-                total += self.scores[places].sum(axis=0)
-                count += len(words)
-        return total, count if letters else 0
+            self.scores = np.concatenate([self.scores, np.zeros((max(need, 2 * len(self.scores), 1024) - len(self.scores), scores.shape[1]))])
+        self.scores[len(self.known) : need] = scores
+        self.known.update(zip(words, range(len(self.known), need), strict=True))
+
+    def _scored(self, words: list[str]) -> np.ndarray:
+        out = np.zeros((len(words), len(self.model.languages)))
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        for some in by_cells(lengths, CELLS):
+            if lengths[some[0]] > LONG:
+                out[some] = total_of_long(self.vocab, SPACE + words[some[0]], self.model.log_p)
+                continue
+            lattice = Lattice(self.vocab, [SPACE + words[i] for i in some])
+            out[some] = lattice.total(self.model.log_p[lattice.pieces])
+        return out
+
+    def of(self, words: list[str]) -> np.ndarray:
+        """The scores of distinct words: [word, language]."""
+        places = list(map(self.known.get, words))
+        if None in places:
+            if len(self.known) > self.remembered:
+                self.older, self.old_scores = self.known, self.scores
+                self.known, self.scores = {}, self.scores[:0]
+                places = [None] * len(words)
+            new = [w for w, p in zip(words, places, strict=True) if p is None]
+            met = [w for w in new if w in self.older]
+            self._add(met, self.old_scores[[self.older[w] for w in met]])
+            rest = [w for w in new if w not in self.known]
+            self._add(rest, self._scored(rest))
+            places = [self.known[w] if p is None else p for w, p in zip(words, places, strict=True)]
+        return self.scores[places]
+
+    def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Log likelihood of each whole text by language, and its words; a text without letters has none."""
+        words, counts, letters = [], [], []
+        for t in texts:
+            own = split_words(t)
+            #: A run of what isn't a letter though the pattern takes it (such as a raised two) tells nothing.
+            letters.append(any(w[0].isalpha() or any(map(str.isalpha, w)) for w in own))
+            words += own
+            counts.append(len(own))
+        distinct, at = distinct_words(words)
+        scores, text = self.of(distinct)[at], np.repeat(np.arange(len(texts)), counts)
+        total = np.stack([np.bincount(text, scores[:, k], len(texts)) for k in range(scores.shape[1])], axis=1)
+        return total, np.array(counts) * np.array(letters)
 
 
 _scorers: dict[int, tuple[bytes, _Scorer]] = {}
@@ -153,16 +191,15 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         scorer = _scorer(model)
         for batch in batches:
             for rows in slices(batch, text):
-                predicted, scores = [], []
-                for t in rows.column(text):
-                    t = t.as_py()
-                    total, n = scorer.text(t or "") if model.languages else (None, 0)
-                    if not n:
-                        predicted.append(UNDETERMINED), scores.append(0.0)
-                        continue
-                    total = (total - total.max()) * min(1.0, SCORE_WORDS / max(n, 1))
-                    best = int(total.argmax())
-                    predicted.append(model.languages[best]), scores.append(float(1 / np.exp(total).sum()))
+                predicted, scores = [UNDETERMINED] * len(rows), np.zeros(len(rows))
+                if model.languages:
+                    totals, counts = scorer.texts([t or "" for t in rows.column(text).to_pylist()])
+                    totals -= totals.max(axis=1, keepdims=True)
+                    found = np.flatnonzero(counts)
+                    tempered = totals[found] * np.minimum(1.0, SCORE_WORDS / counts[found])[:, None]
+                    scores[found] = 1 / np.exp(tempered).sum(axis=1)
+                    for i, k in zip(found.tolist(), totals[found].argmax(axis=1).tolist(), strict=True):
+                        predicted[i] = model.languages[k]
                 yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in kept), pa.array(predicted, pa.string()), pa.array(scores, pa.float64())], [*kept, "lang_pred", "score"])
 
     return docs.select(*kept).mapInArrow(run, schema)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from functools import cache
 from typing import Any
 
@@ -219,7 +220,8 @@ class Lattice:
         alpha = np.zeros((len(self.lengths), longest + 1, weights.shape[1]))
         alpha[:, 0] = 1
         for t, e, heads in self._steps(self.ends, range(1, longest + 1)):
-            alpha[self.word[e[heads]], t] = np.add.reduceat(alpha[self.word[e], self.starts[e]] * scaled[e], heads, axis=0)
+            with np.errstate(over="ignore", invalid="ignore"):
+                alpha[self.word[e[heads]], t] = np.add.reduceat(alpha[self.word[e], self.starts[e]] * scaled[e], heads, axis=0)
         words = np.arange(len(self.lengths))
         sums = alpha[words, self.lengths]
         with np.errstate(divide="ignore"):
@@ -228,3 +230,40 @@ class Lattice:
             bad = ~(np.isfinite(sums) & (sums > 1e-290)).all(axis=1)
             out[bad] = self.forward(weights)[words, self.lengths][bad]
         return out
+
+
+def by_cells(lengths: np.ndarray, cells: int) -> Iterator[np.ndarray]:
+    """Places of words in batches of like length, whose table of words by positions has about `cells` cells; a longer word is one alone."""
+    order, first = np.argsort(lengths, kind="stable"), 0
+    for last, n in enumerate(lengths[order].tolist()):
+        if last > first and (last + 1 - first) * (n + 1) > cells:
+            yield order[first:last]
+            first = last
+    if len(order):
+        yield order[first:]
+
+
+def total_of_long(vocab: Vocabulary, word: str, log_p: np.ndarray, block: int = 4096) -> np.ndarray:
+    """What Lattice.total gives for one word, a block of characters at a time: all that goes on from a block are the sums of the places
+    that its last pieces reach."""
+    carried = np.full((vocab.longest, log_p.shape[1]), -np.inf)
+    carried[0] = 0
+    for first in range(0, len(word), block):
+        text = word[first : first + block + vocab.longest - 1]
+        own = min(block, len(word) - first)
+        _, start, end, piece = vocab.trie.edges([text])
+        odd = [i for i, c in enumerate(text[:own]) if c not in vocab.characters]
+        bytes_of = [sum(log_p[vocab.bytes[b]] for b in text[i].encode("utf-8", "surrogatepass")) for i in odd]
+        weight = np.concatenate([log_p[piece], np.array(bytes_of).reshape(len(odd), -1)]) if odd else log_p[piece]
+        start, end = np.concatenate([start, np.array(odd, np.int64)]), np.concatenate([end, np.array(odd, np.int64) + 1])
+        kept = np.flatnonzero(start < own)
+        order = kept[np.argsort(end[kept], kind="stable")]
+        cuts = np.searchsorted(end[order], np.arange(own + vocab.longest + 1))
+        alpha = np.full((own + vocab.longest, log_p.shape[1]), -np.inf)
+        alpha[: vocab.longest] = carried
+        for t in range(1, len(alpha)):
+            e = order[cuts[t] : cuts[t + 1]]
+            if len(e):
+                alpha[t] = np.logaddexp(alpha[t], np.logaddexp.reduce(alpha[start[e]] + weight[e], axis=0))
+        carried = alpha[own:]
+    return carried[0]

@@ -36,7 +36,7 @@ class WordIds:
 
     def of(self, words: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words one after the other, and where each word's end. Only the distinct words are looked up one by one."""
-        distinct, at = _distinct(words)
+        distinct, at = distinct_words(words)
         coded = self.coded(distinct)
         arena, size = np.frombuffer(b"".join(coded), np.int32), np.fromiter(map(len, coded), np.int64, len(coded)) // 4
         length = size[at]
@@ -45,7 +45,7 @@ class WordIds:
         return arena[np.repeat((np.cumsum(size) - size)[at] - (ends - length), length) + np.arange(total)], ends
 
 
-def _distinct(words: pa.Array | list[str]) -> tuple[list[str], np.ndarray]:
+def distinct_words(words: pa.Array | list[str]) -> tuple[list[str], np.ndarray]:
     """The distinct words, and the place of each word among them."""
     try:
         words = words if isinstance(words, pa.Array) else pa.array(words, pa.large_string())
