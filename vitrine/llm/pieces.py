@@ -81,10 +81,11 @@ class Trie:
         start = start - (ends - lengths)[word]
         return word, start, start + length, piece.astype(np.int64)
 
-    def best(self, words: list[str], scores: np.ndarray, most: int = 4096) -> list[bytes]:
+    def best(self, words: list[str], scores: np.ndarray, cells: int = 40_000) -> list[bytes]:
         """The int32 pieces of greatest total score of each word, all of whose characters are pieces; words are of one length. Of equals,
         the longest last piece is taken, at every end."""
         out: list[bytes] = []
+        most = cells // (len(words[0]) + 1) + 1
         for first in range(0, len(words), most):
             out += self._best(words[first : first + most], scores)
         return out

@@ -37,7 +37,7 @@ CHUNK = 1 << 15
 #: Chunks or products of chunks that one group of the scan holds.
 BLOCK = 64
 #: Words in the younger of the two generations that a Python worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 #: Words of more characters are segmented one by one.
 TABLED = 64
 #: Stands for a space mark that is in the text itself; no valid text has a lone surrogate.
@@ -217,7 +217,7 @@ def _encode_short(docs: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = segmenter(tokenizer)
         for batch in batches:
-            for rows in slices(batch):
+            for rows in slices(batch, "text", 1 << 20):
                 units = [_UNITS.findall(prepared(t or "")) for t in rows.column("text").to_pylist()]
                 ids, ends = own.of([u for some in units for u in some])
                 offsets = np.concatenate([[0], ends])[np.cumsum([0, *map(len, units)])]
