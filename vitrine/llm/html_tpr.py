@@ -1,17 +1,24 @@
 """HTML extraction by tag-path ratios.
 
-Text nodes are grouped by the path of tags from the root. Per path, text length and punctuation are summed and set against its nodes,
-smoothed over neighbouring nodes in page order, and fused by their product; the paths above the threshold hold the content. All their
-nodes and all named articles are kept, and what lies beside them in the smallest container that holds them all, so that a short
-paragraph or a heading stays; where the page's highest heading stands before that container, so is what follows from it on. The parts
-that tags, roles or class names show to be menus, notices, adverts, forms or comments are left out.
+Text nodes are grouped by the path of tags from the root; where a class or id has the name of a page part, that is part of the path. Per
+path, text length and punctuation are summed and set against its nodes, smoothed over neighbouring nodes in page order, and fused by
+their product; a name lowers the outcome by a factor. The paths whose mean is above the page's threshold hold the content. All their nodes
+and all named articles are kept, and what no name marks beside them in the smallest container that holds them all, so that a short
+paragraph or a heading stays; where the page's highest heading stands before that container, so is what follows from it on. A part
+whose name only contains such a word counts as unmarked in an article, and elsewhere if most of its text is on chosen paths.
+
+Dropped outright are scripts, styles, forms, navigation and what else tags or roles say isn't text of the page. Time is linear in the page,
+however deep its markup is nested.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,17 +29,24 @@ from vitrine.llm.common import read, slices
 #: Fixed values of HTML: elements whose content is raw text, that have no content, and that stand in the flow of a line.
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "nobr", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "br"}
+INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "nobr", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "br", "math", "mi", "mo", "mn", "ms", "mtext", "mrow", "mfrac", "msqrt", "mroot", "msup", "msub", "msubsup", "mover", "munder", "munderover", "semantics"}
 #: Elements that never hold main text.
-BOILERPLATE = {"head", "nav", "footer", "aside", "form", "button", "select", "option", "input", "dialog", "menu", "svg", "math", "canvas", "object", "audio", "video"} | RAW
+BOILERPLATE = {"head", "nav", "footer", "aside", "form", "button", "select", "option", "input", "dialog", "menu", "svg", "annotation", "annotation-xml", "canvas", "object", "audio", "video"} | RAW
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar", "form"}
-#: Words in a class or id that name such parts.
+#: Words of the classes and ids that such parts have.
 MARKS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "sponsor", "sponsored", "promo", "promotion", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "header", "masthead", "topbar", "footer", "colophon", "sidebar", "aside", "rail", "widget", "widgets", "comment", "comments", "disqus", "reply", "replies", "respond", "cookie", "cookies", "consent", "gdpr", "notice", "alert", "modal", "popup", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "share", "sharing", "social", "related", "recommended", "recommendations", "pagination", "pager", "toolbar", "search", "skip", "copyright", "legal", "disclaimer", "form"}
+#: Words that say nothing of a part's kind; a name of these and of MARKS alone is that of such a part.
+PLAIN_WORDS = {"area", "bar", "block", "box", "button", "buttons", "container", "content", "inner", "item", "items", "left", "links", "list", "main", "outer", "page", "post", "posts", "right", "section", "site", "top", "bottom", "wrap", "wrapper", "global", "primary", "secondary", "user", "the"}
 HEADERS = {"header", "masthead", "topbar", "banner"}
+#: What a name makes of a path's score: none, one that contains a word of MARKS, one that is such a part's.
+UNMARKED, CONTAINS, NAMED = 0, 1, 2
+FACTORS = np.array([1.0, 0.1, 0.001])
 #: A start tag of one of these ends an open paragraph.
 ENDS_P = {"address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
-ENDS_SELF = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: Open elements that a start tag of the same kind ends, and the elements beyond which it ends none.
+KINDS = {"p": 0, "li": 1, "dt": 2, "dd": 2, "tr": 3, "td": 4, "th": 4, "option": 5}
+SCOPES = {"table", "ul", "ol", "dl"}
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?=>|\Z)|[^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _PUNCTUATION = re.compile(r"[.,;:!?，。；：！？、]")
 _ARTICLE = {"article", "main"}
@@ -43,36 +57,56 @@ THRESHOLD = 0.5
 HEADINGS = {f"h{k}": k for k in range(1, 7)}
 
 
-def _marked(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
-    """Whether an element's tag or attributes show boilerplate, and whether they show an article."""
+def _mark(name: str, marks: set[str]) -> int:
+    """What a class or id says: UNMARKED, CONTAINS or NAMED."""
+    words = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
+    if marks.isdisjoint(words):
+        return UNMARKED
+    return NAMED if all(w in marks or w in PLAIN_WORDS for w in words) else CONTAINS
+
+
+def _read(tag: str, attributes: str, in_article: bool) -> tuple[bool, int, bool]:
+    """Whether an element is dropped with all that is in it, what its class and id say, and whether it is an article."""
     #: A header within an article holds its title, one outside is the page's.
     if tag in BOILERPLATE or tag == "header" and not in_article:
-        return True, False
+        return True, UNMARKED, False
     if not attributes or attributes.isspace():
-        return False, tag in _ARTICLE
+        return False, UNMARKED, tag in _ARTICLE
     values = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)}
-    names = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{values.get('class', '')} {values.get('id', '')}").lower()))
-    hidden = "hidden" in values or values.get("aria-hidden", "").lower() == "true" or "display:none" in values.get("style", "").replace(" ", "").lower()
     role = values.get("role", "").lower()
-    boiler = hidden or role in ROLES or bool(names & (MARKS - HEADERS if in_article else MARKS)) and tag not in ("html", "body", "article", "main")
-    return boiler, tag in _ARTICLE or role in _ARTICLE or values.get("itemprop", "").lower() == "articlebody"
+    hidden = "hidden" in values or values.get("aria-hidden", "").lower() == "true" or "display:none" in values.get("style", "").replace(" ", "").lower()
+    marks = MARKS - HEADERS if in_article else MARKS
+    named = 0 if tag in ("html", "body", "article", "main") else max(map(_mark, [*values.get("class", "").split(), values.get("id", "")], repeat(marks)))
+    return hidden or role in ROLES, named, tag in _ARTICLE or role in _ARTICLE or values.get("itemprop", "").lower() == "articlebody"
+
+
+@dataclass
+class Page:
+    """Elements in page order, 0 is the root; and text nodes: (element, block, text) of what isn't dropped."""
+
+    tags: list[str]
+    parents: list[int]
+    marks: list[int]
+    articles: list[int]  # the outermost article around an element, itself included
+    nodes: list[tuple[int, int, str]]
 
 
-def text_nodes(page: str) -> tuple[list[tuple[int, int, str, bool]], list[str], list[int], list[bool]]:
-    """(nodes, tags, parents, articles): nodes are (element, block, text, is boilerplate); elements are numbered in page order, 0 is the root."""
-    nodes: list[tuple[int, int, str, bool]] = []
-    tags, parents, boiler, articles = [""], [-1], [False], [False]
-    stack, block, at = [0], 0, 0
+def parse(page: str) -> Page:
+    out = Page([""], [-1], [UNMARKED], [0], [])
+    tags, dropped = out.tags, [False]
+    stack, open_, kinds = [0], Counter(), [(0,) * 6]  # open elements, how many of each tag, the nearest of each kind in scope
+    block, at = 0, 0
 
     def close(depth: int) -> None:
         nonlocal block
-        if any(tags[e] not in INLINE for e in stack[depth:]):
-            block += 1
-        del stack[depth:]
+        closed = [tags[e] for e in stack[depth:]]
+        block += not INLINE.issuperset(closed)
+        open_.subtract(closed)
+        del stack[depth:], kinds[depth:]
 
     def add(text: str) -> None:
-        if text:
-            nodes.append((stack[-1], block, text, boiler[stack[-1]]))
+        if text and not dropped[stack[-1]]:
+            out.nodes.append((stack[-1], block, text))
 
     while at < len(page):
         m = _MARKUP.search(page, at)
@@ -85,9 +119,8 @@ def text_nodes(page: str) -> tuple[list[tuple[int, int, str, bool]], list[str],
         if not tag:
             continue
         if m[1]:
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if tags[stack[k]] == tag), 0)
-            if depth:
-                close(depth)
+            if open_[tag] > 0:
+                close(next(k for k in range(len(stack) - 1, 0, -1) if tags[stack[k]] == tag))
             elif tag not in INLINE:
                 block += 1
             continue
@@ -95,14 +128,19 @@ def text_nodes(page: str) -> tuple[list[tuple[int, int, str, bool]], list[str],
             add(" ") if tag == "br" else None
             block += tag == "hr"
             continue
-        ends = ("p",) if tag in ENDS_P else ENDS_SELF.get(tag, ())
-        depth = next((k for k in range(len(stack) - 1, 0, -1) if tags[stack[k]] in ends), 0) if ends else 0
-        if depth and not any(tags[stack[k]] in ("table", "ul", "ol", "dl") for k in range(depth + 1, len(stack))):
+        near = kinds[-1]
+        depth = near[0] if tag in ENDS_P else near[3] or near[4] if tag == "tr" else near[KINDS[tag]] if tag in KINDS else 0
+        if depth:
             close(depth)
-        if tag not in INLINE:
-            block += 1
-        is_boiler, is_article = _marked(tag, m[3], any(articles[e] for e in stack))
-        tags.append(tag), parents.append(stack[-1]), boiler.append(boiler[stack[-1]] or is_boiler), articles.append(is_article)
+        block += tag not in INLINE
+        above = stack[-1]
+        is_dropped, mark, is_article = _read(tag, m[3], out.articles[above] > 0)
+        if out.articles[above] and mark == CONTAINS or is_article and out.marks[above] == CONTAINS:
+            mark = UNMARKED
+        else:
+            mark = max(mark, out.marks[above])
+        tags.append(tag), out.parents.append(above), out.marks.append(mark), dropped.append(dropped[above] or is_dropped)
+        out.articles.append(out.articles[above] or (len(tags) - 1) * (is_article and mark != NAMED))
         if m[0].endswith("/>") and tag in ("svg", "path"):
             continue
         if tag in RAW:
@@ -110,15 +148,18 @@ def text_nodes(page: str) -> tuple[list[tuple[int, int, str, bool]], list[str],
             at = end.end() if end else len(page)
             continue
         stack.append(len(tags) - 1)
-    return nodes, tags, parents, articles
-
-
-def tag_paths(tags: list[str], parents: list[int]) -> list[int]:
-    """A number for each element's path of tags from the root."""
-    seen: dict[tuple[int, str], int] = {}
-    path = [0] * len(tags)
-    for e in range(1, len(tags)):
-        path[e] = seen.setdefault((path[parents[e]], tags[e]), len(seen) + 1)
+        open_[tag] += 1
+        kind = KINDS.get(tag)
+        kinds.append((0,) * 6 if tag in SCOPES else kinds[-1] if kind is None else (*kinds[-1][:kind], len(stack) - 1, *kinds[-1][kind + 1 :]))
+    return out
+
+
+def tag_paths(page: Page) -> list[int]:
+    """A number for each element's path of tags, and of what names say of them, from the root."""
+    seen: dict[tuple[int, str, int], int] = {}
+    path = [0] * len(page.tags)
+    for e in range(1, len(path)):
+        path[e] = seen.setdefault((path[page.parents[e]], page.tags[e], page.marks[e]), len(seen) + 1)
     return path
 
 
@@ -135,44 +176,58 @@ def content_scores(lengths: np.ndarray, marks: np.ndarray, paths: np.ndarray) ->
     return fused
 
 
-def main_text(page: str | None) -> str:
+def chosen_nodes(lengths: np.ndarray, punctuation: np.ndarray, paths: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Whether each node is on a path whose mean score reaches the threshold: a share of the mean of the least marked nodes."""
+    scores = content_scores(lengths, punctuation, paths) * FACTORS[marks]
+    if marks.min() == NAMED:
+        return np.zeros(len(scores), bool)
+    _, path = np.unique(paths, return_inverse=True)
+    mean = np.bincount(path, scores) / np.bincount(path)
+    return (mean >= THRESHOLD * scores[marks == marks.min()].mean())[path]
+
+
+def main_text(html_text: str | None) -> str:
     """The main text: blocks in page order joined by a newline, white space within a block one space, character references decoded."""
-    nodes, tags, parents, articles = text_nodes(page or "")
-    nodes = [(e, b, html.unescape(t), x) for e, b, t, x in nodes if not x]
-    if not nodes:
-        return ""
-    texts = [" ".join(t.split()) for _, _, t, _ in nodes]
+    page = parse(html_text or "")
+    nodes = [(e, b, html.unescape(t)) for e, b, t in page.nodes]
+    texts = [" ".join(t.split()) for _, _, t in nodes]
     filled = [i for i, t in enumerate(texts) if t]
     if not filled:
         return ""
-    lengths, marks = np.array([len(texts[i]) for i in filled], float), np.array([len(_PUNCTUATION.findall(texts[i])) for i in filled], float)
-    path = tag_paths(tags, parents)
-    scores = content_scores(lengths, marks, np.array([path[nodes[i][0]] for i in filled]))
-    chosen = scores >= THRESHOLD * scores.mean()
-    article, heading = [0] * len(parents), [0] * len(parents)  # the outermost article around an element, the level of a heading
-    for e in range(1, len(parents)):
-        article[e] = article[parents[e]] or e * articles[e]
-        heading[e] = HEADINGS.get(tags[e], heading[parents[e]])
-    anchors = {article[nodes[i][0]] or nodes[i][0] for i, c in zip(filled, chosen, strict=True) if c or article[nodes[i][0]]}
-    below = [0] * len(parents)
-    for e in range(len(parents) - 1, -1, -1):
+    parents, paths = page.parents, tag_paths(page)
+    lengths, of = np.array([len(texts[i]) for i in filled], float), [nodes[i][0] for i in filled]
+    chosen = chosen_nodes(lengths, np.array([len(_PUNCTUATION.findall(texts[i])) for i in filled], float), np.array([paths[e] for e in of]), np.array([page.marks[e] for e in of]))
+    anchors = {page.articles[e] or e for e, c in zip(of, chosen, strict=True) if c or page.articles[e] and page.marks[e] != NAMED}
+    if not anchors:
+        return ""
+    n = len(parents)
+    below, heading, part, inside = [0] * n, [0] * n, [0] * n, [False] * n
+    for e in range(1, n):
+        heading[e] = HEADINGS.get(page.tags[e], heading[parents[e]])
+        #: The outermost element of a marked part.
+        part[e] = 0 if page.marks[e] == UNMARKED else part[parents[e]] if page.marks[e] == page.marks[parents[e]] else e
+    for e in range(n - 1, -1, -1):
         below[e] += e in anchors
         if e:
             below[parents[e]] += below[e]
     #: The lowest common ancestor of all anchors.
-    region = max(e for e in range(len(parents)) if below[e] == len(anchors))
-    while region and not (tags[region] in CONTAINERS or articles[region]):
+    region = max(e for e in range(n) if below[e] == len(anchors))
+    while region and not (page.tags[region] in CONTAINERS or page.articles[region] == region):
         region = parents[region]
-    inside = [False] * len(parents)
     inside[region] = True
-    for e in range(region + 1, len(parents)):
+    for e in range(region + 1, n):
         inside[e] = inside[parents[e]]
-    first = next(i for i in filled if inside[nodes[i][0]])
-    highest = min((heading[nodes[i][0]] for i in filled if heading[nodes[i][0]]), default=0)
-    titled = next((i for i in filled if i < first and highest and heading[nodes[i][0]] == highest), first)
+    total, taken = np.zeros(n), np.zeros(n)
+    np.add.at(total, [part[e] for e in of], lengths)
+    np.add.at(taken, [part[e] for e in of], lengths * chosen)
+    fits = lambda e: page.marks[e] == UNMARKED or page.marks[e] == CONTAINS and 2 * taken[part[e]] >= total[part[e]]
+    on_path = {paths[e] for e, c in zip(of, chosen, strict=True) if c}
+    first = next((i for i, e in zip(filled, of, strict=True) if inside[e]), len(nodes))
+    highest = min((heading[e] for e in of if heading[e] and fits(e)), default=0)
+    titled = next((i for i, e in zip(filled, of, strict=True) if i < first and highest and heading[e] == highest and fits(e)), first)
     blocks: dict[int, list[str]] = {}
-    for i, (e, b, t, _) in enumerate(nodes):
-        if inside[e] or titled <= i < first:
+    for i, (e, b, t) in enumerate(nodes):
+        if (inside[e] or titled <= i < first) and (fits(e) or paths[e] in on_path):
             blocks.setdefault(b, []).append(t)
     return "\n".join(t for t in (" ".join("".join(x).split()) for x in blocks.values()) if t)
 
