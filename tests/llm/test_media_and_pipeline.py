@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 import zlib
 
 import jpeg_writer
@@ -30,6 +31,55 @@ def test_general_progressive(factors: list[tuple[int, int]]) -> None:
         assert rgb.shape == (height, width, 3) and np.abs(rgb.astype(int) - want).max() <= 1
 
 
+@pytest.mark.parametrize("factors", [[(3, 3), (2, 2), (1, 1)], [(2, 2), (1, 2), (2, 1)], [(4, 1), (3, 1), (1, 1)]])
+def test_odd_sampling(factors: list[tuple[int, int]]) -> None:
+    """Each sample of a component stands for the pixels that its place covers, also where the factors don't divide."""
+    data, planes, _ = jpeg_writer.random_image(np.random.default_rng(4), 50, 41, factors)
+    image = jpeg.decode(data)
+    rgb = np.concatenate(list(jpeg.rows_of_rgb(image)))
+    most_h, most_v = max(h for h, _ in factors), max(v for _, v in factors)
+    full = []
+    for c in image.components.values():
+        grey = jpeg.Image(8 * c.stride, 8 * len(c.coefficients) // c.stride, {1: jpeg.Component(1, 1, c.table, c.stride, 0, c.stride, c.coefficients)}, image.quantisation)
+        square = np.empty((len(c.coefficients), 64))
+        square[:, jpeg.ZIGZAG] = c.coefficients * image.quantisation[c.table]
+        samples = np.einsum("ux,buv,vy->bxy", jpeg._COSINE, square.reshape(-1, 8, 8), jpeg._COSINE) + 128
+        plane = samples.reshape(-1, c.stride, 8, 8).transpose(0, 2, 1, 3).reshape(grey.height, grey.width)
+        full.append([[plane[y * c.v // most_v, x * c.h // most_h] for x in range(50)] for y in range(41)])
+    y, cb, cr = map(np.array, full)
+    want = np.stack([y + 1.402 * (cr - 128), y - 0.344136 * (cb - 128) - 0.714136 * (cr - 128), y + 1.772 * (cb - 128)], axis=-1)
+    assert rgb.shape == (41, 50, 3) and np.abs(rgb - np.clip(np.rint(want), 0, 255)).max() <= 1
+
+
+def test_broken_media(spark) -> None:
+    """Images that can't be read have nulls and say why; the others of their task are read."""
+    good, _, _ = jpeg_writer.random_image(np.random.default_rng(5), 40, 24, [(2, 2), (1, 1), (1, 1)])
+    payload = jpeg.encode_payload(b"x" * 192)
+    frame = good.index(b"\xff\xc2")
+    four = good[: frame + 9] + b"\x04" + good[frame + 10 :]
+    filled = good[:2] + b"\xff\xff\xff" + good[2:]
+    rows = [(1, good), (2, None), (3, b""), (4, b"GIF89a"), (5, good[: len(good) // 2]), (6, four), (7, filled), (8, payload), (9, good[:-2]), (10, b"\xff\xd8\xff\xd9"), (11, good)]
+    images = spark.createDataFrame([(i, 0, m, 3.0) for i, m in rows], "doc_id long, n_bytes long, media binary, rgb double")
+    got = {r["doc_id"]: r for r in media.rgb_tensors(images).collect()}
+    assert len(got) == len(rows)
+    for i, m in rows:
+        r = got[i]
+        if i in (1, 7, 8, 11):
+            assert r["error"] is None and len(r["rgb"]) == 3 * r["height"] * r["width"]
+        else:
+            assert r["rgb"] is r["height"] is r["width"] is None and (r["error"] is None) == (m is None)
+    assert got[1]["rgb"] == got[7]["rgb"]
+    found = {r["doc_id"]: r for r in media.media_features(images).collect()}
+    assert found[8]["payload_bytes"] == 192 and found[1]["payload_bytes"] is None and found[1]["feature"] and found[2]["media_bytes"] is None and found[5]["feature"] is None
+
+
+def test_ordinary_image_is_read_fast() -> None:
+    data, _, _ = jpeg_writer.random_image(np.random.default_rng(6), 640, 480, [(2, 2), (1, 1), (1, 1)])
+    start = time.process_time()
+    image = jpeg.decode(data)
+    assert sum(c.coefficients.size for c in image.components.values()) / (time.process_time() - start) > 100_000
+
+
 def test_zigzag() -> None:
     assert list(jpeg.ZIGZAG[:10]) == [0, 1, 8, 16, 9, 2, 3, 10, 17, 24] and sorted(jpeg.ZIGZAG) == list(range(64)) and jpeg.ZIGZAG[-1] == 63
 

@@ -1,11 +1,12 @@
 """Progressive JPEG: scans accumulated into coefficient arrays, inverse transform in numpy, chroma upsampled to full resolution.
 
-`decode` reads any progressive (or baseline) Huffman JPEG of 8-bit samples. A scan whose tables hold one symbol each has units of one
-length, so it is read as a matrix of bits; other scans are read symbol by symbol.
+`decode` reads any progressive (or baseline) Huffman JPEG of 8-bit samples in one or three components. A scan whose tables hold one symbol
+each has units of one length, so it is read as a matrix of bits; other scans are read symbol by symbol, by tables of 16 bits.
 
 `encode_payload` stores bytes as coefficients: byte b is the coefficient b above 127 and b - 255 below 128, all of one magnitude
 category, so each scan takes such one-symbol tables: DC first, then AC by two spectral bands with the lowest bit left out, then that bit
-by successive approximation. With unit quantisation the coefficients, and so the bytes, come back exactly.
+by successive approximation. The coefficients, and so the bytes, come back exactly. The step of quantisation only counts for the samples:
+with STEP most of them lie at an end of their range, so stored tensors are compressible.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ UNIT = 192
 ROW = 4096
 #: Blocks that are unpacked at once.
 BLOCKS = 1 << 14
+STEP = 64
+PAYLOAD_COMMENT = b"payload "
 
 
 def _zigzag() -> np.ndarray:
@@ -54,52 +57,59 @@ class Image:
 
 class _Huffman:
     def __init__(self, counts: bytes, symbols: bytes) -> None:
-        self.codes: dict[tuple[int, int], int] = {}
-        code = k = 0
+        if sum(counts) > len(symbols):
+            raise ValueError("a Huffman table is cut short")
+        #: For any 16 bits, the length of the code that they start with (0 if none) and its symbol.
+        self.lookup = np.zeros(1 << 16, np.uint16)
+        at = k = 0
         for length, n in enumerate(counts, 1):
-            for _ in range(n):
-                self.codes[length, code] = symbols[k]
-                code, k = code + 1, k + 1
-            code <<= 1
+            for symbol in symbols[k : k + n]:
+                self.lookup[at : at + (1 << (16 - length))] = length << 8 | symbol
+                at += 1 << (16 - length)
+            k += n
+        self.table = memoryview(self.lookup)
         #: (bits of the code, symbol) if there is one symbol only, whose code then is all zeros.
-        self.only = next(((n, s) for (n, _), s in self.codes.items()), None) if len(self.codes) == 1 else None
+        self.only = divmod(int(self.lookup[0]), 256) if k == 1 else None
 
 
 class _Bits:
-    """A restart interval, bit by bit; past its end come zeros."""
+    """A restart interval as the 16 bits that follow each place; a few zeros come after its end."""
 
     def __init__(self, data: bytes) -> None:
-        self.data, self.at, self.held, self.left = data.replace(b"\xff\x00", b"\xff"), 0, 0, 0
+        raw = np.frombuffer(data.replace(b"\xff\x00", b"\xff") + bytes(16), np.uint8).astype(np.uint32)
+        three = raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:]
+        self.window = memoryview((three[:, None] >> np.arange(8, 0, -1, dtype=np.uint32)).astype(np.uint16).ravel())
+        self.at = 0
 
     def take(self, n: int) -> int:
-        while self.left < n:
-            self.held = (self.held << 8) | (self.data[self.at] if self.at < len(self.data) else 0)
-            self.at, self.left = self.at + 1, self.left + 8
-        self.left -= n
-        out = self.held >> self.left
-        self.held &= (1 << self.left) - 1
+        out = self.window[self.at] >> (16 - n)
+        self.at += n
         return out
 
     def symbol(self, table: _Huffman) -> int:
-        code = 0
-        for length in range(1, 17):
-            code = (code << 1) | self.take(1)
-            if (s := table.codes.get((length, code))) is not None:
-                return s
-        raise ValueError("no such Huffman code")
+        length, symbol = divmod(table.table[self.window[self.at]], 256)
+        if not length:
+            raise ValueError("no such Huffman code")
+        self.at += length
+        return symbol
 
     def value(self, size: int) -> int:
-        v = self.take(size) if size else 0
-        return v if not size or v >> (size - 1) else v - (1 << size) + 1
+        if not size:
+            return 0
+        v = self.take(size)
+        return v if v >> (size - 1) else v - (1 << size) + 1
 
 
 def decode(data: bytes) -> Image:
+    """The image in data; ValueError, IndexError, KeyError or struct.error if that isn't a whole JPEG of a kind that is read here."""
     image, huffman, restart, at = Image(0, 0, {}, {}), {}, 0, 2
     if data[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG")
     while at < len(data):
         if data[at] != 0xFF:
             raise ValueError("a marker was expected")
+        while data[at + 1] == 0xFF:  # fill bytes
+            at += 1
         marker, at = data[at + 1], at + 2
         if marker == 0xD9:
             break
@@ -127,6 +137,10 @@ def decode(data: bytes) -> Image:
             at = end
         elif 0xC3 <= marker <= 0xCF:
             raise ValueError("neither a baseline nor a progressive Huffman JPEG")
+    else:
+        raise ValueError("the image has no end")
+    if not image.components:
+        raise ValueError("no frame")
     return image
 
 
@@ -134,8 +148,14 @@ def _frame(image: Image, body: bytes) -> None:
     precision, image.height, image.width, n = struct.unpack(">BHHB", body[:6])
     if precision != 8:
         raise ValueError("samples of 8 bits only")
+    if n not in (1, 3):
+        raise ValueError(f"{n} components, neither grey nor YCbCr")
+    if not image.width or not image.height:
+        raise ValueError("an image without samples")
     for k in range(n):
         c, hv, table = body[6 + 3 * k : 9 + 3 * k]
+        if not 1 <= hv >> 4 <= 4 or not 1 <= hv & 15 <= 4:
+            raise ValueError("no such sampling factors")
         image.components[c] = Component(hv >> 4, hv & 15, table)
     most_h, most_v = (max(getattr(c, x) for c in image.components.values()) for x in "hv")
     across, down = -(-image.width // (8 * most_h)), -(-image.height // (8 * most_v))
@@ -146,8 +166,8 @@ def _frame(image: Image, body: bytes) -> None:
 
 
 def _scan_end(data: bytes, at: int) -> int:
-    while (at := data.index(b"\xff", at)) + 1 < len(data) and (data[at + 1] == 0 or 0xD0 <= data[at + 1] <= 0xD7):
-        at += 2
+    while (at := data.index(b"\xff", at)) + 1 < len(data) and (data[at + 1] in (0, 255) or 0xD0 <= data[at + 1] <= 0xD7):
+        at += 1 if data[at + 1] == 255 else 2
     return at
 
 
@@ -298,11 +318,13 @@ def rows_of_rgb(image: Image):  # noqa: ANN201
             square[:, ZIGZAG] = some
             samples = np.matmul(_COSINE.T, np.matmul(square.reshape(-1, 8, 8), _COSINE)) + 128
             plane = samples.reshape(c.v, c.stride, 8, 8).transpose(0, 2, 1, 3).reshape(8 * c.v, 8 * c.stride)
-            planes.append(plane.repeat(most_v // c.v, axis=0).repeat(most_h // c.h, axis=1))
+            if (c.h, c.v) != (most_h, most_v):
+                plane = plane[np.arange(8 * most_v) * c.v // most_v][:, np.arange(image.width) * c.h // most_h]
+            planes.append(plane[:, : image.width])
         height = min(8 * most_v, image.height - 8 * most_v * top)
         y, cb, cr = (planes if len(planes) == 3 else [planes[0], *[np.full_like(planes[0], 128.0)] * 2])
         rgb = np.stack([y + 1.402 * (cr - 128), y - 0.344136 * (cb - 128) - 0.714136 * (cr - 128), y + 1.772 * (cb - 128)], axis=-1)
-        yield np.clip(np.rint(rgb), 0, 255).astype(np.uint8)[:height, : image.width]
+        yield np.clip(np.rint(rgb), 0, 255).astype(np.uint8)[:height]
 
 
 def _segment(marker: int, body: bytes) -> bytes:
@@ -313,7 +335,7 @@ def _one_symbol(table: int, length: int, symbol: int) -> bytes:
     return _segment(0xC4, bytes([table, *(int(k == length) for k in range(1, 17)), symbol]))
 
 
-_HEAD_TABLES = _segment(0xDB, bytes([0]) + b"\x01" * 64)
+_HEAD_TABLES = _segment(0xDB, bytes([0, *[STEP] * 64]))
 _DC = _one_symbol(0x00, 8, 8) + _segment(0xDD, b"\x00\x01") + _segment(0xDA, bytes([3, 1, 0, 2, 0, 3, 0, 0, 0, 0]))
 _AC = _one_symbol(0x10, 1, 7) + _segment(0xDD, b"\x00\x00")
 _FINE = _one_symbol(0x10, 1, 0)
@@ -340,7 +362,7 @@ def encode_payload(payload: bytes) -> bytes:
         dc = b"".join(_stuffed(u).tobytes() + m.tobytes() for u, m in zip(units, marks, strict=True))
     else:
         dc = np.concatenate([units, marks], axis=1).tobytes()
-    out = [b"\xff\xd8", _segment(0xFE, b"payload %d" % len(payload)), _HEAD_TABLES, _segment(0xC2, frame), _DC, dc[:-2], _AC]
+    out = [b"\xff\xd8", _segment(0xFE, PAYLOAD_COMMENT + b"%d" % len(payload)), _HEAD_TABLES, _segment(0xC2, frame), _DC, dc[:-2], _AC]
     #: A code of one bit (zero) and seven bits of value: the byte without its lowest bit.
     for c in range(3):
         for first, last in ((1, 5), (6, 63)):

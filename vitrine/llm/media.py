@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -10,8 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from vitrine.llm.common import read, slices, staged
-from vitrine.llm.jpeg import UNIT, decode, encode_payload, payload_of, rows_of_rgb
+from vitrine.llm.common import SLICE_BYTES, read, slices, staged
+from vitrine.llm.jpeg import PAYLOAD_COMMENT, UNIT, Image, decode, encode_payload, payload_of, rows_of_rgb
 
 
 def padded(text: str | None) -> tuple[int, bytes]:
@@ -36,47 +37,86 @@ def text_media(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary")
 
 
-def rgb_tensors(images: DataFrame, media: str = "media") -> DataFrame:
-    """images with height, width and rgb (uint8 [height, width, 3], row by row) of each JPEG in the column media; a null one has nulls.
-    Input columns of these names are replaced."""
-    kept = [c for c in images.columns if c not in ("height", "width", "rgb")]
-    schema = images.select(*kept).schema.add("height", "integer").add("width", "integer").add("rgb", "binary")
+def _tensor(data: bytes | None) -> tuple[Image | None, np.ndarray | None, str | None]:
+    """An image, its RGB tensor, and why there is none."""
+    if data is None:
+        return None, None, None
+    try:
+        image = decode(data)
+        return image, np.concatenate(list(rows_of_rgb(image))), None
+    except (ValueError, IndexError, KeyError, struct.error) as e:
+        return None, None, f"{type(e).__name__}: {e}"
+
+
+_TENSOR = {"height": ("integer", pa.int32()), "width": ("integer", pa.int32()), "rgb": ("binary", pa.binary()), "error": ("string", pa.string())}
+_PAYLOAD = {"payload_bytes": ("long", pa.int64()), "payload_sha256": ("string", pa.string()), "tail_crc32": ("long", pa.int64()), "media_bytes": ("long", pa.int64()), "media_sha256": ("string", pa.string())}
+
+
+def _payload_facts(data: bytes, image: Image | None) -> tuple:
+    own = (None, None, None)
+    if image is not None and image.comment.startswith(PAYLOAD_COMMENT):
+        payload = payload_of(image)
+        own = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+    return *own, len(data), hashlib.sha256(data).hexdigest()
+
+
+def rgb_tensors(images: DataFrame, media: str = "media", payload: bool = False) -> DataFrame:
+    """images with height, width, rgb (uint8 [height, width, 3], row by row) and error of each JPEG in the column media.
+
+    A null one has nulls; one that isn't a whole JPEG of 8-bit samples in one or three components has nulls and an error. payload adds
+    the length and digests of the bytes that text_media stored in it (null if there are none), and the JPEG's own. Input columns of these
+    names are replaced; repeated rows stay; no rows give none.
+    """
+    added = _TENSOR | (_PAYLOAD if payload else {})
+    kept = [c for c in images.columns if c not in added]
+    schema = images.select(*kept).schema
+    for name, (kind, _) in added.items():
+        schema = schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            first, made, size = 0, [], 0
             for i in range(len(batch)):
                 data = batch.column(media)[i].as_py()
-                image = None if data is None else decode(data)
-                rgb = None if image is None else np.concatenate(list(rows_of_rgb(image))).tobytes()
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, 1) for c in kept), pa.array([image and image.height], pa.int32()), pa.array([image and image.width], pa.int32()), pa.array([rgb], pa.binary())], [*kept, "height", "width", "rgb"])
+                image, rgb, error = _tensor(data)
+                facts = () if not payload else (None,) * 5 if data is None else _payload_facts(data, image)
+                made.append((image and image.height, image and image.width, None if rgb is None else rgb.tobytes(), error, *facts))
+                size += 0 if rgb is None else rgb.size
+                if size >= SLICE_BYTES or i + 1 == len(batch):
+                    columns = [pa.array(x, k) for x, (_, k) in zip(zip(*made, strict=True), added.values(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(first, len(made)) for c in kept), *columns], [*kept, *added])
+                    first, made, size = i + 1, [], 0
 
     return images.select(*kept).mapInArrow(run, schema)
 
 
-def media_features(stored: DataFrame) -> DataFrame:
-    """Per row of stored (doc_id, n_bytes, media), all from the stored bytes: the payload's length and digests, the media's, and a feature:
-    width x height, the means of R, G and B, and a checksum of the RGB tensor."""
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+def tensor_features(tensors: DataFrame) -> DataFrame:
+    """tensors (height, width, rgb, ...) with feature in place of rgb: width x height, the means of R, G and B, and a checksum of the
+    tensor; a null tensor has none."""
+    kept = [c for c in tensors.columns if c not in ("rgb", "feature")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for media in batch.column("media"):
-                data = media.as_py()
-                image = decode(data)
-                payload, total, check = payload_of(image), np.zeros(3, np.int64), 0
-                for rgb in rows_of_rgb(image):
-                    total, check = total + rgb.sum(axis=(0, 1), dtype=np.int64), zlib.crc32(rgb, check)
-                means = ",".join(f"{m:.3f}" for m in total / (image.width * image.height))
-                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), f"{image.width}x{image.height} {means} {check:08x}"))
-            columns = list(zip(*out, strict=True)) if out else [()] * 6
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
-
-    kind = stored.select("doc_id").schema[0].dataType.simpleString()
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+            features = []
+            for height, width, rgb in zip(batch.column("height").to_pylist(), batch.column("width").to_pylist(), batch.column("rgb"), strict=True):
+                if not rgb.is_valid:
+                    features.append(None)
+                    continue
+                data = np.frombuffer(rgb.as_buffer(), np.uint8)
+                means = ",".join(f"{m:.3f}" for m in data.reshape(-1, 3).sum(axis=0, dtype=np.int64) / (height * width))
+                features.append(f"{width}x{height} {means} {zlib.crc32(data):08x}")
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(features, pa.string())], [*kept, "feature"])
+
+    return tensors.select(*kept, "rgb").mapInArrow(run, tensors.select(*kept).schema.add("feature", "string"))
+
+
+def media_features(stored: DataFrame) -> DataFrame:
+    """Per row of stored (doc_id, n_bytes, media): doc_id, n_bytes, the payload's and the media's lengths and digests, and feature. Tensors
+    are written as a table and features come from the rows read back. A null or broken media has a null feature; other columns are ignored."""
+    tensors = rgb_tensors(stored.select("doc_id", "n_bytes", "media"), payload=True).drop("media")
+    return tensor_features(staged(tensors, "tensors")).drop("height", "width", "error")
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The JPEGs are written as a media column and read back from there."""
+    """The JPEGs are written as a media column and read back from there, and so are the RGB tensors."""
     return media_features(staged(text_media(read(spark, sf_dir, "documents")), "media"))
