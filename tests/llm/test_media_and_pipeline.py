@@ -129,7 +129,7 @@ def test_pipeline(spark) -> None:
             found = reference.near_duplicates([(r["doc_id"], r["text"]) for r in before.collect()], 5)
             assert {r["doc_id"] for r in kept[name]} == {i for i, (_, c) in found.items() if i == c}
         elif name == "mix_sources":
-            times = {r["doc_id"]: r["times"] for r in mixing.mix(before).collect()}
+            times = {r["doc_id"]: r["times"] for r in mixing.mix(before, labels).collect()}
             counts: dict[int, int] = {}
             for r in kept[name]:
                 counts[r["doc_id"]] = counts.get(r["doc_id"], 0) + 1
