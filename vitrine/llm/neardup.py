@@ -7,8 +7,11 @@ the threshold of 0.8 misses every one of the 32 bands with probability (1 - 0.8^
 
 Texts with equal sets are one class. In each bucket, classes are first held against one leader, so a bucket costs as many pairs as it has
 members however large it is; only members that stay in different components go on to further leaders, and what remains after that is
-searched for partners in other components by prefix filtering, which misses none. Every link is confirmed on the full sets. Components come from alternating large-star
-and small-star steps over written tables.
+searched for partners in other components by prefix filtering, which misses none. Every link is confirmed on the full sets. Components
+come from alternating large-star and small-star steps over written tables.
+
+A bucket, a leader or a class may hold a large share of all rows. Aggregates are combined before the shuffle; in joins, keys of more than
+HOT rows are joined apart (`join_hot`), and the set of a document in more than HOT pairs is dealt in copies (`_with_set`).
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ ROWS, BANDS = 5, 32
 BINS = ROWS * BANDS
 #: Rounds after the first in which each bucket has one leader, before what is left of different components is compared.
 LEADER_ROUNDS = 1
+#: Rows of one key beyond which a join treats it apart, with the same result.
+HOT = 400
 _SEEDS = mix(np.arange(1, 2 * BINS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _SEED_1, _SEED_2 = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 _LOW = np.uint64((1 << 40) - 1)
@@ -119,10 +124,33 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).union(pairs.select("v", "v").distinct().toDF("node", "component"))
 
 
+def join_hot(rows: DataFrame, keyed: DataFrame, on: list[str], size: str) -> DataFrame:
+    """rows joined with keyed, a written table of one row per key, `size` being the key's number of rows. Keys of more than HOT rows are
+    broadcast if a count shows that they are few, so their rows stay where they are; beyond that Spark splits skewed partitions."""
+    large = keyed.where(F.col(size) > HOT)
+    if large.isEmpty():
+        return rows.join(keyed.hint("merge"), on)
+    here = rows.join(keyed.where(F.col(size) <= HOT).hint("merge"), on)
+    return here.unionByName(join_checked(rows, large, on, "inner"))
+
+
+def _with_set(pairs: DataFrame, sets: DataFrame, side: str) -> DataFrame:
+    """pairs with of_<side>, the elements of the document in the column `side`. One that is in many pairs has its set dealt in as many
+    copies as it takes for each to serve HOT pairs, about."""
+    often = pairs.groupBy(side).agg(F.count("*").alias("n")).where(F.col("n") > HOT).select(side, F.ceil(F.col("n") / HOT).cast("int").alias("copies"))
+    often = staged(often, "often")
+    own = sets.select(F.col("doc_id").alias(side), F.col("elements").alias(f"of_{side}"))
+    if often.isEmpty():
+        return pairs.join(own, side)
+    dealt = join_checked(pairs, often, [side]).withColumn("copy", F.pmod(F.xxhash64("a", "b"), F.coalesce("copies", F.lit(1))).cast("int")).drop("copies")
+    copied = join_checked(own, often, [side]).withColumn("copy", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1))).drop("copies")
+    return dealt.join(copied, [side, "copy"]).drop("copy")
+
+
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets have a similarity of 0.8 or more."""
-    one = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("of_a")), "a")
-    two = one.join(sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("of_b")), "b")
+    """The pairs (a, b), a written table, whose full sets have a similarity of 0.8 or more."""
+    one = _with_set(pairs, sets, "a")
+    two = _with_set(one, sets, "b")
     both = F.size(F.array_intersect("of_a", "of_b"))
     return two.where(100 * both >= 80 * (F.size("of_a") + F.size("of_b") - both)).select("a", "b")
 
@@ -140,26 +168,26 @@ def near_duplicates(docs: DataFrame, k: int = 5) -> DataFrame:
     """
     signed = staged(signatures(docs, k), "signatures")
     with_set = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = staged(with_set.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")), "classes")
+    classes = staged(with_set.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.count("*").alias("members")), "classes")
     members = classes.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    shared = members.groupBy("key").agg(F.min("rep").alias("leader"), F.min_by("n", "rep").alias("leader_n"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
-    buckets = staged(members.join(shared.hint("merge"), "key"), "buckets")
+    shared = members.groupBy("key").agg(F.min("rep").alias("leader"), F.min_by("n", "rep").alias("leader_n"), F.count("*").alias("rows")).where("rows > 1")
+    buckets = staged(join_hot(members, staged(shared, "leaders"), ["key"], "rows").drop("rows"), "buckets")
     ids = staged(buckets.select(F.col("rep").alias("doc_id")).distinct(), "bucket-ids")
     sets = staged(shingle_sets(join_checked(docs.select("doc_id", "text"), ids, ["doc_id"], "left_semi", max_rows=500_000), k), "sets")
 
     def pair(df: DataFrame) -> DataFrame:
         return df.where(_near_in_size(F.col("n"), F.col("leader_n"))).select(F.greatest("rep", "leader").alias("a"), F.least("rep", "leader").alias("b")).distinct()
 
-    links = staged(_linked(pair(buckets.where("rep != leader")), sets), "verified")
-    tested, label = pair(buckets.where("rep != leader")), staged(components(links), "labels")
+    tested = staged(pair(buckets.where("rep != leader")), "pairs")
+    label = staged(components(staged(_linked(tested, sets), "verified")), "labels")
     for salt in range(1, LEADER_ROUNDS + 2):
         open_ = _open_buckets(buckets, label)
         if open_.isEmpty():
             break
         if salt <= LEADER_ROUNDS:
             order = F.xxhash64("rep", "key", F.lit(salt))
-            lead = open_.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("rep").alias("leader"), F.col("n").alias("leader_n"), F.col("component").alias("leader_component"))).alias("l")).select("key", "l.leader", "l.leader_n", "l.leader_component")
-            found = pair(open_.join(lead.hint("merge"), "key").where("component != leader_component"))
+            lead = open_.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("rep").alias("leader"), F.col("n").alias("leader_n"), F.col("component").alias("leader_component"))).alias("l"), F.count("*").alias("rows")).select("key", "l.leader", "l.leader_n", "l.leader_component", "rows")
+            found = pair(join_hot(open_, staged(lead, "leaders"), ["key"], "rows").where("component != leader_component"))
         else:
             found = _prefix_pairs(open_.select("rep", "component").distinct(), sets)
         more = staged(found.join(tested, ["a", "b"], "left_anti"), "more-pairs")
@@ -167,11 +195,13 @@ def near_duplicates(docs: DataFrame, k: int = 5) -> DataFrame:
         found = staged(_linked(more, sets), "verified")
         if not found.isEmpty():
             label = staged(components(found.union(label.select("node", "component"))), "labels")
-    of_class = classes.select("d1", "d2", F.col("n_shingles").alias("n"), "rep").join(label.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    out = signed.drop("bands").join(of_class.withColumnRenamed("n", "n_shingles").hint("merge"), ["d1", "d2", "n_shingles"], "left")
+    of_class = classes.select("d1", "d2", "n_shingles", "rep", "members").join(label.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    of_class = staged(of_class.select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component"), "members"), "of-class")
     alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
-    component = F.when(alone, F.col("doc_id")).otherwise(F.coalesce("component", "rep"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    rows = signed.select("doc_id", "n_shingles", "d1", "d2")
+    linked = join_hot(rows.where(~alone), of_class, ["d1", "d2", "n_shingles"], "members").select("doc_id", "n_shingles", "component")
+    out = linked.unionByName(rows.where(alone).select("doc_id", "n_shingles", F.col("doc_id").alias("component")))
+    return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
 def _prefix_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
@@ -179,16 +209,26 @@ def _prefix_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
 
     With elements in order of rarity, such a pair shares one of the first n - ceil(0.8 n) + 1, and from the first that it shares enough
     elements are left in both. An element that one set alone has can't be shared, but takes a place, so a text with its own edits throughout
-    has no partners to be tried.
+    has no partners to be tried. Such a pair also shares a second element among the first n - ceil(0.8 n) + 2, so where more than HOT
+    prefixes hold an element, it is only a partner's together with each that may be the second one.
     """
     tokens = nodes.join(sets.withColumnRenamed("doc_id", "rep"), "rep").select("rep", "component", F.size("elements").alias("n"), F.explode("elements").alias("e"))
     often = tokens.groupBy("e").agg(F.count("*").alias("often")).where("often > 1")
     shared, own = tokens.join(often.hint("merge"), "e"), Window.partitionBy("rep")
     shared = shared.withColumn("place", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("often", "e")) - 1)
-    prefix = staged(shared.where("place <= n - (4 * n + 4) DIV 5").select("rep", "component", "n", "e", "place"), "prefixes")
-    other = prefix.select("e", *(F.col(c).alias(f"other_{c}") for c in ("rep", "component", "n", "place")))
+    spare = F.expr("n - (4 * n + 4) DIV 5")
+    prefix = staged(shared.where(F.col("place") <= spare + 1).select("rep", "component", "n", "e", "place"), "prefixes")
+    first = prefix.where(F.col("place") <= spare)
+    common = staged(first.groupBy("e").agg(F.count("*").alias("rows")).where(F.col("rows") > HOT).select("e"), "common-elements")
+    keyed = join_checked(first, common, ["e"], "left_anti")
+    if not common.isEmpty():
+        hot = join_checked(first, common, ["e"], "left_semi").select("rep", F.col("e").alias("e1"), F.col("place").alias("first_place"))
+        second = prefix.join(hot, "rep").where("place > first_place")
+        keyed = keyed.unionByName(second.select("rep", "component", "n", F.xxhash64("e1", "e").alias("e"), F.col("first_place").alias("place")))
+    keyed = staged(keyed, "prefix-keys")
+    other = keyed.select("e", *(F.col(c).alias(f"other_{c}") for c in ("rep", "component", "n", "place")))
     left = 1 + F.least(F.col("n") - F.col("place"), F.col("other_n") - F.col("other_place")) - 1
-    both = prefix.join(other.hint("merge"), "e").where((F.col("component") < F.col("other_component")) & _near_in_size(F.col("n"), F.col("other_n")) & (9 * left >= 4 * (F.col("n") + F.col("other_n"))))
+    both = keyed.join(other.hint("merge"), "e").where((F.col("component") < F.col("other_component")) & _near_in_size(F.col("n"), F.col("other_n")) & (9 * left >= 4 * (F.col("n") + F.col("other_n"))))
     return both.select(F.greatest("rep", "other_rep").alias("a"), F.least("rep", "other_rep").alias("b")).distinct()
 
 
@@ -196,8 +236,8 @@ def _open_buckets(buckets: DataFrame, label: DataFrame) -> DataFrame:
     """The rows of the buckets that hold more than one component, with component; written, as several steps read it."""
     named = buckets.select("key", "rep", "n").join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     named = staged(named, "named")
-    mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
-    return staged(named.join(mixed.hint("merge"), "key", "left_semi"), "open")
+    mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("rows")).where("x != y").select("key", "rows")
+    return staged(join_hot(named, staged(mixed, "mixed"), ["key"], "rows").drop("rows"), "open")
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
