@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -30,38 +31,68 @@ def with_followed(follows: DataFrame, brands: DataFrame, counts: DataFrame) -> D
     return follows.join(brands, "brand_id", "left").join(counts, "brand_id", "left").withColumn("products", F.coalesce("products", F.lit(0)))
 
 
-def nearest_above(lines: DataFrame) -> DataFrame:
-    """For each line (doc_id, line_no, indent, kind), the nearest earlier one of smaller indent: parent_line; null at the top.
-
-    A document's lines are streamed in order with the stack of those still open, so it is sorted once, never joined with itself nor held
-    whole, and any indent may occur. A line without an indent has no parent and is none.
-    """
+def _in_order(lines: DataFrame, name: str, step: Callable[[list, int | None, int, str], int | None]) -> DataFrame:
+    """lines with a line number that `step` gives for each (opened, indent, line_no, kind). A document's lines are streamed in order, with
+    `opened` carried on, so it is sorted once, never joined with itself nor held whole, and any indent may occur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, opened = None, []
         for batch in batches:
-            parents = []
-            for of, line, indent in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "line_no", "indent")), strict=True):
+            found = []
+            for of, line, indent, kind in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "line_no", "indent", "kind")), strict=True):
                 if of != doc:
                     doc, opened = of, []
-                while indent is not None and opened and opened[-1][0] >= indent:
-                    opened.pop()
-                parents.append(opened[-1][1] if indent is not None and opened else None)
-                if indent is not None:
-                    opened.append((indent, line))
-            columns = dict(zip(batch.schema.names, batch.columns, strict=True)) | {"parent_line": pa.array(parents, batch.column("line_no").type)}
+                found.append(step(opened, indent, line, kind))
+            columns = dict(zip(batch.schema.names, batch.columns, strict=True)) | {name: pa.array(found, batch.column("line_no").type)}
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    lines = lines.drop("parent_line")
-    kind = lines.schema["line_no"].dataType
-    return lines.repartition("doc_id").sortWithinPartitions("doc_id", "line_no").mapInArrow(run, StructType([*lines.schema.fields, StructField("parent_line", kind)]))
+    lines = lines.drop(name)
+    number = lines.schema["line_no"].dataType
+    return lines.repartition("doc_id").sortWithinPartitions("doc_id", "line_no").mapInArrow(run, StructType([*lines.schema.fields, StructField(name, number)]))
+
+
+def nearest_above(lines: DataFrame) -> DataFrame:
+    """For each line (doc_id, line_no, indent, kind), the nearest earlier one of smaller indent: parent_line; null at the top. A line without
+    an indent has no parent and is none."""
+
+    def step(opened: list, indent: int | None, line: int, kind: str) -> int | None:
+        if indent is None:
+            return None
+        while opened and opened[-1][0] >= indent:
+            opened.pop()
+        above = opened[-1][1] if opened else None
+        opened.append((indent, line))
+        return above
+
+    return _in_order(lines, "parent_line", step)
+
+
+def nearby_links(lines: DataFrame) -> DataFrame:
+    """For each line (doc_id, line_no, indent, kind), the latest earlier link of the same or a smaller indent: link_line; null if there is none.
+    Links that a later one of no greater indent hides are never the latest again, so those that are kept have rising indents."""
+
+    def step(opened: list, indent: int | None, line: int, kind: str) -> int | None:
+        if indent is None:
+            return None
+        at = bisect_right(opened, indent, key=lambda x: x[0])
+        found = opened[at - 1][1] if at else None
+        if kind == "link":
+            del opened[bisect_left(opened, indent, key=lambda x: x[0]) :]
+            opened.append((indent, line))
+        return found
+
+    return _in_order(lines, "link_line", step)
 
 
 def carried_headings(lines: DataFrame) -> DataFrame:
-    """Links with the last heading or short button before them in their document."""
-    w = Window.partitionBy("doc_id").orderBy("line_no")
-    heading = F.when((F.col("kind") == "heading") | ((F.col("kind") == "button") & (F.length("text") < 30)), F.col("text"))
-    return lines.withColumn("heading", F.last(heading, ignorenulls=True).over(w)).where("kind = 'link'")
+    """Links with the last heading or button of fewer than 30 characters before them in their document, until a line that is no such one
+    returns to its indent or a smaller one; then null."""
+    in_order = Window.partitionBy("doc_id").orderBy("line_no")
+    opens = F.col("kind").isin("heading", "button") & (F.length("text") < 30)
+    rows = lines.withColumn("_at", F.last(F.when(opens, F.struct(F.col("line_no").alias("line"), F.col("indent").alias("indent"), F.col("text").alias("text"))), ignorenulls=True).over(in_order))
+    closed = F.max(~opens & (F.col("indent") <= F.col("_at.indent"))).over(Window.partitionBy("doc_id", "_at.line").orderBy("line_no"))
+    rows = rows.withColumn("_closed", F.coalesce(closed, F.lit(False)))
+    return rows.withColumn("heading", F.when(~F.col("_closed"), F.col("_at.text"))).where("kind = 'link'").drop("_at", "_closed")
 
 
 def near_offsets(left: DataFrame, right: DataFrame, before: int = 100, after: int = 200) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitrine.streaming.live import shared_path
+from vitrine.shared import shared_path
 
 _ROW = (1 << 33) - 1
 

@@ -1,41 +1,46 @@
 """Category trees as edge tables (node_id, parent_id, ordinal, name, url): paths, counts, pruning, roll-ups and rewrites.
 
-Reads that follow the tree are recursive queries. Rewrites from the leaves up take one join per level, so their number is the tree's depth.
+What follows the tree comes from its closure, which is found by doubling: each round joins the pairs known so far to the jumps of twice the
+length, so the rounds are the logarithm of the depth and there is no bound on it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrine.functions.predicates import is_all_category, is_homepage
+from vitrine.shared import staged
 
 
-def with_paths(nodes: DataFrame) -> DataFrame:
-    """Every node with depth (0 at a root), path of names joined by " > ", and sort_path, which orders a listing depth first."""
-    return nodes.sparkSession.sql(
-        """
-        WITH RECURSIVE t AS (
-          SELECT node_id, parent_id, ordinal, name, url, 0 AS depth, name AS path, lpad(cast(ordinal AS string), 12, '0') AS sort_path FROM {nodes} WHERE parent_id IS NULL
-          UNION ALL
-          SELECT c.node_id, c.parent_id, c.ordinal, c.name, c.url, t.depth + 1, t.path || ' > ' || c.name, t.sort_path || '/' || lpad(cast(c.ordinal AS string), 12, '0') FROM t JOIN {nodes} c ON c.parent_id = t.node_id
-        ) SELECT * FROM t
-        """,
-        nodes=nodes,
-    )
+def closure(nodes: DataFrame) -> DataFrame:
+    """Every pair of a node and one of its ancestors, itself included: node_id, ancestor_id, distance. Parents that form a cycle are an error."""
+    child, above = nodes.select("node_id", F.col("parent_id").alias("ancestor_id")), nodes.select(F.col("node_id").alias("ancestor_id"))
+    parents = staged(child.join(above, "ancestor_id").select("node_id", "ancestor_id", F.lit(1).alias("distance")), "tree-parents")
+    pairs, jumps, length = nodes.select("node_id", F.col("node_id").alias("ancestor_id"), F.lit(0).alias("distance")).unionByName(parents), parents, 1
+    known = parents
+    while True:
+        further = known.select(F.col("node_id").alias("by"), F.col("ancestor_id").alias("top"), F.col("distance").alias("more"))
+        found = jumps.join(further, F.col("ancestor_id") == F.col("by")).select("node_id", F.col("top").alias("ancestor_id"), (F.lit(length) + F.col("more")).alias("distance"))
+        found = staged(found, "tree-pairs")
+        size = found.agg(F.count("*").alias("n"), F.count_if(F.col("node_id") == F.col("ancestor_id")).alias("cycles")).first()
+        if size["cycles"]:
+            raise ValueError("the parents of some nodes form a cycle")
+        if not size["n"]:
+            return pairs
+        pairs, known, length = pairs.unionByName(found), known.unionByName(found), 2 * length
+        jumps = found.where(F.col("distance") == length)
 
 
-def closure(nodes: DataFrame) -> DataFrame:
-    """Every pair of a node and one of its ancestors, itself included: node_id, ancestor_id, distance."""
-    return nodes.sparkSession.sql(
-        """
-        WITH RECURSIVE t AS (
-          SELECT node_id, node_id AS ancestor_id, parent_id AS next, 0 AS distance FROM {nodes}
-          UNION ALL SELECT t.node_id, p.node_id, p.parent_id, t.distance + 1 FROM t JOIN {nodes} p ON p.node_id = t.next
-        ) SELECT node_id, ancestor_id, distance FROM t
-        """,
-        nodes=nodes,
-    )
+def with_paths(nodes: DataFrame) -> DataFrame:
+    """Every node below a root with depth (0 at a root), path of names joined by " > ", and sort_path, which orders a listing depth first."""
+    own = F.struct("node_id", "parent_id", "ordinal", "name", "url")
+    above = closure(nodes).join(nodes.select(F.col("node_id").alias("ancestor_id"), own.alias("at")), "ancestor_id")
+    by = above.groupBy("node_id").agg(F.max("distance").alias("depth"), F.max(F.when(F.col("distance") == 0, F.col("at"))).alias("own"), F.sort_array(F.collect_list(F.struct((-F.col("distance")).alias("up"), F.col("at.name").alias("name"), F.col("at.ordinal").alias("ordinal"), F.col("at.parent_id").alias("parent_id")))).alias("way"))
+    names = F.transform("way", lambda x: x["name"])
+    path = F.when(~F.exists(names, lambda x: x.isNull()), F.array_join(names, " > "))
+    sort_path = F.array_join(F.transform("way", lambda x: F.lpad(x["ordinal"].cast("string"), 12, "0")), "/")
+    return by.where(F.col("way")[0]["parent_id"].isNull()).select("own.*", "depth", path.alias("path"), sort_path.alias("sort_path"))
 
 
 def leaves(nodes: DataFrame) -> DataFrame:
@@ -55,7 +60,7 @@ def counts(nodes: DataFrame) -> DataFrame:
 
 def subtree_products(nodes: DataFrame, listed: DataFrame) -> DataFrame:
     """Per node, the distinct products of its subtree; listed has (node_id, product_id). Nodes without any are left out."""
-    return closure(nodes).join(listed, "node_id").groupBy(F.col("ancestor_id").alias("node_id")).agg(F.count_distinct("product_id").alias("products"))
+    return closure(nodes).join(listed.select("node_id", "product_id").distinct(), "node_id").groupBy(F.col("ancestor_id").alias("node_id")).agg(F.count_distinct("product_id").alias("products"))
 
 
 def pruned(nodes: DataFrame, listed: DataFrame) -> DataFrame:
@@ -87,14 +92,15 @@ def without_homepages(nodes: DataFrame, base: str) -> DataFrame:
     return nodes.join(below, "node_id", "left_anti")
 
 
-def collapsed(nodes: DataFrame, most_levels: int = 32) -> DataFrame:
-    """While the top level is one node with children, its children take its place. A loop over levels, each a tiny aggregate."""
-    for _ in range(most_levels):
-        top = nodes.where("parent_id IS NULL").select("node_id").limit(2).collect()
-        if len(top) != 1 or nodes.where(F.col("parent_id") == top[0][0]).isEmpty():
-            break
-        nodes = nodes.where(F.col("node_id") != top[0][0]).withColumn("parent_id", F.when(F.col("parent_id") != top[0][0], F.col("parent_id")))
-    return nodes
+def collapsed(nodes: DataFrame) -> DataFrame:
+    """While the top level is one node with children, its children take its place: the roots are then the nodes of the first level that has
+    several, or none below it."""
+    placed = staged(with_paths(nodes), "tree-levels")
+    levels = placed.groupBy("depth").agg(F.count("*").alias("n"))
+    below = levels.select((F.col("depth") - 1).alias("depth"), F.lit(True).alias("goes_on"))
+    top = levels.join(below, "depth", "left").where("n > 1 OR goes_on IS NULL").agg(F.min("depth").alias("top"))
+    kept = placed.crossJoin(F.broadcast(top)).where("depth >= top")
+    return kept.withColumn("parent_id", F.when(F.col("depth") > F.col("top"), F.col("parent_id"))).select("node_id", "parent_id", "ordinal", "name", "url")
 
 
 def lifted_links(links: DataFrame) -> DataFrame:
@@ -119,7 +125,8 @@ def url_hierarchy(links: DataFrame) -> DataFrame:
     """Per link (url, path), the nearest other link above it by path. Prefixes of each path are joined by equality, so nothing is compared in pairs."""
     parts = F.filter(F.split("path", "/"), lambda p: p != "")
     up = links.select("url", "path", parts.alias("parts")).select("url", "path", F.explode(F.transform(F.sequence(F.lit(0), F.size("parts")), lambda n: F.concat(F.lit("/"), F.array_join(F.slice("parts", F.lit(1), n), "/")))).alias("above"))
-    known = links.select(F.col("path").alias("above"), F.col("url").alias("parent_url")).where("above != '/'")
+    #: One link of each path, so that many at a path and many below it make no more rows than there are prefixes.
+    known = links.where("path != '/'").groupBy(F.col("path").alias("above")).agg(F.max("url").alias("parent_url"))
     best = up.where("above != path").join(known, "above").groupBy("url").agg(F.max_by("parent_url", F.struct(F.length("above"), "parent_url")).alias("parent_url"))
     return links.join(best, "url", "left").select("url", "path", "parent_url")
 

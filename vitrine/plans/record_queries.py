@@ -207,21 +207,21 @@ def site_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT o_orderkey AS follow_id, 'brand_' || (o_orderkey % 30) AS brand_id, b.kinds, coalesce(b.products, 0) AS products FROM orders
-LEFT JOIN (SELECT lower(replace(p_brand, '#', '_')) AS brand_id, count(DISTINCT p_type) AS kinds, count(*) AS products FROM part GROUP BY 1) b ON b.brand_id = 'brand_' || (o_orderkey % 30) WHERE o_custkey < 50
+LEFT JOIN (SELECT lower(replace(p_brand, '#', '_')) AS brand_id, count(DISTINCT p_type) AS kinds, count(*) AS products FROM part GROUP BY 1) b ON b.brand_id = 'brand_' || (o_orderkey % 30)
 """)
 def followed_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    follows = table(spark, sf_dir, "orders").where("o_custkey < 50").select(F.col("o_orderkey").alias("follow_id"), F.concat(F.lit("brand_"), (F.col("o_orderkey") % 30).cast("string")).alias("brand_id"))
+    follows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("follow_id"), F.concat(F.lit("brand_"), (F.col("o_orderkey") % 30).cast("string")).alias("brand_id"))
     p = products(spark, sf_dir)
     return joins.with_followed(follows, p.groupBy("brand_id").agg(F.count_distinct("kind").alias("kinds")), catalogue.counts_of(p, "brand_id"))
 
 
-_LINES = "(SELECT user_id AS doc_id, event_id AS line_no, CAST(floor(value) AS INT) % 6 AS indent, CASE event_type WHEN 'view' THEN 'link' WHEN 'error' THEN 'heading' WHEN 'click' THEN 'button' ELSE 'text' END AS kind, event_type || event_id AS text FROM events WHERE user_id < 20)"
+_LINES = "(SELECT user_id AS doc_id, event_id AS line_no, CAST(floor(value) AS INT) AS indent, CASE event_type WHEN 'view' THEN 'link' WHEN 'error' THEN 'heading' WHEN 'click' THEN 'button' ELSE 'text' END AS kind, event_type || event_id AS text FROM events)"
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
     kinds = F.when(kind == "view", "link").when(kind == "error", "heading").when(kind == "click", "button").otherwise("text")
-    return table(spark, sf_dir, "events").where("user_id < 20").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("line_no"), (F.floor("value").cast("int") % 6).alias("indent"), kinds.alias("kind"), F.concat("event_type", F.col("event_id").cast("string")).alias("text"))
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("line_no"), F.floor("value").cast("int").alias("indent"), kinds.alias("kind"), F.concat("event_type", F.col("event_id").cast("string")).alias("text"))
 
 
 @query(f"SELECT a.doc_id, a.line_no, max(b.line_no) AS parent_line FROM {_LINES} a LEFT JOIN {_LINES} b ON a.doc_id = b.doc_id AND b.line_no < a.line_no AND b.indent < a.indent GROUP BY a.doc_id, a.line_no")
@@ -229,8 +229,14 @@ def nearest_parent_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.nearest_above(_lines(spark, sf_dir)).select("doc_id", "line_no", "parent_line")
 
 
+@query(f"SELECT a.doc_id, a.line_no, max(b.line_no) AS link_line FROM {_LINES} a LEFT JOIN {_LINES} b ON a.doc_id = b.doc_id AND b.line_no < a.line_no AND b.indent <= a.indent AND b.kind = 'link' WHERE a.kind = 'button' GROUP BY a.doc_id, a.line_no")
+def nearby_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.nearby_links(_lines(spark, sf_dir)).where("kind = 'button'").select("doc_id", "line_no", "link_line")
+
+
 @query(f"""
-SELECT doc_id, line_no, heading FROM (SELECT *, last_value(CASE WHEN kind IN ('heading', 'button') THEN text END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no) AS heading FROM {_LINES}) WHERE kind = 'link'
+SELECT a.doc_id, a.line_no, CASE WHEN h.line_no IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {_LINES} c WHERE c.doc_id = a.doc_id AND c.line_no > h.line_no AND c.line_no <= a.line_no AND c.indent <= h.indent) THEN h.text END AS heading
+FROM (SELECT *, last_value(CASE WHEN kind IN ('heading', 'button') THEN line_no END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no) AS under FROM {_LINES}) a LEFT JOIN {_LINES} h ON h.doc_id = a.doc_id AND h.line_no = a.under WHERE a.kind = 'link'
 """)
 def links_under_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.carried_headings(_lines(spark, sf_dir)).select("doc_id", "line_no", "heading")
@@ -255,10 +261,10 @@ def line_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT event_id, row_number() OVER (ORDER BY again, event_id)::INT AS position FROM (SELECT event_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) > 1)::INT AS again FROM events WHERE user_id < 30) ORDER BY again, event_id LIMIT 50
+SELECT event_id, row_number() OVER (ORDER BY again, event_id)::INT AS position FROM (SELECT event_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) > 1)::INT AS again FROM events) ORDER BY again, event_id LIMIT 50
 """)
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").where("user_id < 30").select(F.col("event_id").alias("pos"), F.col("user_id").alias("lineage"))
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("pos"), F.col("user_id").alias("lineage"))
     return joins.stratified(rows).select(F.col("pos").alias("event_id"), "position")
 
 

@@ -49,10 +49,10 @@ def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT o_orderkey AS run_id, row_number() OVER w::INT AS run_no, date_diff('day', (lead(o_orderdate) OVER w)::DATE, o_orderdate::DATE)::INT AS days_since FROM orders WHERE o_custkey < 200 WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC)
+SELECT o_orderkey AS run_id, row_number() OVER w::INT AS run_no, date_diff('day', (lead(o_orderdate) OVER w)::DATE, o_orderdate::DATE)::INT AS days_since FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC)
 """)
 def run_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = table(spark, sf_dir, "orders").where("o_custkey < 200").select("o_custkey", F.col("o_orderkey").alias("run_id"), "o_orderdate")
+    runs = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("run_id"), "o_orderdate")
     return records.run_history(runs, "o_custkey", "o_orderdate").select("run_id", "run_no", "days_since")
 
 

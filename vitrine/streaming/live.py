@@ -5,13 +5,13 @@ Every stream is started with a checkpoint, so a stopped one goes on where it was
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from vitrine.shared import shared_path
 from vitrine.sources.catalogue import table
 
 
@@ -21,12 +21,6 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str, files_per_batch: i
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", f"{name}*.parquet").parquet(sf_dir)
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that driver and executors share, or the warehouse where none is named."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def drained(stream: DataFrame, name: str, mode: str = "append", batch: Callable[[DataFrame, int], None] | None = None) -> str:
     """Runs a stream over all that is there now and returns the folder of its results."""
     spark = stream.sparkSession

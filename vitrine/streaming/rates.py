@@ -7,6 +7,7 @@ from dataclasses import asdict, dataclass, fields
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -70,11 +71,27 @@ def _advance(limiter: Limiter, rows: pd.DataFrame) -> pd.DataFrame:
 def limited(outcomes: DataFrame) -> DataFrame:
     """outcomes (site, event_id, ts, status, retry_after) with the rate, tokens and wait after each, in order of event time within a site.
 
-    For a stream, state goes on from batch to batch; for a table, each site is one group, as its limiter is a chain of its requests.
+    A stream's state goes on from batch to batch. A table is dealt by site and sorted, and each site's limiter steps along its rows as they
+    come by, so no site is held whole; it is a chain of its requests, which one task follows.
     """
     if outcomes.isStreaming:
         return outcomes.groupBy("site").applyInPandasWithState(_stateful, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
-    return outcomes.groupBy("site").applyInPandas(lambda rows: _advance(Limiter(), rows), OUT)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        site, limiter = None, Limiter()
+        for batch in batches:
+            out = []
+            times = batch.column("ts").cast(pa.timestamp("us", "UTC")).cast(pa.int64()).to_pylist()
+            for of, now, status, retry in zip(batch.column("site").to_pylist(), times, batch.column("status").to_pylist(), batch.column("retry_after").to_pylist(), strict=True):
+                if of != site:
+                    site, limiter = of, Limiter()
+                wait = limiter.step(now / 1e6, status, retry)
+                out.append((limiter.rate, limiter.tokens, wait))
+            columns = zip(*out, strict=True) if out else [()] * 3
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("site", "event_id", "ts", "status")), *(pa.array(c, pa.float64()) for c in columns)], ["site", "event_id", "ts", "status", "rate", "tokens", "wait"])
+
+    rows = outcomes.select("site", "event_id", "ts", F.col("status").cast("int").alias("status"), F.col("retry_after").cast("double").alias("retry_after"))
+    return rows.repartition("site").sortWithinPartitions("site", "ts", "event_id").mapInArrow(run, OUT)
 
 
 def _stateful(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
