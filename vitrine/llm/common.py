@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vitrine.shared import shared_dir, staged
 from vitrine.workers import let_workers_import
 
 __all__ = ["SLICE_BYTES", "WORD", "join_checked", "let_workers_import", "read", "shared_dir", "slices", "staged", "text_buffers"]
@@ -25,23 +24,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A cluster names it in spark.checkpoint.dir; only tests leave it unset."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        top = f"file://{tempfile.mkdtemp(prefix='vitrine-')}"
-        spark.conf.set("spark.checkpoint.dir", top)
-    return top.rstrip("/")
-
-
-def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """df written as Parquet to the shared folder and read again: its lineage ends here and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def join_checked(df: DataFrame, small: DataFrame, on: list[str], how: str = "left", max_rows: int = 50_000) -> DataFrame:
     """Broadcasts `small` if a count shows max_rows rows at most; beyond that it is an ordinary shuffled join, which AQE splits where a key is hot."""
     fits = small.limit(max_rows + 1).count() <= max_rows
