@@ -23,6 +23,21 @@ LEAST_RESPONSE = 100
 #: Names of buttons and links that lead to no product.
 UTILITY_NAMES = ["back", "close", "search", "login", "cart", "menu", "subscribe", "play", "pause", "mute", "chat", "support", "cookie", "settings", "help", "navigation", "account", "wishlist", "shipping", "returns", "contact", "privacy", "terms"]
 
+#: Parts of a URL, and of a host, that are a tracker's: of responses in full, and of endpoints.
+RESPONSE_TRACKERS = ["google", "facebook", "analytics", "tracking", "pixel", "doubleclick", "criteo", "klaviyo", "attentive", "onetrust", "cookielaw", "abtasty", "gorgias", "preproduct"]
+ENDPOINT_TRACKERS = ["google", "facebook", "analytics", "tracking", "pixel", "doubleclick", "adsrvr", "criteo", "pinterest", "snap", "tiktok", "reddit", "taboola", "outbrain", "cookielaw", "onetrust", "cdn.", "static.", "assets."]
+#: Words of an endpoint's URL that speak of a product.
+ENDPOINT_WORDS = ["product", "item", "price", "stock", "inventory", "variant"]
+#: Words of a dialog, by its kind, in the order in which they are tried.
+MODAL_WORDS = {
+    "subscription": ["newsletter", "subscribe", "email", "signup", "join"],
+    "cookie_consent": ["cookie", "consent", "privacy", "gdpr", "tracking", "accept"],
+    "age_verification": ["age", "verify", "18+", "adult", "birthday", "confirm"],
+    "newsletter": ["newsletter", "updates", "news", "email"],
+    "popup_ad": ["sale", "discount", "offer", "deal", "promo"],
+    "login_prompt": ["login", "sign in", "account", "register"],
+}
+
 
 def any_of(text: Column, parts: list[str]) -> Column:
     """Whether one of the parts is found; false for null."""
@@ -144,3 +159,28 @@ def completeness_score(name: Column, price: Column, currency: Column, images: Co
     for test, n in points:
         total = total + F.when(test, F.lit(n)).otherwise(F.lit(0))
     return total
+
+
+def is_response_tracker(url: Column) -> Column:
+    return any_of(F.lower(url), RESPONSE_TRACKERS)
+
+
+def is_endpoint_tracker(url: Column) -> Column:
+    return any_of(F.lower(host(url)), ENDPOINT_TRACKERS)
+
+
+def endpoint_score(url: Column, product_fields: Column, size: Column, content_type: Column) -> Column:
+    """How useful an endpoint seems: 10 for each product field, 5 and 10 for its size, 15 for JSON, 20 for each word of its URL that speaks of
+    a product, 100 less for a tracker."""
+    score = 10 * product_fields + F.when(size > 1000, 5).otherwise(0) + F.when(size > 5000, 10).otherwise(0) + F.when(F.contains(content_type, F.lit("json")), 15).otherwise(0)
+    for word in ENDPOINT_WORDS:
+        score = score + F.when(F.contains(F.lower(url), F.lit(word)), 20).otherwise(0)
+    return score - F.when(is_endpoint_tracker(url), 100).otherwise(0)
+
+
+def modal_kind(text: Column) -> Column:
+    """The first kind of dialog one of whose words the text has, else unknown."""
+    low, out = F.lower(text), F.lit("unknown")
+    for kind, words in reversed(MODAL_WORDS.items()):
+        out = F.when(any_of(low, words), F.lit(kind)).otherwise(out)
+    return out
