@@ -37,10 +37,28 @@ def nested_favourites(rows: DataFrame) -> DataFrame:
     return rows.select("id", *[pick(p) for p in ("season", "collection", "look")])
 
 
+def favourite_places(nested: DataFrame) -> DataFrame:
+    """nested_favourites' rows with their place among those of their season (by designer and look) and of their collection (by look)."""
+    of_season = Window.partitionBy("season").orderBy("collection.designer", "look.number", "id")
+    of_collection = Window.partitionBy("collection").orderBy("look.number", "id")
+    return nested.withColumns({"by_season": F.row_number().over(of_season), "by_collection": F.row_number().over(of_collection)})
+
+
+def with_existence(asked: DataFrame, known: DataFrame, key: list[str]) -> DataFrame:
+    """asked with exists: whether its key is among the known rows."""
+    found = known.select(*key).distinct().withColumn("exists", F.lit(True))
+    return asked.join(found, key, "left").withColumn("exists", F.coalesce("exists", F.lit(False)))
+
+
+def images_of(products: DataFrame, url: str) -> DataFrame:
+    """The images of the product at a URL, in order: product_id, pos, image; no rows if there is none."""
+    return products.where(F.col("url") == url).select("product_id", F.posexplode("images").alias("pos", "image"))
+
+
 def attribute_values(variants: DataFrame, attribute: str) -> DataFrame:
     """The values of an attribute with the distinct products that have them, ranked."""
     by = variants.where(F.col(attribute).isNotNull()).groupBy(F.col(attribute).alias("value")).agg(F.count_distinct("product_id").alias("products"))
-    return by.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("products"), "value")))
+    return positioned(by, F.desc("products"), F.col("value"), name="rank").withColumn("rank", F.col("rank").cast("int"))
 
 
 def report_lines(rows: DataFrame, name: str, numbers: list[str], width: int = 24) -> DataFrame:
@@ -71,7 +89,7 @@ def run_history(runs: DataFrame, key: str, start: str) -> DataFrame:
 def jobs_with_status(jobs: DataFrame, status: str | None) -> DataFrame:
     """Jobs from the newest, of one status if given, with how many there are of each after that filter."""
     rows = jobs if status is None else jobs.where(F.col("status") == status)
-    counted = rows.join(F.broadcast(rows.groupBy("status").agg(F.count("*").alias("of_status"))), "status")
+    counted = rows.join(rows.groupBy("status").agg(F.count("*").alias("of_status")), "status")
     return positioned(counted, F.col("started").desc(), F.col("job_id").desc())
 
 

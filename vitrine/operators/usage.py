@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrine.functions.text import token_cost
+from vitrine.operators.ranking import positioned
 
 
 def usage_rollup(calls: DataFrame) -> DataFrame:
@@ -36,7 +37,7 @@ def storage_stats(files: DataFrame, owner: str) -> DataFrame:
 def frequencies(rows: DataFrame, value: str, pos: str) -> DataFrame:
     """Counts by value, ranked by falling count, of equals by first appearance."""
     by = rows.groupBy(value).agg(F.count("*").alias("n"), F.min(pos).alias("first"))
-    return by.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "first"))).drop("first")
+    return positioned(by, F.desc("n"), F.col("first"), name="rank").withColumn("rank", F.col("rank").cast("int")).drop("first")
 
 
 def last_outcomes(events: DataFrame, key: str, order: list[str], size: int = 100) -> DataFrame:
