@@ -48,6 +48,38 @@ def test_chat_round_trip(spark) -> None:
     assert chat.format_chats(turns.where("false")).count() == 0
 
 
+def test_chat_of_many_turns(spark) -> None:
+    """20,000 turns in one conversation: every span lies where its text is."""
+    turns = spark.range(20_000).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("<s> "), F.col("id").cast("string")).alias("text"))
+    got = chat.parse_chats(chat.format_chats(turns)).first()
+    assert got["n_turns"] == 20_000 and got["loss_texts"] == [f"<s> {i}" for i in range(20_000) if i % 3]
+    ends = [s["start"] + s["length"] for s in got["loss_spans"]]
+    assert all(got["formatted"][s["start"] : e] == f"<\\s> {i}" for s, e, i in zip(got["loss_spans"], ends, (i for i in range(20_000) if i % 3), strict=True))
+
+
+def test_mixing_targets_by_resharing(spark) -> None:
+    """Targets as the words of the task put them: caps one source after another, and the excess shared again by weight until none is above."""
+    import random
+
+    rng = random.Random(4)
+    for n in (1, 2, 5, 17, 40):
+        sizes = {f"s{i:02d}": rng.choice([0, 1, 5, 100, 10_000]) for i in range(n)} | {None: 7}
+        names = [*sorted(k for k in sizes if k), None]
+        weight = {k: i % 3 + 1 for i, k in enumerate(names)}
+        target, open_, rest = dict.fromkeys(names, 0.0), set(names), float(sum(sizes.values()))
+        while rest > 1e-9 and open_:
+            share = {k: rest * weight[k] / sum(weight[j] for j in open_) for k in open_}
+            rest = 0.0
+            for k, v in share.items():
+                target[k] += v
+                if target[k] >= 3 * sizes[k]:
+                    rest += target[k] - 3 * sizes[k]
+                    target[k] = 3.0 * sizes[k]
+                    open_.discard(k)
+        rows = mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, size long")).collect()
+        assert all(math.isclose(r["target"], target[r["source"]], rel_tol=1e-9, abs_tol=1e-6) for r in rows) and len(rows) == len(names)
+
+
 def xx(value: str | int, seed: int = 42) -> int:
     data = value.encode() if isinstance(value, str) else value.to_bytes(8, "little", signed=True)
     return int.from_bytes(xxhash.xxh64(data, seed=seed & (1 << 64) - 1).intdigest().to_bytes(8, "little"), "little", signed=True)

@@ -56,15 +56,21 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     )
     #: Each block becomes pieces of (string, under the loss mask); every piece but the assistant texts is template.
     pieces = blocks.select("conv_id", "n_turns", F.flatten(F.transform("blocks", _pieces)).alias("pieces"))
-    spans = F.aggregate(
-        "pieces",
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans")),
+    #: Where pieces start is summed in chunks of about the root of their number, so no long array is copied for each piece.
+    width = F.ceil(F.sqrt(F.size("pieces"))).cast("int")
+    chunks = pieces.withColumn("chunks", F.transform(F.sequence(F.lit(0), F.ceil(F.size("pieces") / width).cast("int") - 1), lambda c: F.slice("pieces", c * width + 1, width)))
+    own = F.transform("chunks", lambda chunk: F.aggregate(chunk, F.lit(0), lambda n, p: n + F.length(p["s"])))
+    chunks = chunks.withColumn("starts", F.aggregate(own, F.array(F.lit(0)), lambda starts, n: F.concat(starts, F.array(F.element_at(starts, -1) + n))))
+    spans_of = lambda chunk, c: F.aggregate(
+        chunk,
+        F.struct(F.get("starts", c).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans")),
         lambda acc, p: F.struct(
             (acc["at"] + F.length(p["s"])).alias("at"),
             F.when(p["loss"], F.concat(acc["spans"], F.array(F.struct(acc["at"].alias("start"), F.length(p["s"]).alias("length"))))).otherwise(acc["spans"]).alias("spans"),
         ),
         lambda acc: acc["spans"],
     )
+    pieces, spans = chunks, F.flatten(F.transform("chunks", spans_of))
     return pieces.select("conv_id", F.col("n_turns").cast("long").alias("n_turns"), F.array_join(F.transform("pieces", lambda p: p["s"]), "").alias("formatted"), spans.alias("loss_spans"))
 
 
