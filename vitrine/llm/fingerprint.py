@@ -7,6 +7,8 @@ permutation of its own. The least hashes' low bits make up the fingerprint.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,8 +18,9 @@ BIN_BITS, LOW_BITS, SHINGLE = 8, 8, 5
 BINS = 1 << BIN_BITS
 #: Steps that an empty bin takes along its permutation before all filled bins are compared for it at once; with the same outcome.
 STEPS = 8
-#: Rows of documents that one bucket of the id order holds, and how many buckets there are at most (which bounds what the driver sends).
-BUCKET_ROWS, MAX_BUCKETS = 1500, 16_384
+#: Rows of documents that one bucket of the id order holds. There are at most four times as many buckets as the root of the rows, which
+#: the driver sends as bounds; so of very many rows a bucket holds more, of 50 billion about 56,000.
+BUCKET_ROWS = 1500
 _SENTINEL = (1 << (64 - BIN_BITS)) - 1
 
 
@@ -84,9 +87,9 @@ def in_id_order(docs: DataFrame) -> tuple[DataFrame, Window]:
     end of the last. The bounds of the buckets are real ids from one approximate percentile.
     """
     n = docs.count()
-    buckets = max(1, min(MAX_BUCKETS, n // BUCKET_ROWS))
+    buckets = max(1, min(n // BUCKET_ROWS, 4 * math.isqrt(n)))
     key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    cuts = docs.select(key.alias("k")).agg(F.min("k").alias("least"), F.percentile_approx("k", [i / buckets for i in range(1, buckets)] or [1.0], 50 * buckets).alias("cuts")).first()
+    cuts = docs.select(key.alias("k")).agg(F.min("k").alias("least"), F.percentile_approx("k", [i / buckets for i in range(1, buckets)] or [1.0], 10 * buckets).alias("cuts")).first()
     bounds = sorted({cuts["least"], *(cuts["cuts"] if buckets > 1 else ())}) if n else [0]
     last = len(bounds) - 1
     group = max(1, int(len(bounds) ** 0.5))
