@@ -241,6 +241,19 @@ def text_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(f"SELECT product_id, {_pick_sql('product_id', '.png', '.svg', '.ico', '.ico', '.jpg')} AS extension FROM {PRODUCTS_SQL}")
+def content_type_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return products(spark, sf_dir).select("product_id", text.extension_of(_pick(_K, *_TYPES)).alias("extension"))
+
+
+@query(f"SELECT product_id, CASE WHEN product_id % 3 > 0 THEN 'c' || chr(10) || 'd' || chr(10) || 'e' || chr(10) || '  - link \"' || name || '\"' || chr(10) || 'end' END AS opened FROM {PRODUCTS_SQL}")
+def menu_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three lines before the first new one, and all after it; nothing where nothing is new."""
+    before = F.lit("a\nb\nc\nd\ne\nend")
+    after = F.when(_K % 3 > 0, F.concat(F.lit("a\nb\nc\nd\ne\n  - link \""), F.col("name"), F.lit("\"\nend"))).otherwise(before)
+    return products(spark, sf_dir).select("product_id", F.array_join(records.menu_slice(before, after), "\n").alias("opened"))
+
+
 # Extraction: a page and its responses are made of a product's own fields, so what comes out is known
 
 

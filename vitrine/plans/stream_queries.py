@@ -55,6 +55,15 @@ def rate_limiter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates.limited(_outcomes(table(spark, sf_dir, "events")))
 
 
+@query("""
+WITH w AS (SELECT 'site' || (user_id % 8) AS site, time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS requests, count(*) FILTER (event_type = 'error') AS refused FROM events GROUP BY 1, 2), r AS (SELECT *, (requests - refused) / 3600::DOUBLE AS rate FROM w)
+SELECT *, rate - lag(rate) OVER (PARTITION BY site ORDER BY start) AS change FROM r
+""")
+def limiter_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = rates.statistics(_outcomes(table(spark, sf_dir, "events")))
+    return rows.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
 @query("SELECT event_id AS url, n AS attempt, least(5000, 1000 * (1 << (n - 1)))::INT AS wait_ms FROM (SELECT event_id, unnest(range(1, event_id % 5 + 1)) AS n FROM events) WHERE n <= 3")
 def retry_waits(spark: SparkSession, sf_dir: str) -> DataFrame:
     tries = table(spark, sf_dir, "events").where("event_id % 5 > 0").select(F.col("event_id").alias("url"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("event_id") % 5)).alias("attempt"))

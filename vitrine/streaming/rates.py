@@ -8,7 +8,7 @@ from typing import Any
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -101,6 +101,15 @@ def _stateful(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: Grou
     yield out
 
 
+def statistics(outcomes: DataFrame, width: str = "1 hour") -> DataFrame:
+    """Per site and window of event time of outcomes (site, ts, status): requests, refused, the rate of successes a second, and its change against
+    the site's window before (null for the first). Windows are few beside requests, so only they are put in order."""
+    by = outcomes.groupBy("site", F.window("ts", width).alias("w")).agg(F.count("*").alias("requests"), F.count_if(F.col("status") == REFUSED).alias("refused"))
+    seconds = F.unix_timestamp("w.end") - F.unix_timestamp("w.start")
+    by = by.withColumn("rate", (F.col("requests") - F.col("refused")) / seconds)
+    return by.select("site", F.col("w.start").alias("start"), "requests", "refused", "rate", (F.col("rate") - F.lag("rate").over(Window.partitionBy("site").orderBy("w.start"))).alias("change"))
+
+
 def retry_waits(attempts: DataFrame, base_ms: int = 1000, most_ms: int = 5000, tries: int = 3) -> DataFrame:
     """attempts (url, attempt) with the wait before each: base x 1, 2, 4, capped; attempts beyond `tries` are left out; outcome counts once, by the last."""
     kept = attempts.where(F.col("attempt") <= tries)
