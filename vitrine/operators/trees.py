@@ -142,6 +142,24 @@ def listing(nodes: DataFrame) -> DataFrame:
     return rows.select(F.col("sort_path"), F.concat(F.repeat(F.lit("  "), F.col("depth")), F.col("name")).alias("line"))
 
 
+def standard_tree(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """A tree of categories that hold links (nodes: node_id, parent_id, name; links: node_id, pos, name, url) as one whose leaves are the links:
+    parent_id, name, url, is_link.
+
+    The root isn't part of it, so what is directly below it has no parent. A category with one link below it in all is that link; one with
+    none goes; others have the URL of their own link of the same name. One closure gives the links below each node.
+    """
+    above = closure(nodes)
+    below = above.join(links.select("node_id"), "node_id").groupBy(F.col("ancestor_id").alias("node_id")).agg(F.count("*").alias("links"))
+    kept = nodes.where("parent_id IS NOT NULL").join(below.where("links > 1"), "node_id").select("node_id", "parent_id", "name")
+    own = links.join(kept.select("node_id", F.col("name").alias("category")), "node_id").where(F.lower("name") == F.lower("category")).groupBy("node_id").agg(F.min_by("url", "pos").alias("url"))
+    top = F.min_by("ancestor_id", "distance")
+    holders = above.join(kept.select(F.col("node_id").alias("ancestor_id")), "ancestor_id", "left_semi").groupBy("node_id").agg(top.alias("holder"))
+    leaves_ = links.join(holders, "node_id", "left").select(F.col("holder").alias("parent_id"), "name", "url", F.lit(True).alias("is_link"))
+    inner = kept.join(own, "node_id", "left").join(kept.select(F.col("node_id").alias("parent_id"), F.lit(True).alias("_kept")), "parent_id", "left")
+    return leaves_.unionByName(inner.select(F.when(F.col("_kept"), F.col("parent_id")).alias("parent_id"), "name", "url", F.lit(False).alias("is_link")))
+
+
 def ordered_for_display(nodes: DataFrame) -> DataFrame:
     """Per parent, categories with children before leaves, each by ordinal; as position."""
     inner = nodes.select(F.col("parent_id").alias("node_id")).where("node_id IS NOT NULL").distinct().withColumn("inner", F.lit(0))
