@@ -11,7 +11,7 @@ searched for partners in other components by prefix filtering, which misses none
 come from alternating large-star and small-star steps over written tables.
 
 A bucket, a leader or a class may hold a large share of all rows. Aggregates are combined before the shuffle; in joins, keys of more than
-HOT rows are joined apart (`join_hot`), and the set of a document in more than HOT pairs is dealt in copies (`_with_set`).
+HOT rows are joined apart (`join_hot`), and the set of a document in more than HOT pairs is dealt in copies (`_linked`).
 """
 
 from __future__ import annotations
@@ -134,25 +134,31 @@ def join_hot(rows: DataFrame, keyed: DataFrame, on: list[str], size: str) -> Dat
     return here.unionByName(join_checked(rows, large, on, "inner"))
 
 
-def _with_set(pairs: DataFrame, sets: DataFrame, side: str) -> DataFrame:
-    """pairs with of_<side>, the elements of the document in the column `side`. One that is in many pairs has its set dealt in as many
-    copies as it takes for each to serve HOT pairs, about."""
-    often = pairs.groupBy(side).agg(F.count("*").alias("n")).where(F.col("n") > HOT).select(side, F.ceil(F.col("n") / HOT).cast("int").alias("copies"))
-    often = staged(often, "often")
-    own = sets.select(F.col("doc_id").alias(side), F.col("elements").alias(f"of_{side}"))
-    if often.isEmpty():
-        return pairs.join(own, side)
-    dealt = join_checked(pairs, often, [side]).withColumn("copy", F.pmod(F.xxhash64("a", "b"), F.coalesce("copies", F.lit(1))).cast("int")).drop("copies")
-    copied = join_checked(own, often, [side]).withColumn("copy", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1))).drop("copies")
-    return dealt.join(copied, [side, "copy"]).drop("copy")
-
-
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b), a written table, whose full sets have a similarity of 0.8 or more."""
-    one = _with_set(pairs, sets, "a")
-    two = _with_set(one, sets, "b")
+    """The pairs (a, b), a written table, whose full sets have a similarity of 0.8 or more. Pairs of a document that has more than HOT are
+    checked apart, where its set is dealt in as many copies as it takes for each to serve HOT pairs, about."""
+    often = {side: pairs.groupBy(side).agg(F.count("*").alias("n")).where(F.col("n") > HOT).select(side, F.ceil(F.col("n") / HOT).cast("int").alias(f"copies_{side}")) for side in "ab"}
+    often = {side: staged(rows, "often") for side, rows in often.items()}
+    if all(rows.isEmpty() for rows in often.values()):
+        return _similar(pairs.join(_of(sets, "a"), "a").join(_of(sets, "b"), "b"))
+    dealt = staged(join_checked(join_checked(pairs, often["a"], ["a"]), often["b"], ["b"]).fillna(1, ["copies_a", "copies_b"]), "dealt-pairs")
+    cold, hot = dealt.where("copies_a = 1 AND copies_b = 1").select("a", "b"), dealt.where("copies_a > 1 OR copies_b > 1")
+    needed = staged(hot.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "hot-ids")
+    own = join_checked(sets, needed, ["doc_id"], "left_semi", max_rows=500_000)
+    for side in "ab":
+        copies = F.sequence(F.lit(0), F.coalesce(f"copies_{side}", F.lit(1)) - 1)
+        copied = join_checked(_of(own, side), often[side], [side]).select(side, f"of_{side}", F.explode(copies).alias("copy"))
+        hot = hot.withColumn("copy", F.pmod(F.xxhash64("a", "b"), f"copies_{side}").cast("int")).join(copied, [side, "copy"]).drop("copy")
+    return _similar(cold.join(_of(sets, "a"), "a").join(_of(sets, "b"), "b")).unionByName(_similar(hot))
+
+
+def _of(sets: DataFrame, side: str) -> DataFrame:
+    return sets.select(F.col("doc_id").alias(side), F.col("elements").alias(f"of_{side}"))
+
+
+def _similar(pairs: DataFrame) -> DataFrame:
     both = F.size(F.array_intersect("of_a", "of_b"))
-    return two.where(100 * both >= 80 * (F.size("of_a") + F.size("of_b") - both)).select("a", "b")
+    return pairs.where(100 * both >= 80 * (F.size("of_a") + F.size("of_b") - both)).select("a", "b")
 
 
 def _near_in_size(n: Column, m: Column) -> Column:
