@@ -24,11 +24,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vitrine.llm.common import read, shared_dir, slices
+from vitrine.llm.remember import WordIds
 
 END_ID = 1
 #: Characters of a long text that are encoded at once.
 PIECE = 1 << 20
-#: Encodings of words in the younger of the two generations that a Python worker remembers, which bounds memory and changes no result.
+#: Words in the younger of the two generations that a Python worker remembers.
 REMEMBERED = 500_000
 #: Rows of one file, about, so that files follow the data.
 FILE_ROWS = 200_000
@@ -67,11 +68,12 @@ def encodes_by_word(tokenizer: Any) -> bool:
     return plain and bare and said["normalizer"] == _NORMALIZER and said["pre_tokenizer"] == _PRE_TOKENIZER and not (said["post_processor"] or said["truncation"] or said["padding"])
 
 
-class WordEncoder:
+class WordEncoder(WordIds):
     """Encodes whole texts with the tokenizers library. Where that allows it, texts are encoded word by word and a worker remembers the
-    words' encodings, as int32 bytes, in two generations: words met again move to the younger one, which replaces the older when full."""
+    words' ids."""
 
     def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
+        super().__init__(remembered)
         #: Spark runs a task on every core already.
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -79,9 +81,6 @@ class WordEncoder:
         self.tokenizer: Any = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.by_word = encodes_by_word(self.tokenizer)
-        self.remembered = remembered
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> Iterator[bytes]:
         for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
@@ -98,13 +97,7 @@ class WordEncoder:
                 known[x] = array("i", [t.id for t in tokenize(mapped)]).tobytes()
 
     def learn(self, words: set[str]) -> None:
-        if len(self.known) > self.remembered:
-            self.older, self.known = self.known, {}
-        older, known = self.older, self.known
-        if older:
-            met = [w for w in words if w in older]
-            known.update(zip(met, map(older.__getitem__, met), strict=True))
-            words = words.difference(met)
+        known = self.known
         plain = _PLAIN.findall("\n".join(words))
         rest = words.difference([a + b for a, b in plain])
         mixed = [(w, _PIECES.findall(w)) for w in rest if _LATIN.fullmatch(w) and "<|" not in w]
@@ -114,29 +107,13 @@ class WordEncoder:
         odd = list(rest.difference([w for w, _ in mixed]))
         known.update(zip(odd, self._encode(odd), strict=True))
 
-    def encode_words(self, words: list[str]) -> list[bytes]:
-        coded = list(map(self.known.get, words))
-        if None in coded:
-            self.learn({w for w, c in zip(words, coded, strict=True) if c is None} if self.known else set(words))
-            coded = list(map(self.known.get, words))
-            if None in coded:  # the younger generation was replaced
-                known, older = self.known, self.older
-                coded = [known[w] if w in known else older[w] for w in words]
-        return coded
-
     def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and how many each has. Only the distinct words of the texts are looked up one by one."""
         if not self.by_word:
             coded = list(self._encode(texts))
             return np.frombuffer(b"".join(coded), np.int32), np.array([len(x) // 4 for x in coded], np.int64)
         lists = pc.split_pattern(pa.array([_lowered(t).replace("\n", " ") for t in texts], pa.large_string()), " ")
-        words = lists.values.dictionary_encode()
-        coded = self.encode_words(words.dictionary.to_numpy(zero_copy_only=False).tolist())
-        arena, size = np.frombuffer(b"".join(coded), np.int32), np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-        at = words.indices.to_numpy()
-        length = size[at]
-        ends = np.cumsum(length)
-        ids = arena[np.repeat((np.cumsum(size) - size)[at] - (ends - length), length) + np.arange(ends[-1])]
+        ids, ends = self.of(lists.values)
         return ids, np.diff(np.concatenate([[0], ends])[lists.offsets.to_numpy()])
 
     def encode(self, text: str) -> np.ndarray:
