@@ -36,7 +36,9 @@ def _pick_sql(key: str, *values: str) -> str:
     return "([" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + f"])[({key}) % {len(values)} + 1]"
 
 
-_K = F.col("product_id")
+def _k() -> Column:
+    return F.col("product_id")
+
 
 # Predicates
 
@@ -49,7 +51,7 @@ SELECT product_id, NOT {_any("low", predicates.IMAGE_HOSTS)} AND NOT {_any("low"
 FROM (SELECT product_id, lower({_pick_sql("product_id", *_IMAGES)}) AS low FROM {PRODUCTS_SQL})
 """)
 def image_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = _pick(_K, *_IMAGES)
+    u = _pick(_k(), *_IMAGES)
     return products(spark, sf_dir).select("product_id", predicates.is_product_image(u).alias("shown"), predicates.is_saved_image(u).alias("saved"))
 
 
@@ -88,8 +90,8 @@ SELECT product_id, NOT {_any("lower(split_part(url, '?', 1))", predicates.USELES
   + 20 * ({" + ".join(f"contains(lower(url), '{w}')::INT" for w in predicates.ENDPOINT_WORDS)}) - CASE WHEN {_any("regexp_extract(lower(url), '//([^/]*)', 1)", predicates.ENDPOINT_TRACKERS)} THEN 100 ELSE 0 END)::BIGINT AS score FROM r
 """)
 def response_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u, body = F.concat(_pick(_K, *_API), _K.cast("string")), F.repeat(F.lit("x"), (_K * 37 % 9000).cast("int"))
-    score = predicates.endpoint_score(u, _K % 4, F.length(body), F.when(_K % 2 == 0, "application/json").otherwise("text/html"))
+    u, body = F.concat(_pick(_k(), *_API), _k().cast("string")), F.repeat(F.lit("x"), (_k() * 37 % 9000).cast("int"))
+    score = predicates.endpoint_score(u, _k() % 4, F.length(body), F.when(_k() % 2 == 0, "application/json").otherwise("text/html"))
     return products(spark, sf_dir).select("product_id", predicates.is_useful_response(u, body).alias("useful"), urls.looks_like_api(u).alias("api"), score.cast("long").alias("score"))
 
 
@@ -102,8 +104,8 @@ SELECT product_id, length(trim(name)) > 1 AND lower(trim(name)) NOT IN ({", ".jo
   name <> '' AND price IS NOT NULL AND image AND d <> '' AS complete, list_filter(['name', 'price', 'description'], lambda f: (f = 'name' AND name = '') OR (f = 'price' AND price IS NULL) OR (f = 'description' AND d = '')) AS missing FROM r
 """)
 def extraction_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    images = F.when(_K % 5 == 0, F.array(F.lit("i"))).otherwise(F.array().cast("array<string>"))
-    rows = products(spark, sf_dir).select("product_id", _pick(_K, *_NAMES).alias("name"), F.when(_K % 4 > 0, F.col("price")).alias("price"), images.alias("images"), F.when(_K % 7 == 0, "a long description").otherwise("").alias("d"), F.when(_K % 11 == 0, 429).otherwise(200).alias("status"))
+    images = F.when(_k() % 5 == 0, F.array(F.lit("i"))).otherwise(F.array().cast("array<string>"))
+    rows = products(spark, sf_dir).select("product_id", _pick(_k(), *_NAMES).alias("name"), F.when(_k() % 4 > 0, F.col("price")).alias("price"), images.alias("images"), F.when(_k() % 7 == 0, "a long description").otherwise("").alias("d"), F.when(_k() % 11 == 0, 429).otherwise(200).alias("status"))
     name, price, d = F.col("name"), F.col("price"), F.col("d")
     return rows.select(
         "product_id", predicates.is_extracted(name, price, F.col("images"), d, F.col("status")).alias("extracted"), predicates.is_complete(name, price, F.lit("USD"), F.col("images"), d).alias("complete"),
@@ -117,11 +119,11 @@ SELECT product_id, coalesce(abs(got - price) < 0.02, false) AS price_ok, true AS
 """)
 def field_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("price")
-    got = F.when(_K % 3 == 0, p + 0.01).when(_K % 3 == 1, p + 1)
+    got = F.when(_k() % 3 == 0, p + 0.01).when(_k() % 3 == 1, p + 1)
     return products(spark, sf_dir).select(
         "product_id", predicates.matches_truth("price", got, p).alias("price_ok"), predicates.matches_truth("name", F.upper("name"), F.col("name")).alias("name_ok"),
-        predicates.matches_truth("currency", F.when(_K % 2 == 0, "usd").otherwise("eur"), F.lit("USD")).alias("currency_ok"),
-        predicates.matches_truth("description", F.left("name", (F.length("name") / 2).cast("int")), F.col("name")).alias("description_ok"), predicates.matches_truth("variants", _K % 4, _K % 9).alias("variants_ok"),
+        predicates.matches_truth("currency", F.when(_k() % 2 == 0, "usd").otherwise("eur"), F.lit("USD")).alias("currency_ok"),
+        predicates.matches_truth("description", F.left("name", (F.length("name") / 2).cast("int")), F.col("name")).alias("description_ok"), predicates.matches_truth("variants", _k() % 4, _k() % 9).alias("variants_ok"),
     )
 
 
@@ -132,7 +134,7 @@ _MODALS = ("Join our NEWSLETTER today", "We value your privacy", "Are you 18+?",
 SELECT product_id, CASE {" ".join(f"WHEN {_any('t', w)} THEN '{k}'" for k, w in predicates.MODAL_WORDS.items())} ELSE 'unknown' END AS kind FROM (SELECT product_id, lower({_pick_sql("product_id", *_MODALS)}) AS t FROM {PRODUCTS_SQL})
 """)
 def modal_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return products(spark, sf_dir).select("product_id", predicates.modal_kind(_pick(_K, *_MODALS)).alias("kind"))
+    return products(spark, sf_dir).select("product_id", predicates.modal_kind(_pick(_k(), *_MODALS)).alias("kind"))
 
 
 _TITLES = ("Acme Spring 2021 Runway", "acme haute couture 2021", "Acme menswear 2020", "Nord show 2021", "Acme 2021 reaction", "Acme men's fall")
@@ -144,8 +146,8 @@ SELECT product_id, CASE WHEN NOT contains(t, 'acme') THEN 'brand' WHEN contains(
 FROM (SELECT product_id, lower({_pick_sql("product_id", *_TITLES)}) AS t, {_pick_sql("product_id // 6", "couture", "menswear", "ready")} AS kind FROM {PRODUCTS_SQL})
 """)
 def video_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = _pick(F.floor(_K / 6), "couture", "menswear", "ready")
-    return products(spark, sf_dir).select("product_id", predicates.title_verdict(_pick(_K, *_TITLES), F.lit("Acme"), F.lit(2021), kind, ["reaction"]).alias("verdict"))
+    kind = _pick(F.floor(_k() / 6), "couture", "menswear", "ready")
+    return products(spark, sf_dir).select("product_id", predicates.title_verdict(_pick(_k(), *_TITLES), F.lit("Acme"), F.lit(2021), kind, ["reaction"]).alias("verdict"))
 
 
 # Menus and pages before and after an interaction: a document's lines, with some changed
@@ -232,8 +234,8 @@ SELECT product_id, 'say "' || name || '"' || chr(10) || 'it''s a/b' AS unescaped
 """)
 def text_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
     escaped = F.concat(F.lit(' say \\"'), F.col("name"), F.lit('\\"\\nit\\\'s a\\/b\\r '))
-    reply = F.concat(F.lit("Sure!\n"), F.when(_K % 2 == 0, "```json\n").otherwise(""), F.to_json(F.struct("name", F.when(_K % 2 == 0, F.col("price")).alias("price"))), F.when(_K % 2 == 0, "\n```").otherwise(" Done."))
-    path = F.concat(F.lit("html > body > div.c"), (_K % 3).cast("string"), F.lit(" > p#x"))
+    reply = F.concat(F.lit("Sure!\n"), F.when(_k() % 2 == 0, "```json\n").otherwise(""), F.to_json(F.struct("name", F.when(_k() % 2 == 0, F.col("price")).alias("price"))), F.when(_k() % 2 == 0, "\n```").otherwise(" Done."))
+    path = F.concat(F.lit("html > body > div.c"), (_k() % 3).cast("string"), F.lit(" > p#x"))
     said = text.json_object(reply)
     return products(spark, sf_dir).select(
         "product_id", text.unescaped(escaped).alias("unescaped"), text.css_escaped(F.replace("name", F.lit(" "), F.lit(":"))).alias("css"), text.path_signature(path).alias("signature"),
@@ -243,14 +245,14 @@ def text_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT product_id, {_pick_sql('product_id', '.png', '.svg', '.ico', '.ico', '.jpg')} AS extension FROM {PRODUCTS_SQL}")
 def content_type_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return products(spark, sf_dir).select("product_id", text.extension_of(_pick(_K, *_TYPES)).alias("extension"))
+    return products(spark, sf_dir).select("product_id", text.extension_of(_pick(_k(), *_TYPES)).alias("extension"))
 
 
 @query(f"SELECT product_id, CASE WHEN product_id % 3 > 0 THEN 'c' || chr(10) || 'd' || chr(10) || 'e' || chr(10) || '  - link \"' || name || '\"' || chr(10) || 'end' END AS opened FROM {PRODUCTS_SQL}")
 def menu_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three lines before the first new one, and all after it; nothing where nothing is new."""
     before = F.lit("a\nb\nc\nd\ne\nend")
-    after = F.when(_K % 3 > 0, F.concat(F.lit("a\nb\nc\nd\ne\n  - link \""), F.col("name"), F.lit("\"\nend"))).otherwise(before)
+    after = F.when(_k() % 3 > 0, F.concat(F.lit("a\nb\nc\nd\ne\n  - link \""), F.col("name"), F.lit("\"\nend"))).otherwise(before)
     return products(spark, sf_dir).select("product_id", F.array_join(records.menu_slice(before, after), "\n").alias("opened"))
 
 
@@ -263,8 +265,8 @@ def _json_of(fields: dict[str, Column]) -> Column:
 
 @query(f"SELECT product_id, name, price, 'USD' AS currency, kind AS brand, 2 AS images, CASE WHEN product_id % 2 = 0 THEN 'M' ELSE 'L' END AS size, product_id % 3 > 0 AS available FROM {PRODUCTS_SQL}")
 def shop_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    size = F.when(_K % 2 == 0, "M").otherwise("L")
-    variant = F.struct(F.lit("red").alias("option1"), size.alias("option2"), F.lit("s").alias("sku"), F.col("price").cast("string").alias("price"), (_K % 3).cast("int").alias("inventory_quantity"))
+    size = F.when(_k() % 2 == 0, "M").otherwise("L")
+    variant = F.struct(F.lit("red").alias("option1"), size.alias("option2"), F.lit("s").alias("sku"), F.col("price").cast("string").alias("price"), (_k() % 3).cast("int").alias("inventory_quantity"))
     options = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(i).alias("position")) for i, n in enumerate(("Color", "Size"), 1)])
     images = F.array(*[F.struct(F.lit(x).alias("src")) for x in ("a.jpg", "b.jpg")])
     body = F.parse_json(_json_of({"product": F.struct(F.col("name").alias("title"), F.col("kind").alias("vendor"), options.alias("options"), images.alias("images"), F.array(variant).alias("variants"))}))
@@ -275,7 +277,7 @@ def shop_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT product_id, name, price, 'EUR' AS currency, CASE WHEN product_id % 2 = 0 THEN 'S' ELSE 'M' END AS size, 'blue' AS color FROM {PRODUCTS_SQL}")
 def graph_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    node = F.struct(F.when(_K % 2 == 0, "S / blue").otherwise("M / blue").alias("title"), F.lit("x").alias("sku"), F.lit(True).alias("availableForSale"), F.struct(F.col("price").cast("string").alias("amount")).alias("price"))
+    node = F.struct(F.when(_k() % 2 == 0, "S / blue").otherwise("M / blue").alias("title"), F.lit("x").alias("sku"), F.lit(True).alias("availableForSale"), F.struct(F.col("price").cast("string").alias("amount")).alias("price"))
     low = F.struct(F.struct(F.col("price").cast("string").alias("amount"), F.lit("EUR").alias("currencyCode")).alias("minVariantPrice"))
     body = _json_of({"data": F.struct(F.struct(F.col("name").alias("title"), low.alias("priceRange"), F.struct(F.array(F.struct(node.alias("node"))).alias("edges")).alias("variants")).alias("product"))})
     f = extract.graph_product(F.col("body"))
@@ -288,24 +290,24 @@ def linked_data_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     offer = F.struct(F.col("price").cast("string").alias("price"), F.lit("USD").alias("priceCurrency"), F.lit("https://schema.org/InStock").alias("availability"), F.lit("A-42").alias("sku"))
     product = F.struct(F.lit("Product").alias("@type"), "name", F.struct(F.col("kind").alias("name")).alias("brand"), F.array(offer).alias("offers"))
     thing = F.struct(F.lit("Thing").alias("@type"), F.lit("no").alias("name"))
-    block = F.when(_K % 4 == 1, F.to_json(product)).when(_K % 4 == 2, F.to_json(F.array(product))).when(_K % 4 == 3, _json_of({"@graph": F.array(product)})).otherwise(F.to_json(thing))
+    block = F.when(_k() % 4 == 1, F.to_json(product)).when(_k() % 4 == 2, F.to_json(F.array(product))).when(_k() % 4 == 3, _json_of({"@graph": F.array(product)})).otherwise(F.to_json(thing))
     page = F.concat(F.lit("<script type='application/ld+json'>{broken</script><p>x</p><script type=\"application/ld+json\">"), block, F.lit("</script>"))
-    pages = products(spark, sf_dir).select(_K.cast("string").alias("url"), page.alias("html"))
+    pages = products(spark, sf_dir).select(_k().cast("string").alias("url"), page.alias("html"))
     return extract.linked_data(pages).select("url", "name", "price", "currency", "brand", F.col("variants")[0]["available"].alias("available"))
 
 
 @query(f"SELECT product_id, name, price, CASE WHEN product_id % 3 = 0 THEN 'EUR' END AS currency, product_id::VARCHAR AS sku FROM {PRODUCTS_SQL}")
 def api_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flat = _json_of({"title": F.col("name"), "currentPrice": F.struct(F.col("price").alias("value")), "currency": F.when(_K % 3 == 0, "EUR"), "productId": _K})
-    body = F.when(_K % 3 == 0, flat).when(_K % 3 == 1, F.concat(F.lit('{"data": {"product": '), flat, F.lit("}}"))).otherwise(F.concat(F.lit('{"result": '), flat, F.lit("}")))
+    flat = _json_of({"title": F.col("name"), "currentPrice": F.struct(F.col("price").alias("value")), "currency": F.when(_k() % 3 == 0, "EUR"), "productId": _k()})
+    body = F.when(_k() % 3 == 0, flat).when(_k() % 3 == 1, F.concat(F.lit('{"data": {"product": '), flat, F.lit("}}"))).otherwise(F.concat(F.lit('{"result": '), flat, F.lit("}")))
     f = extract.api_product(F.col("body"))
     return products(spark, sf_dir).select("product_id", F.parse_json(body).alias("body")).select("product_id", *[f[k].alias(k) for k in ("name", "price", "currency", "sku")])
 
 
 @query(f"SELECT product_id::VARCHAR AS url, name, CASE WHEN product_id % 2 = 0 THEN kind END AS kind, 'USD' AS currency FROM {PRODUCTS_SQL}")
 def schema_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first, second = F.lit('{"other": 1}'), _json_of({"p": F.struct(F.array("name").alias("names"), F.when(_K % 2 == 0, F.col("kind")).alias("kind"))})
-    pages = products(spark, sf_dir).select(F.col("brand_id").alias("domain"), _K.cast("string").alias("url"), F.array(first, second).alias("responses"))
+    first, second = F.lit('{"other": 1}'), _json_of({"p": F.struct(F.array("name").alias("names"), F.when(_k() % 2 == 0, F.col("kind")).alias("kind"))})
+    pages = products(spark, sf_dir).select(F.col("brand_id").alias("domain"), _k().cast("string").alias("url"), F.array(first, second).alias("responses"))
     paths = F.create_map(*[F.lit(x) for x in ("name", "[2].p.names[0]", "kind", "p.kind", "currency", "USD")])
     schemas = products(spark, sf_dir).select(F.col("brand_id").alias("domain")).distinct().withColumn("paths", paths)
     return extract.by_schema(pages, schemas, ["name", "kind", "currency"])
@@ -314,8 +316,8 @@ def schema_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT product_id::VARCHAR AS key, name AS title, CASE WHEN product_id % 2 = 0 THEN size_no::VARCHAR END AS size FROM {PRODUCTS_SQL}")
 def pattern_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's own script is the one that names its slug; the other script has the same fields."""
-    slug = F.concat(F.lit("item-"), _K.cast("string"), F.lit("x"))
-    script = F.concat(F.lit("<script>var a = {slug: 'other', title: 'No'}</script><script>var b = {slug: '"), slug, F.lit("', title: '"), F.col("name"), F.when(_K % 2 == 0, F.concat(F.lit("', size: "), F.col("size_no").cast("string"))).otherwise("', none: 1"), F.lit("}</script>"))
+    slug = F.concat(F.lit("item-"), _k().cast("string"), F.lit("x"))
+    script = F.concat(F.lit("<script>var a = {slug: 'other', title: 'No'}</script><script>var b = {slug: '"), slug, F.lit("', title: '"), F.col("name"), F.when(_k() % 2 == 0, F.concat(F.lit("', size: "), F.col("size_no").cast("string"))).otherwise("', none: 1"), F.lit("}</script>"))
     pages = products(spark, sf_dir).select(F.col("brand_id").alias("domain"), F.concat(F.lit("https://x.example.com/p/"), slug, F.lit("?v=1")).alias("url"), script.alias("html"))
     patterns = products(spark, sf_dir).select(F.col("brand_id").alias("domain")).distinct().withColumn("patterns", F.create_map(*[F.lit(x) for x in ("title", "slug: '{{SLUG}}', title: '([^']*)'", "size", r"size: (\d+)")]))
     found = extract.by_patterns(pages, patterns, ["title", "size"])
@@ -338,24 +340,24 @@ SELECT product_id AS page_id, pos::INT AS pos, 'img/' || product_id || CASE pos
 """)
 def page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two sizes of one image count once, at the first."""
-    k = _K.cast("string")
+    k = _k().cast("string")
     page = F.concat(F.lit("<img src='img/"), k, F.lit("a_1.jpg'><img data-src='img/"), k, F.lit("a_2.jpg'><img src=\"img/"), k, F.lit("b.png?x=1\"><img data-zoom='img/"), k, F.lit("c-2.webp'><img src='x.svg'>"))
-    return extract.images(products(spark, sf_dir).select(_K.alias("page_id"), page.alias("html")))
+    return extract.images(products(spark, sf_dir).select(_k().alias("page_id"), page.alias("html")))
 
 
 @query(f"SELECT product_id, 'https://shop.example.com/products/p' || product_id AS product_url, 'https://shop.example.com/' || CASE WHEN product_id % 2 = 0 THEN 'in' ELSE 'before' END || product_id || '.jpg' AS image_url FROM {PRODUCTS_SQL} WHERE product_id % 3 > 0")
 def sample_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = _K.cast("string")
-    inside = F.when(_K % 2 == 0, F.concat(F.lit("<img src='/in"), k, F.lit(".jpg'>"))).otherwise("text")
-    page = F.concat(F.lit("<a href='/about'>About</a><img src='/before"), k, F.lit(".jpg'>"), F.when(_K % 3 > 0, F.concat(F.lit("<a class=x href='/products/p"), k, F.lit("'>"), inside, F.lit("</a><a href='/products/other'><img src='/no.jpg'></a>"))).otherwise(""))
+    k = _k().cast("string")
+    inside = F.when(_k() % 2 == 0, F.concat(F.lit("<img src='/in"), k, F.lit(".jpg'>"))).otherwise("text")
+    page = F.concat(F.lit("<a href='/about'>About</a><img src='/before"), k, F.lit(".jpg'>"), F.when(_k() % 3 > 0, F.concat(F.lit("<a class=x href='/products/p"), k, F.lit("'>"), inside, F.lit("</a><a href='/products/other'><img src='/no.jpg'></a>"))).otherwise(""))
     pages = products(spark, sf_dir).select("product_id", F.lit("https://shop.example.com/c/all").alias("url"), page.alias("html"))
     return records.sample_product(pages, "product_id")
 
 
 @query(f"SELECT product_id, (3 * (product_id % 2 = 0)::INT + (product_id % 3 > 0)::INT + 2 * (product_id % 5 = 0)::INT)::INT AS score FROM {PRODUCTS_SQL}")
 def image_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    alt = F.when(_K % 2 == 0, F.concat(F.lit("The "), F.upper("name"))).otherwise("logo")
-    return products(spark, sf_dir).select("product_id", extract.relevance(alt, _K % 3 == 0, F.when(_K % 5 == 0, "main-Gallery").otherwise("x"), F.col("name")).cast("int").alias("score"))
+    alt = F.when(_k() % 2 == 0, F.concat(F.lit("The "), F.upper("name"))).otherwise("logo")
+    return products(spark, sf_dir).select("product_id", extract.relevance(alt, _k() % 3 == 0, F.when(_k() % 5 == 0, "main-Gallery").otherwise("x"), F.col("name")).cast("int").alias("score"))
 
 
 @query(f"SELECT product_id, unnest(['a', 'b', 'd', 'a[0]', 'b.c', 'a[0].price', 'b.c.deep']) AS path FROM {PRODUCTS_SQL}")
@@ -374,18 +376,18 @@ def systematic_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT text, url, row_number() OVER (ORDER BY text, url) AS position FROM (SELECT DISTINCT name AS text, 'https://x.com/fashion/collections/' || kind AS url FROM {PRODUCTS_SQL} WHERE product_id % 2 = 0 AND length(name) > 5)")
 def season_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    url = F.concat(F.when(_K % 2 == 0, "https://x.com/fashion/collections/").otherwise("https://x.com/other/"), "kind")
+    url = F.concat(F.when(_k() % 2 == 0, "https://x.com/fashion/collections/").otherwise("https://x.com/other/"), "kind")
     return menus.seasons(products(spark, sf_dir).select(url.alias("url"), F.concat(F.lit(" "), "name").alias("text")))
 
 
 @query(f"SELECT brand_id AS folder, product_id || '.' || {_pick_sql('product_id', 'jpg', 'TXT', 'PNG', 'webp2', 'Gif')} AS filename, row_number() OVER (PARTITION BY brand_id ORDER BY product_id || '.' || {_pick_sql('product_id', 'jpg', 'TXT', 'PNG', 'webp2', 'Gif')})::INT AS position FROM {PRODUCTS_SQL} WHERE product_id % 5 IN (0, 2, 4)")
 def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.concat_ws(".", _K.cast("string"), _pick(_K, "jpg", "TXT", "PNG", "webp2", "Gif"))
+    name = F.concat_ws(".", _k().cast("string"), _pick(_k(), "jpg", "TXT", "PNG", "webp2", "Gif"))
     return menus.image_files(products(spark, sf_dir).select(F.col("brand_id").alias("folder"), name.alias("filename")))
 
 
 @query(f"SELECT brand_id, 'https://youtu.be/watch?v=' || size_no AS url, min(product_id) AS pos FROM {PRODUCTS_SQL} WHERE product_id % 3 < 2 GROUP BY brand_id, size_no")
 def video_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain = F.concat(F.lit("https://youtu.be/watch?v="), F.col("size_no").cast("string"))
-    href = F.when(_K % 3 == 0, plain).when(_K % 3 == 1, F.concat(F.lit("/url?q="), F.url_encode(plain), F.lit("&sa=U"))).otherwise("https://other.example.com/v")
-    return menus.video_candidates(products(spark, sf_dir).select("brand_id", _K.alias("pos"), href.alias("href")), "brand_id")
+    href = F.when(_k() % 3 == 0, plain).when(_k() % 3 == 1, F.concat(F.lit("/url?q="), F.url_encode(plain), F.lit("&sa=U"))).otherwise("https://other.example.com/v")
+    return menus.video_candidates(products(spark, sf_dir).select("brand_id", _k().alias("pos"), href.alias("href")), "brand_id")
