@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from vitrine.llm.common import read, slices, staged
 from vitrine.llm.pieces import SPACE, Lattice, by_cells, total_of_long, vocabulary
-from vitrine.llm.remember import distinct_words
+from vitrine.llm.remember import distinct_words, remembers, work_for
 
 #: Labelled documents of each language that the fit reads, about; chosen by a hash of their ids among all.
 FIT_DOCUMENTS = 1000
@@ -33,7 +33,7 @@ UNDETERMINED = "und"
 #: Languages that may be learned; more labels than these are an error, as the model is held by every task.
 MOST_LANGUAGES = 200
 #: Words in the younger of the two generations that a Python worker remembers, which bounds memory and changes no result.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 #: Cells of a table of words by positions that are summed at once; longer words than LONG are scored a block at a time.
 CELLS, LONG = 40_000, 8192
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -166,10 +166,12 @@ class _Scorer:
 
 
 _scorers: dict[int, tuple[bytes, _Scorer]] = {}
+remembers("language", _scorers.clear)
 
 
 def _scorer(model: Model) -> _Scorer:
     """The worker's scorer for this model, kept between tasks."""
+    work_for("language")
     key = model.log_p.tobytes()
     if 0 not in _scorers or _scorers[0][0] != key:
         _scorers[0] = (key, _Scorer(model))

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from vitrine.llm.common import join_checked, read, slices, staged
+from vitrine.llm.remember import remembers, work_for
 
 #: Labelled documents that the fit reads, about; chosen by a hash of their ids among all.
 FIT_DOCUMENTS = 20_000
@@ -37,7 +38,7 @@ LEAST_STRENGTH, MOST_STRENGTH = 2.0, 1000.0
 CLIP = 6.0
 KEEP = 0.5
 #: Words whose features a Python worker remembers; beyond that it starts afresh, which bounds memory and changes no result.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 
 @dataclass
@@ -64,7 +65,8 @@ def bucket(kind: str, value: str) -> int:
 
 
 SAME, NEW = bucket("repeats", "yes"), bucket("repeats", "no")
-_known: dict[str, tuple[int, int]] = {}
+_known: dict[str, int] = {}
+remembers("quality", _known.clear)
 
 
 def word_buckets(words: list[str]) -> np.ndarray:
@@ -76,8 +78,9 @@ def word_buckets(words: list[str]) -> np.ndarray:
             new = words
         shapes = _MARKS.sub(r"\1\1", _RUN.sub(r"\1", "\n".join(new).translate(_classes))).split("\n")
         of_shape = {s: bucket("shape", s) for s in set(shapes)}
-        _known.update((w, (bucket("word", w.lower()), of_shape[s])) for w, s in zip(new, shapes, strict=True))
-    return np.array([_known[w] for w in words], np.int64).reshape(len(words), 2)
+        _known.update((w, bucket("word", w.lower()) * BUCKETS + of_shape[s]) for w, s in zip(new, shapes, strict=True))
+    both = np.fromiter(map(_known.__getitem__, words), np.int64, len(words))
+    return np.stack([both // BUCKETS, both % BUCKETS], axis=1)
 
 
 def text_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -113,6 +116,7 @@ def fit_evidence(docs: DataFrame, labels: DataFrame, fit_documents: int = FIT_DO
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         #: Shares of a document's words in millionths, so sums are exact; the last bucket counts documents.
+        work_for("quality")
         total = np.zeros((BUCKETS + 1, 2), np.int64)
         for batch in batches:
             for part in slices(batch):
@@ -145,6 +149,7 @@ def with_evidence(rows: DataFrame, model: Evidence, text: str, inside: str | Non
     shared = rows.sparkSession.sparkContext.broadcast(model.weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work_for("quality")
         weights = shared.value
         for batch in batches:
             whole = pc.struct_field(batch.column(inside), text) if inside else batch.column(text)

@@ -1,10 +1,26 @@
-"""The token ids of words, which a Python worker remembers from batch to batch."""
+"""What a Python worker remembers from batch to batch: the token ids of words, for one operator at a time."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 
+_forget: dict[str, Callable[[], None]] = {}
+
+
+def remembers(operator: str, forget: Callable[[], None]) -> None:
+    """Names how an operator's memory is emptied."""
+    _forget[operator] = forget
+
+
+def work_for(operator: str) -> None:
+    """Called when a task begins: a worker that goes on to another operator forgets what it remembered for those before."""
+    for name, forget in _forget.items():
+        if name != operator:
+            forget()
+
 
 class WordIds:
     """Token ids of words as int32 bytes, in two generations: words met again move to the younger one, which replaces the older when it is

@@ -31,13 +31,13 @@ from pyspark.sql import functions as F
 from vitrine.llm.common import join_checked, read, slices, staged
 from vitrine.llm.langid import default_tokenizer
 from vitrine.llm.pieces import SPACE, vocabulary
-from vitrine.llm.remember import WordIds
+from vitrine.llm.remember import WordIds, remembers, work_for
 
 CHUNK = 1 << 15
 #: Chunks or products of chunks that one group of the scan holds.
 BLOCK = 64
 #: Words in the younger of the two generations that a Python worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: Words of more characters are segmented one by one.
 TABLED = 64
 #: Stands for a space mark that is in the text itself; no valid text has a lone surrogate.
@@ -199,10 +199,12 @@ def advanced(scores: np.ndarray, matrix: np.ndarray) -> np.ndarray:
 
 
 _segmenters: dict[str, Segmenter] = {}
+remembers("pieces", _segmenters.clear)
 
 
 def segmenter(path: str) -> Segmenter:
     """The worker's segmenter for a vocabulary file, kept for later batches and tasks."""
+    work_for("pieces")
     if path not in _segmenters:
         _segmenters[path] = Segmenter(path)
     return _segmenters[path]

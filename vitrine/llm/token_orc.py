@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vitrine.llm.common import read, shared_dir, slices
-from vitrine.llm.remember import WordIds
+from vitrine.llm.remember import WordIds, remembers, work_for
 
 END_ID = 1
 #: Characters of a long text that are encoded at once.
@@ -56,6 +56,7 @@ def _byte_characters() -> list[str]:
 
 _BYTE_CHARACTERS = _byte_characters()
 _workers: dict[str, "WordEncoder"] = {}
+remembers("tokens", _workers.clear)
 
 
 def encodes_by_word(tokenizer: Any) -> bool:
@@ -142,6 +143,7 @@ def _lowered(text: str) -> str:
 
 def splits_at_space(path: str) -> WordEncoder:
     """The worker's encoder for a tokenizer file, kept for later batches and tasks."""
+    work_for("tokens")
     if path not in _workers:
         _workers[path] = WordEncoder(path)
     return _workers[path]
