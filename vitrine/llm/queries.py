@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitrine.llm import chat, common, fingerprint, html_tpr, langid, media, mixing, neardup, quality, sp_maxplus, token_orc
+from vitrine.llm import chat, common, fingerprint, html_tpr, langid, media, mixing, neardup, quality, rules, sp_maxplus, token_orc
 
 _QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
@@ -19,6 +19,7 @@ _QUERIES = {
     "op8_quality_classifier": quality.op8_quality_classifier,
     "op9_fingerprints": fingerprint.op9_fingerprints,
     "op10_near_duplicates": neardup.op10_near_duplicates,
+    "op11_quality_rules": rules.op11_quality_rules,
 }
 
 
@@ -35,4 +36,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": chat.ORACLE, "op6_mixing": mixing.ORACLE}
+    return {"op1_chat_formatting": chat.ORACLE, "op6_mixing": mixing.ORACLE, "op11_quality_rules": rules.ORACLE}
