@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitrine.llm import chat, common, fingerprint, html_tpr, langid, media, mixing, neardup, quality, rules, sp_maxplus, token_orc, trie
+from vitrine.llm import chat, common, fingerprint, html_tpr, langid, media, mixing, neardup, negatives, quality, rules, sp_maxplus, token_orc, trie
 
 _QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
@@ -21,6 +21,7 @@ _QUERIES = {
     "op10_near_duplicates": neardup.op10_near_duplicates,
     "op11_quality_rules": rules.op11_quality_rules,
     "op12_prefix_trie": trie.op12_prefix_trie,
+    "op13_hard_negatives": negatives.op13_hard_negatives,
 }
 
 
@@ -37,4 +38,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": chat.ORACLE, "op6_mixing": mixing.ORACLE, "op11_quality_rules": rules.ORACLE, "op12_prefix_trie": trie.ORACLE}
+    return {"op1_chat_formatting": chat.ORACLE, "op6_mixing": mixing.ORACLE, "op11_quality_rules": rules.ORACLE, "op12_prefix_trie": trie.ORACLE, "op13_hard_negatives": negatives.ORACLE}
