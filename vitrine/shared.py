@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -30,3 +31,13 @@ def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def read_if_there(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """The Parquet table at path, or None if there is no such folder; looked up as Spark sees it, so in any store."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
