@@ -78,17 +78,20 @@ class Vectors:
 def usable(rows: DataFrame, vec_id: str = "vec_id", label: str = "label", vector: str = "vector") -> DataFrame:
     """vec_id, label and v (the vector as 32-bit integers) of the rows that take part: those with an id, a label and a vector of numbers that
     fit. vector: an array of long."""
-    of, most = F.col(f"`{vector}`"), F.lit(float(1 << _COMPONENT_BITS)) / F.sqrt(F.greatest(F.size(F.col(f"`{vector}`")), F.lit(1)))
-    fits = F.forall(of, lambda x: x.isNotNull() & (F.abs(x.cast("double")) <= most))
-    rows = rows.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.col(f"`{label}`").cast("long").alias("label"), F.when(fits, of).alias("vector")).where("vec_id IS NOT NULL AND label IS NOT NULL AND vector IS NOT NULL")
+    named = (F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.col(f"`{label}`").cast("long").alias("label"), F.col(f"`{vector}`").alias("vector"))
+    rows = rows.select(*named).where("vec_id IS NOT NULL AND label IS NOT NULL AND vector IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("vector")
-            ends = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))]).astype(np.int64) * 4
-            data = np.asarray(lists.flatten()).astype("<i4").tobytes()
-            packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(batch), [None, pa.py_buffer(ends), pa.py_buffer(data)]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), packed, pa.array(Vectors.of(packed).norms2())], ["vec_id", "label", "v", "norm2"])
+            flat, size = lists.flatten(), np.asarray(lists.value_lengths()).astype(np.int64)
+            row, value = np.repeat(np.arange(len(batch)), size), np.asarray(flat.fill_null(0))
+            good = np.asarray(flat.is_valid()) & (np.abs(value.astype(float)) <= (1 << _COMPONENT_BITS) / np.sqrt(np.maximum(size, 1))[row])
+            fits = np.bincount(row[~good], minlength=len(batch)) == 0
+            ends = np.concatenate([[0], np.cumsum(size[fits])]) * 4
+            packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), int(fits.sum()), [None, pa.py_buffer(ends), pa.py_buffer(value[fits[row]].astype("<i4").tobytes())]).cast(pa.binary())
+            kept = batch.filter(pa.array(fits))
+            yield pa.RecordBatch.from_arrays([kept.column("vec_id"), kept.column("label"), packed, pa.array(Vectors.of(packed).norms2())], ["vec_id", "label", "v", "norm2"])
 
     return rows.mapInArrow(run, "vec_id long, label long, v binary, norm2 long")
 
@@ -288,11 +291,10 @@ def hard_negatives(rows: DataFrame, anchors: Column, positives: int = 5, negativ
 
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of every embedding whose id is divisible by 50, among all; components are taken in 256ths, and the labels of ids
-    divisible by 7 are moved by one. A component that isn't finite makes its row one without vector."""
-    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float(1 << 40)))
+    divisible by 7 are moved by one. A component that isn't finite (or is beyond all bounds) is null, so its row takes no part."""
     rows = read(spark, sf_dir, "embeddings").select(
         "vec_id", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"),
-        F.when(finite, F.transform("embedding", lambda x: F.floor(256 * x.cast("double")))).alias("vector"),
+        F.transform("embedding", lambda x: F.when(F.abs(x) < float(1 << 40), F.floor(256 * x.cast("double")))).alias("vector"),
     )
     return hard_negatives(rows, F.col("vec_id") % 50 == 0)
 
