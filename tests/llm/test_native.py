@@ -20,7 +20,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(spark, name: str) -> None:
     con = duckdb.connect()
-    for t in ("conversations", "documents", "labels"):
+    for t in ("conversations", "documents", "embeddings", "labels"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     want = con.sql(queries.oracle_sql()[name])
     columns = sorted(want.columns)

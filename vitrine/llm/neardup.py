@@ -32,6 +32,8 @@ BINS = ROWS * BANDS
 LEADER_ROUNDS = 1
 #: Rows of one key beyond which a join treats it apart, with the same result.
 HOT = 400
+#: Elements by which sets are told apart at most in prefix filtering.
+LEVELS = 4
 _SEEDS = mix(np.arange(1, 2 * BINS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _SEED_1, _SEED_2 = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 _LOW = np.uint64((1 << 40) - 1)
@@ -215,27 +217,37 @@ def _prefix_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
 
     With elements in order of rarity, such a pair shares one of the first n - ceil(0.8 n) + 1, and from the first that it shares enough
     elements are left in both. An element that one set alone has can't be shared, but takes a place, so a text with its own edits throughout
-    has no partners to be tried. Such a pair also shares a second element among the first n - ceil(0.8 n) + 2, so where more than HOT
-    prefixes hold an element, it is only a partner's together with each that may be the second one.
+    has no partners to be tried. Such a pair also shares k of the first n - ceil(0.8 n) + k, so where more than HOT prefixes hold the same
+    k - 1 elements, they are only partners with each further element that both may have as the k-th: many texts around one rare phrase
+    part company at the next one. What shares LEVELS elements is compared.
     """
-    tokens = nodes.join(sets.withColumnRenamed("doc_id", "rep"), "rep").select("rep", "component", F.size("elements").alias("n"), F.explode("elements").alias("e"))
-    often = tokens.groupBy("e").agg(F.count("*").alias("often")).where("often > 1")
-    shared, own = tokens.join(often.hint("merge"), "e"), Window.partitionBy("rep")
+    tokens = staged(nodes.join(sets.withColumnRenamed("doc_id", "rep"), "rep").select("rep", "component", F.size("elements").alias("n"), F.explode("elements").alias("e")), "elements")
+    often, own = staged(tokens.groupBy("e").agg(F.count("*").alias("often")).where("often > 1"), "often"), Window.partitionBy("rep")
+    shared = join_hot(tokens, often, ["e"], "often")
     shared = shared.withColumn("place", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("often", "e")) - 1)
     spare = F.expr("n - (4 * n + 4) DIV 5")
-    prefix = staged(shared.where(F.col("place") <= spare + 1).select("rep", "component", "n", "e", "place"), "prefixes")
-    first = prefix.where(F.col("place") <= spare)
-    common = staged(first.groupBy("e").agg(F.count("*").alias("rows")).where(F.col("rows") > HOT).select("e"), "common-elements")
-    keyed = join_checked(first, common, ["e"], "left_anti")
-    if not common.isEmpty():
-        hot = join_checked(first, common, ["e"], "left_semi").select("rep", F.col("e").alias("e1"), F.col("place").alias("first_place"))
-        second = prefix.join(hot, "rep").where("place > first_place")
-        keyed = keyed.unionByName(second.select("rep", "component", "n", F.xxhash64("e1", "e").alias("e"), F.col("first_place").alias("place")))
-    keyed = staged(keyed, "prefix-keys")
-    other = keyed.select("e", *(F.col(c).alias(f"other_{c}") for c in ("rep", "component", "n", "place")))
-    left = 1 + F.least(F.col("n") - F.col("place"), F.col("other_n") - F.col("other_place")) - 1
-    both = keyed.join(other.hint("merge"), "e").where((F.col("component") < F.col("other_component")) & _near_in_size(F.col("n"), F.col("other_n")) & (9 * left >= 4 * (F.col("n") + F.col("other_n"))))
-    return both.select(F.greatest("rep", "other_rep").alias("a"), F.least("rep", "other_rep").alias("b")).distinct()
+    prefix = staged(shared.where(F.col("place") <= spare + LEVELS - 1).select("rep", "component", "n", "e", "place"), "prefixes")
+    keyed, pairs = prefix.where(F.col("place") <= spare).withColumnRenamed("e", "key"), None
+    for level in range(1, LEVELS + 1):
+        keyed = staged(keyed, "prefix-keys")
+        more = False
+        if level < LEVELS:
+            hot = staged(keyed.groupBy("key").agg(F.count("*").alias("rows"), F.sum(spare + level - F.col("place")).alias("further")).where(F.col("rows") > HOT), "common-keys")
+            #: Going on to further elements must cost fewer rows than comparing what shares these.
+            cost = hot.agg(F.sum(F.expr("rows * (rows - 1) DIV 2")).alias("pairs"), F.sum("further").alias("further")).first()
+            more = cost["pairs"] is not None and cost["further"] < cost["pairs"]
+        cold = join_checked(keyed, hot.select("key"), ["key"], "left_anti") if more else keyed
+        other = cold.select("key", *(F.col(c).alias(f"other_{c}") for c in ("rep", "component", "n", "place")))
+        left = level + F.least(F.col("n") - F.col("place"), F.col("other_n") - F.col("other_place")) - 1
+        both = cold.join(other.hint("merge"), "key").where((F.col("component") < F.col("other_component")) & _near_in_size(F.col("n"), F.col("other_n")) & (9 * left >= 4 * (F.col("n") + F.col("other_n"))))
+        found = both.select(F.greatest("rep", "other_rep").alias("a"), F.least("rep", "other_rep").alias("b"))
+        pairs = found if pairs is None else pairs.unionByName(found)
+        if not more:
+            break
+        held = join_checked(keyed, hot.select("key"), ["key"], "left_semi").select("rep", "key", F.col("place").alias("last"))
+        further = prefix.where(F.col("place") <= spare + level).join(held, "rep").where("place > last")
+        keyed = further.select("rep", "component", "n", F.xxhash64("key", "e").alias("key"), "place")
+    return pairs.distinct()
 
 
 def _open_buckets(buckets: DataFrame, label: DataFrame) -> DataFrame:
