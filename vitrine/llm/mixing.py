@@ -5,7 +5,8 @@ against the source's budget of words: as many whole epochs as fit come first, th
 
 Keys are cut into slots, so a source with a third of all rows is summed by many tasks. Sums of slots show the slot in which a source's
 budget ends; only that slot's documents are sorted. What comes out is one small row per source, and a document's share follows from its
-own key, so the texts are never shuffled.
+own key. Labels are joined by id: a broadcast of ids and labels while these are few, so that texts stay where they are; where they are
+many, the rows that they are joined with are shuffled once by id, rows without an id spread.
 """
 
 from __future__ import annotations
@@ -85,12 +86,15 @@ def apply_decisions(docs: DataFrame, decisions: DataFrame, name: Column, key: Co
 
 
 def quality_weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Narrow rows of docs with weight: by the highest quality label of their id, else 1."""
-    best = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    """docs (doc_id and more) with weight: by the highest quality label of their id, else 1."""
+    best = staged(labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality")), "best-labels")
     weight = F.lit(1.0)
     for k, v in QUALITY_WEIGHT.items():
         weight = F.when(F.col("quality") == k, F.lit(v)).otherwise(weight)
-    return docs.join(best, "doc_id", "left").withColumn("weight", weight).drop("quality")
+    #: Rows without an id match nothing; a number spreads them.
+    spread = F.when(F.col("doc_id").isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(1009))).otherwise(F.lit(0).cast("long"))
+    rows = join_checked(docs.withColumn("spread", spread), best.withColumn("spread", F.lit(0).cast("long")), ["doc_id", "spread"], max_rows=500_000)
+    return rows.withColumn("weight", weight).drop("quality", "spread")
 
 
 def mix(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
