@@ -42,7 +42,8 @@ def turn_facts(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role
 def in_order(facts: DataFrame) -> DataFrame:
     """facts (conv_id, turn, digest, words) with pos, the turn's place in its conversation from 1: by turn, null first, ties by digest.
     Rows without conv_id are in no conversation and are left out. Equal rows are told apart by where they are read, so that they can be dealt."""
-    rows = facts.where("conv_id IS NOT NULL").withColumn("read", F.monotonically_increasing_id())
+    #: Written first, as dealing by range reads its input twice.
+    rows = staged(facts.where("conv_id IS NOT NULL").withColumn("read", F.monotonically_increasing_id()), "turn-facts")
     rows = positioned(rows, F.col("conv_id"), F.col("turn").asc_nulls_first(), F.col("digest"), F.col("read"), name="place")
     first = staged(rows.groupBy("conv_id").agg((F.min("place") - 1).alias("before"), F.count("*").alias("n")), "conv-starts")
     return join_hot(rows, first, ["conv_id"], "n").select("conv_id", (F.col("place") - F.col("before")).alias("pos"), "digest", "words", "n")
