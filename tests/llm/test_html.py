@@ -83,6 +83,47 @@ def test_names_of_parts(page: str, text: list[str]) -> None:
     assert html_tpr.main_text(page) == "\n".join(text)
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<body><div class='widget'>{''.join(LONG)}</div>", PLAIN),
+        (f"<body><div class='alert post'>{''.join(LONG)}</div>", PLAIN),
+        (f"<body><div class='widget'><p>Buy this, now.</p></div><div>{''.join(LONG)}</div><div class='notice'><p>We changed our terms, see here.</p></div>", PLAIN),
+        (f"<article>{LONG[0]}<section id='legal'><h2>Law</h2>{''.join(LONG[1:5])}</section></article>", [PLAIN[0], "Law", *PLAIN[1:5]]),
+        (f"<article>{''.join(LONG)}<section class='reply'><h2>An answer</h2>{LONG[1]}{LONG[2]}</section></article>", [*PLAIN, "An answer", PLAIN[1], PLAIN[2]]),
+        (f"<article>{''.join(LONG)}<div class='notice'>Cookies, again.</div></article>", PLAIN),
+        (f"<body>{LONG[0]}<ul><li><a href=/>Home</a><li><a href=/s>Shop</a></ul>{LONG[1]}", [PLAIN[0], PLAIN[1]]),
+        (f"<body><div><a href=/>Home</a> <a href=/a>About</a></div>{''.join(LONG)}<div>Copyright 2020 Some Shop, all rights reserved.</div>", PLAIN),
+        (f"<body><div class='werbung'><p>Kaufen Sie, jetzt, hier. Los!</p></div>{''.join(LONG)}<div class='kommentare'>{LONG[0]}{LONG[1]}</div>", PLAIN),
+        (f"<body><h1>Title</h1><div class=body>{''.join(LONG[:3])}</div><div class=body>{''.join(LONG[3:])}</div>", ["Title", *PLAIN]),
+        (f"<article>{LONG[0]}{LONG[1]}</article><article>{LONG[2]}{LONG[3]}</article>", PLAIN[:4]),
+        (f"<article><h1><a href=/x>Title</a></h1><p>Short.</p>{''.join(LONG)}<ul><li>one<li>two</ul></article>", ["Title", "Short.", *PLAIN, "one", "two"]),
+        (f"<body><p>See <a href=/x>this other page of ours</a>, too.</p>{''.join(LONG)}", ["See this other page of ours, too.", *PLAIN]),
+    ],
+)
+def test_paths_choose(page: str, text: list[str]) -> None:
+    assert html_tpr.main_text(page) == "\n".join(text)
+
+
+@pytest.mark.parametrize("instead", [0, 1])
+def test_the_choice_decides(spark, monkeypatch, instead: int) -> None:
+    """With no path chosen, or with all of them, most pages give another text."""
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").collect()]
+    before = [html_tpr.main_text(x) for x in pages]
+    monkeypatch.setattr(html_tpr, "chosen_nodes", lambda lengths, *_: np.full(len(lengths), bool(instead)))
+    assert sum(html_tpr.main_text(x) != t for x, t in zip(pages, before, strict=True)) > 0.8 * len(pages)
+
+
+def test_articles_of_the_table(spark) -> None:
+    """By brute force on all pages of sf0.01: the words of the article element, no more and no less."""
+    import re
+
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        body = re.search(r"(?s)<article>(.*?)</article>", r["html"])
+        want = html.unescape(re.sub(r"(?s)<[^>]*>", " ", re.sub(r"(?s)<(script|style|aside|nav|form)\b.*?</\1>|<div class=\"(?:ad|comments|share|related|cookie)\">.*?</div>", " ", body[1]))).split() if body else []
+        assert sorted(html_tpr.main_text(r["html"]).split()) == sorted(want), r["page_id"]
+
+
 @pytest.mark.parametrize("markup", ["<b>x ", "<div>x ", "<p><ul><div>x ", "<table><tr><td>x", "<a 'x>", "<li>x", "<article>x", "</b>x", "<dl><dt>x"])
 def test_deep_markup_takes_linear_time(markup: str) -> None:
     def seconds(n: int) -> float:

@@ -2,10 +2,11 @@
 
 Text nodes are grouped by the path of tags from the root; where a class or id has the name of a page part, that is part of the path. Per
 path, text length and punctuation are summed and set against its nodes, smoothed over neighbouring nodes in page order, and fused by
-their product; a name lowers the outcome by a factor. The paths whose mean is above the page's threshold hold the content. All their nodes
-and all named articles are kept, and what no name marks beside them in the smallest container that holds them all, so that a short
-paragraph or a heading stays; where the page's highest heading stands before that container, so is what follows from it on. A part
-whose name only contains such a word counts as unmarked in an article, and elsewhere if most of its text is on chosen paths.
+their product, with factors for what is a link, for an article and for the name. The paths whose mean is above the page's threshold hold
+the content: a node is on one of them, or it goes. What stays beside them are short blocks that belong to them: headings and unmarked
+blocks of an article or container with chosen nodes, or between chosen nodes, unless they are mostly links or a copyright line; and what
+follows from the page's highest heading on. Names only weigh: where all prose of a page has one, the best of it is kept, unless the name is
+that of an advert or the like.
 
 Dropped outright are scripts, styles, forms, navigation and what else tags or roles say isn't text of the page. Time is linear in the page,
 however deep its markup is nested.
@@ -33,14 +34,29 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "dat
 #: Elements that never hold main text.
 BOILERPLATE = {"head", "nav", "footer", "aside", "form", "button", "select", "option", "input", "dialog", "menu", "svg", "annotation", "annotation-xml", "canvas", "object", "audio", "video"} | RAW
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar", "form"}
-#: Words of the classes and ids that such parts have.
-MARKS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "sponsor", "sponsored", "promo", "promotion", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "header", "masthead", "topbar", "footer", "colophon", "sidebar", "aside", "rail", "widget", "widgets", "comment", "comments", "disqus", "reply", "replies", "respond", "cookie", "cookies", "consent", "gdpr", "notice", "alert", "modal", "popup", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "share", "sharing", "social", "related", "recommended", "recommendations", "pagination", "pager", "toolbar", "search", "skip", "copyright", "legal", "disclaimer", "form"}
+#: Words of the classes and ids of parts that are never main text, in the languages of the tables.
+STRONG = {
+    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "masthead", "topbar", "footer", "colophon", "sidebar", "aside", "comment", "comments", "disqus", "replies", "respond", "cookie", "cookies", "consent", "gdpr", "modal", "popup", "newsletter", "subscribe", "subscription", "signup", "login", "share", "sharing", "social", "related", "recommended", "recommendations", "pagination", "pager", "toolbar",
+    "werbung", "anzeige", "anzeigen", "kommentar", "kommentare", "seitenleiste", "fusszeile", "fußzeile", "kopfzeile", "menü", "teilen",
+    "publicité", "publicite", "pub", "commentaire", "commentaires", "partager", "publicidad", "anuncio", "anuncios", "comentario", "comentarios", "compartir",
+}
+#: Words that such parts often have, and others too.
+WEAK = {"banner", "promo", "promotion", "header", "rail", "widget", "widgets", "reply", "notice", "alert", "overlay", "search", "skip", "copyright", "legal", "disclaimer", "form", "hinweis", "avis", "aviso"}
+MARKS = STRONG | WEAK
 #: Words that say nothing of a part's kind; a name of these and of MARKS alone is that of such a part.
 PLAIN_WORDS = {"area", "bar", "block", "box", "button", "buttons", "container", "content", "inner", "item", "items", "left", "links", "list", "main", "outer", "page", "post", "posts", "right", "section", "site", "top", "bottom", "wrap", "wrapper", "global", "primary", "secondary", "user", "the"}
 HEADERS = {"header", "masthead", "topbar", "banner"}
-#: What a name makes of a path's score: none, one that contains a word of MARKS, one that is such a part's.
+#: What a name makes of a path's score: none, one that contains a word of MARKS or is of weak ones, one that is such a part's.
 UNMARKED, CONTAINS, NAMED = 0, 1, 2
 FACTORS = np.array([1.0, 0.1, 0.001])
+#: What an article makes of it.
+ARTICLE_FACTOR = 3.0
+#: Text nodes from which a part of a weak name in an article is one of its sections.
+SECTION_NODES = 3
+#: Elements of prose, which may stand before or after all chosen nodes, and elements that may so in a container of them.
+PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "figcaption"}
+ITEMS = PROSE | {"li", "td", "th", "dt", "dd"}
+_NOTICE = re.compile(r"\s*(?:©|\(c\)\s|copyright\b)", re.I)
 #: A start tag of one of these ends an open paragraph.
 ENDS_P = {"address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
 #: Open elements that a start tag of the same kind ends, and the elements beyond which it ends none.
@@ -59,25 +75,33 @@ HEADINGS = {f"h{k}": k for k in range(1, 7)}
 
 def _mark(name: str, marks: set[str]) -> int:
     """What a class or id says: UNMARKED, CONTAINS or NAMED."""
-    words = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
+    words = re.findall(r"[^\W\d_]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
     if marks.isdisjoint(words):
         return UNMARKED
-    return NAMED if all(w in marks or w in PLAIN_WORDS for w in words) else CONTAINS
+    return NAMED if not STRONG.isdisjoint(words) and all(w in marks or w in PLAIN_WORDS for w in words) else CONTAINS
 
 
-def _read(tag: str, attributes: str, in_article: bool) -> tuple[bool, int, bool]:
-    """Whether an element is dropped with all that is in it, what its class and id say, and whether it is an article."""
+def _section_like(name: str) -> bool:
+    """A name of weak words alone."""
+    words = re.findall(r"[^\W\d_]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
+    return not WEAK.isdisjoint(words) and all(w in WEAK or w in PLAIN_WORDS for w in words)
+
+
+def _read(tag: str, attributes: str, in_article: bool) -> tuple[bool, int, bool, bool]:
+    """Whether an element is dropped with all that is in it, what its class and id say, whether it is an article, and whether all words of a
+    name are weak."""
     #: A header within an article holds its title, one outside is the page's.
     if tag in BOILERPLATE or tag == "header" and not in_article:
-        return True, UNMARKED, False
+        return True, UNMARKED, False, False
     if not attributes or attributes.isspace():
-        return False, UNMARKED, tag in _ARTICLE
+        return False, UNMARKED, tag in _ARTICLE, False
     values = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)}
     role = values.get("role", "").lower()
     hidden = "hidden" in values or values.get("aria-hidden", "").lower() == "true" or "display:none" in values.get("style", "").replace(" ", "").lower()
     marks = MARKS - HEADERS if in_article else MARKS
-    named = 0 if tag in ("html", "body", "article", "main") else max(map(_mark, [*values.get("class", "").split(), values.get("id", "")], repeat(marks)))
-    return hidden or role in ROLES, named, tag in _ARTICLE or role in _ARTICLE or values.get("itemprop", "").lower() == "articlebody"
+    names = [] if tag in ("html", "body", "article", "main") else [*values.get("class", "").split(), values.get("id", "")]
+    named = max(map(_mark, names, repeat(marks)), default=UNMARKED)
+    return hidden or role in ROLES, named, tag in _ARTICLE or role in _ARTICLE or values.get("itemprop", "").lower() == "articlebody", any(map(_section_like, names))
 
 
 @dataclass
@@ -88,11 +112,12 @@ class Page:
     parents: list[int]
     marks: list[int]
     articles: list[int]  # the outermost article around an element, itself included
+    weak: list[int]  # the outermost element of a weak name within that article
     nodes: list[tuple[int, int, str]]
 
 
 def parse(page: str) -> Page:
-    out = Page([""], [-1], [UNMARKED], [0], [])
+    out = Page([""], [-1], [UNMARKED], [0], [0], [])
     tags, dropped = out.tags, [False]
     stack, open_, kinds = [0], Counter(), [(0,) * 6]  # open elements, how many of each tag, the nearest of each kind in scope
     block, at = 0, 0
@@ -134,12 +159,13 @@ def parse(page: str) -> Page:
             close(depth)
         block += tag not in INLINE
         above = stack[-1]
-        is_dropped, mark, is_article = _read(tag, m[3], out.articles[above] > 0)
+        is_dropped, mark, is_article, weak = _read(tag, m[3], out.articles[above] > 0)
         if out.articles[above] and mark == CONTAINS or is_article and out.marks[above] == CONTAINS:
             mark = UNMARKED
         else:
             mark = max(mark, out.marks[above])
         tags.append(tag), out.parents.append(above), out.marks.append(mark), dropped.append(dropped[above] or is_dropped)
+        out.weak.append(out.weak[above] or (len(tags) - 1) * (weak and out.articles[above] > 0))
         out.articles.append(out.articles[above] or (len(tags) - 1) * (is_article and mark != NAMED))
         if m[0].endswith("/>") and tag in ("svg", "path"):
             continue
@@ -176,9 +202,10 @@ def content_scores(lengths: np.ndarray, marks: np.ndarray, paths: np.ndarray) ->
     return fused
 
 
-def chosen_nodes(lengths: np.ndarray, punctuation: np.ndarray, paths: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    """Whether each node is on a path whose mean score reaches the threshold: a share of the mean of the least marked nodes."""
-    scores = content_scores(lengths, punctuation, paths) * FACTORS[marks]
+def chosen_nodes(lengths: np.ndarray, punctuation: np.ndarray, paths: np.ndarray, marks: np.ndarray, factors: np.ndarray | None = None) -> np.ndarray:
+    """Whether each node is on a path whose mean score reaches the threshold: a share of the mean of the least marked nodes. factors: what
+    else weighs a node's score."""
+    scores = content_scores(lengths, punctuation, paths) * FACTORS[marks] * (1.0 if factors is None else factors)
     if marks.min() == NAMED:
         return np.zeros(len(scores), bool)
     _, path = np.unique(paths, return_inverse=True)
@@ -194,18 +221,26 @@ def main_text(html_text: str | None) -> str:
     filled = [i for i, t in enumerate(texts) if t]
     if not filled:
         return ""
-    parents, paths = page.parents, tag_paths(page)
-    lengths, of = np.array([len(texts[i]) for i in filled], float), [nodes[i][0] for i in filled]
-    chosen = chosen_nodes(lengths, np.array([len(_PUNCTUATION.findall(texts[i])) for i in filled], float), np.array([paths[e] for e in of]), np.array([page.marks[e] for e in of]))
-    anchors = {page.articles[e] or e for e, c in zip(of, chosen, strict=True) if c or page.articles[e] and page.marks[e] != NAMED}
+    n, parents, paths = len(page.tags), page.parents, tag_paths(page)
+    heading, linked, prose, item = [0] * n, [False] * n, [False] * n, [False] * n
+    for e in range(1, n):
+        up, tag = parents[e], page.tags[e]
+        heading[e], linked[e], prose[e], item[e] = HEADINGS.get(tag, heading[up]), linked[up] or tag == "a", prose[up] or tag in PROSE, item[up] or tag in ITEMS
+    of, block = [nodes[i][0] for i in filled], [nodes[i][1] for i in filled]
+    lengths = np.array([len(texts[i]) for i in filled], float)
+    in_section = Counter(page.weak[e] for e in of)
+    #: A short part of a weak name in an article counts as marked.
+    aside = np.array([page.weak[e] > 0 and in_section[page.weak[e]] < SECTION_NODES for e in of])
+    marks = np.maximum([page.marks[e] for e in of], np.where(aside, CONTAINS, UNMARKED))
+    path = np.array([2 * paths[e] for e in of]) + aside
+    in_link, in_article = np.array([linked[e] for e in of]), np.array([page.articles[e] > 0 for e in of])
+    notice = np.array([not page.articles[e] and bool(_NOTICE.match(texts[i])) for i, e in zip(filled, of, strict=True)])
+    factors = (1 - _shares(path, lengths, in_link)) ** 2 * np.where(in_article, ARTICLE_FACTOR, 1.0) * np.where(_shares(path, lengths, notice) > 0.5, FACTORS[CONTAINS], 1.0)
+    chosen = chosen_nodes(lengths, np.array([len(_PUNCTUATION.findall(texts[i])) for i in filled], float), path, marks, factors)
+    anchors = {page.articles[e] or e for e, c in zip(of, chosen, strict=True) if c}
     if not anchors:
         return ""
-    n = len(parents)
-    below, heading, part, inside = [0] * n, [0] * n, [0] * n, [False] * n
-    for e in range(1, n):
-        heading[e] = HEADINGS.get(page.tags[e], heading[parents[e]])
-        #: The outermost element of a marked part.
-        part[e] = 0 if page.marks[e] == UNMARKED else part[parents[e]] if page.marks[e] == page.marks[parents[e]] else e
+    below, inside = [0] * n, [False] * n
     for e in range(n - 1, -1, -1):
         below[e] += e in anchors
         if e:
@@ -217,21 +252,48 @@ def main_text(html_text: str | None) -> str:
     inside[region] = True
     for e in range(region + 1, n):
         inside[e] = inside[parents[e]]
-    total, taken = np.zeros(n), np.zeros(n)
-    np.add.at(total, [part[e] for e in of], lengths)
-    np.add.at(taken, [part[e] for e in of], lengths * chosen)
-    fits = lambda e: page.marks[e] == UNMARKED or page.marks[e] == CONTAINS and 2 * taken[part[e]] >= total[part[e]]
-    on_path = {paths[e] for e, c in zip(of, chosen, strict=True) if c}
-    first = next((i for i, e in zip(filled, of, strict=True) if inside[e]), len(nodes))
-    highest = min((heading[e] for e in of if heading[e] and fits(e)), default=0)
-    titled = next((i for i, e in zip(filled, of, strict=True) if i < first and highest and heading[e] == highest and fits(e)), first)
+    whole = page.tags[region] in ("", "html", "body")
+    of_links = _shares(np.array(block), lengths, in_link) > 0.5
+    #: The outermost element of a marked part; one that only contains a word, or is of weak ones, counts as unmarked if most of it is chosen.
+    part = [0] * n
+    for e in range(1, n):
+        part[e] = 0 if page.marks[e] == UNMARKED else part[parents[e]] if page.marks[e] == page.marks[parents[e]] else e
+    plain = (marks == UNMARKED) | (marks == CONTAINS) & ~aside & (_shares(np.array([part[e] for e in of]), lengths, chosen) >= 0.5)
+    picked = np.flatnonzero(chosen)
+    first, last = picked[0], picked[-1]
+
+    def belongs(k: int) -> bool:
+        """Whether a node that isn't chosen stays."""
+        e = of[k]
+        if not plain[k] or not inside[e] or notice[k] or of_links[k] and not (heading[e] and page.articles[e] in anchors):
+            return False
+        return page.articles[e] in anchors or first <= k <= last or prose[e] or not whole and item[e]
+
+    #: A block with a chosen node stays whole.
+    of_chosen = _shares(np.array(block), lengths, chosen) > 0
+    kept = [bool(c) or of_chosen[k] and marks[k] != NAMED or belongs(k) for k, c in enumerate(chosen)]
+    #: What follows from the page's highest heading on, where that stands before the region.
+    start = next((k for k in range(len(of)) if inside[of[k]]), len(of))
+    fits = lambda k: plain[k] and not (of_links[k] and not heading[of[k]])
+    highest = min((heading[e] for k, e in enumerate(of) if heading[e] and fits(k)), default=0)
+    titled = next((k for k in range(start) if highest and heading[of[k]] == highest and fits(k)), start)
+    for k in range(titled, start):
+        kept[k] = kept[k] or fits(k)
+    of_block = {b for b, k in zip(block, kept, strict=True) if k}
+    dropped = {i for i, k in zip(filled, kept, strict=True) if not k}
     blocks: dict[int, list[str]] = {}
-    for i, (e, b, t) in enumerate(nodes):
-        if (inside[e] or titled <= i < first) and (fits(e) or paths[e] in on_path):
+    for i, (_, b, t) in enumerate(nodes):
+        if b in of_block and i not in dropped:
             blocks.setdefault(b, []).append(t)
     return "\n".join(t for t in (" ".join("".join(x).split()) for x in blocks.values()) if t)
 
 
+def _shares(groups: np.ndarray, lengths: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Of each node's group, the share of text for which `of` holds."""
+    _, group = np.unique(groups, return_inverse=True)
+    return (np.bincount(group, lengths * of) / np.bincount(group, lengths))[group]
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """Per row of pages (page_id, url, html): page_id, url, text, n_chars. A null html is empty, its text too; repeated rows stay; no rows
     give none; other columns are ignored. Broken markup is read as browsers do in the main: an open tag at the end is dropped."""
