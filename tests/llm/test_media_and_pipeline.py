@@ -73,6 +73,32 @@ def test_broken_media(spark) -> None:
     assert found[8]["payload_bytes"] == 192 and found[1]["payload_bytes"] is None and found[1]["feature"] and found[2]["media_bytes"] is None and found[5]["feature"] is None
 
 
+def test_damaged_images_never_raise() -> None:
+    """Thousands of images of which a few bytes are changed, cut or repeated: each is read or gives an error, and none asks for much memory."""
+    rng = np.random.default_rng(17)
+    whole = [jpeg_writer.random_image(rng, 24, 16, [(1, 1)])[0], jpeg_writer.random_image(rng, 40, 24, [(2, 2), (1, 1), (1, 1)])[0], jpeg.encode_payload(b"some text!!!" * 64)]
+    errors = 0
+    for k in range(6000):
+        data = bytearray(whole[k % 3])
+        for _ in range(rng.integers(1, 5)):
+            data[rng.integers(len(data))] = rng.integers(256)
+        if k % 7 == 0:
+            at = rng.integers(len(data))
+            data[at : at + rng.integers(1, 30)] = data[: rng.integers(0, 30)]
+        image, rgb, error = media._tensor(bytes(data))
+        facts = media._payload_facts(bytes(data), image)
+        assert (rgb is None) == (error is not None) and (rgb is None or rgb.size <= 64 * 8 * len(data) * 16) and facts[3] == len(data)
+        errors += error is not None
+    assert 500 < errors < 6000
+    huge = bytearray(whole[1])
+    at = huge.index(b"\xff\xc2")
+    huge[at + 5 : at + 9] = b"\xff\xff\xff\xff"
+    assert media._tensor(bytes(huge))[2] is not None
+    scans = bytes(whole[1])
+    start = scans.index(b"\xff\xda")
+    assert "scan" in media._tensor(scans[:start] + b"\xff\xd9")[2]
+
+
 def test_ordinary_image_is_read_fast() -> None:
     data, _, _ = jpeg_writer.random_image(np.random.default_rng(6), 640, 480, [(2, 2), (1, 1), (1, 1)])
     start = time.process_time()

@@ -327,5 +327,22 @@ def test_language_learns_from_whole_words(spark) -> None:
     rows = [(i, "x" * 300 + tail * 50, lang) for i, (tail, lang) in enumerate([("ab", "p"), ("cd", "q")] * 6)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert all(r["lang_pred"] == r["lang"] for r in langid.identify(docs, langid.fit(docs, PIECES)).collect())
-    with pytest.raises(ValueError):
-        langid.fit(spark.range(300).selectExpr("id AS doc_id", "'a' AS text", "string(id) AS lang"), PIECES)
+    #: More languages than a task holds at once are learned in blocks.
+    many = langid.fit(spark.range(300).selectExpr("id AS doc_id", "'a' AS text", "string(id) AS lang"), PIECES)
+    assert [len(many.languages), len(many.more.languages), many.more.more] == [200, 100, None]
+
+
+def test_languages_in_blocks(spark, odd, monkeypatch) -> None:
+    """However many languages a task holds at once, the predictions are the same, and scores but for rounding."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").unionByName(odd.select("doc_id", "text", "lang"))
+    docs = docs.withColumn("lang", F.concat("lang", (F.col("doc_id") % 2).cast("string")))
+
+    def found() -> list[tuple]:
+        rows = langid.identify(docs, langid.fit(docs, langid.default_tokenizer())).collect()
+        return sorted((str(r["doc_id"]), str(r["text"]), r["lang_pred"], round(r["score"], 9)) for r in rows)
+
+    whole = found()
+    assert len({x[2] for x in whole}) > 4
+    for at_once in (1, 3):
+        monkeypatch.setattr(langid, "LANGUAGES_AT_ONCE", at_once)
+        assert found() == whole

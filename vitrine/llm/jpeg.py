@@ -100,9 +100,24 @@ class _Bits:
         return v if v >> (size - 1) else v - (1 << size) + 1
 
 
+class BrokenImage(ValueError):
+    """Data that isn't a whole image."""
+
+
 def decode(data: bytes) -> Image:
-    """The image in data; ValueError, IndexError, KeyError or struct.error if that isn't a whole JPEG of a kind that is read here."""
+    """The image in data; BrokenImage if that isn't a whole JPEG of a kind that is read here."""
+    try:
+        return _decoded(data)
+    except BrokenImage:
+        raise
+    #: What damaged tables, lengths, names and sums lead to; nothing is read beyond the data or written beyond the frame.
+    except (ValueError, LookupError, ArithmeticError, AttributeError, TypeError, struct.error) as e:
+        raise BrokenImage(f"{type(e).__name__}: {e}") from e
+
+
+def _decoded(data: bytes) -> Image:
     image, huffman, restart, at = Image(0, 0, {}, {}), {}, 0, 2
+    scanned: set[int] = set()
     if data[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG")
     while at < len(data):
@@ -130,10 +145,12 @@ def decode(data: bytes) -> Image:
         elif marker == 0xDD:
             restart = struct.unpack(">H", body)[0]
         elif marker in (0xC0, 0xC1, 0xC2):
-            _frame(image, body)
+            _frame(image, body, len(data))
         elif marker == 0xDA:
             end = _scan_end(data, at)
             _scan(image, body, data[at:end], huffman, restart)
+            if body[1 + 2 * body[0]] == 0:
+                scanned.update(body[1 : 1 + 2 * body[0] : 2])
             at = end
         elif 0xC3 <= marker <= 0xCF:
             raise ValueError("neither a baseline nor a progressive Huffman JPEG")
@@ -141,10 +158,15 @@ def decode(data: bytes) -> Image:
         raise ValueError("the image has no end")
     if not image.components:
         raise ValueError("no frame")
+    if not scanned.issuperset(image.components):
+        raise ValueError("a component without a scan")
     return image
 
 
-def _frame(image: Image, body: bytes) -> None:
+def _frame(image: Image, body: bytes, size: int) -> None:
+    """size: bytes of the file. A block takes a bit of its first scan at least, so a file can't hold more than 8 blocks a byte."""
+    if image.components:
+        raise ValueError("a second frame")
     precision, image.height, image.width, n = struct.unpack(">BHHB", body[:6])
     if precision != 8:
         raise ValueError("samples of 8 bits only")
@@ -159,6 +181,8 @@ def _frame(image: Image, body: bytes) -> None:
         image.components[c] = Component(hv >> 4, hv & 15, table)
     most_h, most_v = (max(getattr(c, x) for c in image.components.values()) for x in "hv")
     across, down = -(-image.width // (8 * most_h)), -(-image.height // (8 * most_v))
+    if across * down * sum(c.h * c.v for c in image.components.values()) > 8 * size:
+        raise ValueError("more samples than the data can hold")
     for c in image.components.values():
         c.across, c.down = -(-image.width * c.h // (8 * most_h)), -(-image.height * c.v // (8 * most_v))
         c.stride = across * c.h
@@ -237,7 +261,7 @@ def _first(reader: _Bits, block: np.ndarray, table: _Huffman, k: int, last: int,
 def _refine(reader: _Bits, block: np.ndarray, table: _Huffman, k: int, last: int, low: int, run: int) -> int:
     def correct(k: int) -> None:
         if reader.take(1) and not (abs(int(block[k])) >> low) & 1:
-            block[k] += (1 << low) if block[k] > 0 else -(1 << low)
+            block[k] = int(block[k]) + ((1 << low) if block[k] > 0 else -(1 << low))
 
     while k <= last and not run:
         zeros, size = divmod(reader.symbol(table), 16)
@@ -377,6 +401,9 @@ def encode_payload(payload: bytes) -> bytes:
 
 
 def payload_of(image: Image) -> bytes:
-    """The bytes that encode_payload stored, from the coefficients."""
+    """The bytes that encode_payload stored, from the coefficients; BrokenImage if the image can't hold them."""
+    n, of = image.comment.removeprefix(PAYLOAD_COMMENT), {c.coefficients.size for c in image.components.values()}
+    if not n.isdigit() or len(n) > 18 or len(of) != 1 or not 0 < int(n) <= sum(c.coefficients.size for c in image.components.values()):
+        raise BrokenImage("no such payload")
     data = np.stack([c.coefficients for c in image.components.values()], axis=1)
-    return np.where(data > 0, data, data + 255).astype(np.uint8).tobytes()[: int(image.comment.split()[1])]
+    return np.where(data > 0, data, data + 255).astype(np.uint8).tobytes()[: int(n)]

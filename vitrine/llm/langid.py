@@ -12,14 +12,14 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import read, slices, staged
+from vitrine.llm.common import join_checked, read, slices, staged
 from vitrine.llm.pieces import SPACE, Lattice, by_cells, total_of_long, vocabulary
 from vitrine.llm.remember import distinct_words, remembers, work_for
 
@@ -30,8 +30,8 @@ SMOOTHING = 0.1
 #: Evidence beyond so many words doesn't raise the score further.
 SCORE_WORDS = 30
 UNDETERMINED = "und"
-#: Languages that may be learned; more labels than these are an error, as the model is held by every task.
-MOST_LANGUAGES = 200
+#: Languages that a task holds the model of (256 KB each) at once; more are learned and scored in blocks, with the same result.
+LANGUAGES_AT_ONCE = 200
 #: Words in the younger of the two generations that a Python worker remembers, which bounds memory and changes no result.
 REMEMBERED = 200_000
 #: Cells of a table of words by positions that are summed at once; longer words than LONG are scored a block at a time.
@@ -44,6 +44,7 @@ class Model:
     tokenizer: str
     languages: list[str]
     log_p: np.ndarray  # [piece, language]
+    more: Model | None = None  # of the next languages in order
 
 
 def split_words(text: str) -> list[str]:
@@ -53,22 +54,24 @@ def split_words(text: str) -> list[str]:
 def fit(docs: DataFrame, tokenizer: str, label: str = "lang", fit_documents: int = FIT_DOCUMENTS) -> Model:
     """Learns from the rows of docs (doc_id, text, label) that have all three. A word takes memory in proportion to its length."""
     known = docs.select("doc_id", "text", F.col(label).alias("label")).where("doc_id IS NOT NULL AND text IS NOT NULL AND label IS NOT NULL")
-    counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} different values of {label}")
-    languages, vocab = sorted(counts), vocabulary(tokenizer)
-    log_p = np.full((vocab.size, len(languages)), -np.log(vocab.size))
-    if not languages:
-        return Model(tokenizer, languages, log_p)
-    share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, fit_documents / counts[k]))])
-    chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < 1_000_000 * share[F.col("label")])
+    counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    languages, vocab, model = sorted(counts), vocabulary(tokenizer), None
+    blocks = [languages[i : i + LANGUAGES_AT_ONCE] for i in range(0, len(languages), LANGUAGES_AT_ONCE)]
+    if not blocks:
+        return Model(tokenizer, [], np.zeros((vocab.size, 0)))
+    shares = known.sparkSession.createDataFrame([(k, min(1.0, fit_documents / n)) for k, n in counts.items()], known.select("label").schema.add("share", "double"))
+    chosen = join_checked(known, shares, ["label"], "inner").where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < 1_000_000 * F.col("share")).select("label", "text")
     words = staged(_word_counts(chosen).groupBy("label", "word").agg(F.sum("n").alias("n")), "langid-words")
-    for _ in range(ROUNDS):
-        expected = np.full(log_p.shape, SMOOTHING)
-        for r in _expected(words, Model(tokenizer, languages, log_p)).groupBy("language", "piece").agg(F.sum("n").alias("n")).collect():
-            expected[r["piece"], r["language"]] += r["n"]
-        log_p = np.log(expected / expected.sum(axis=0))
-    return Model(tokenizer, languages, log_p)
+    for block in reversed(blocks):
+        #: A language is learned from its own words alone, so blocks don't depend on one another.
+        own, log_p = words.where(F.col("label").isin([str(k) for k in block])), np.full((vocab.size, len(block)), -np.log(vocab.size))
+        for _ in range(ROUNDS):
+            expected = np.full(log_p.shape, SMOOTHING)
+            for r in _expected(own, Model(tokenizer, block, log_p)).groupBy("language", "piece").agg(F.sum("n").alias("n")).collect():
+                expected[r["piece"], r["language"]] += r["n"]
+            log_p = np.log(expected / expected.sum(axis=0))
+        model = Model(tokenizer, block, log_p, model)
+    return model
 
 
 def _word_counts(texts: DataFrame) -> DataFrame:
@@ -183,28 +186,48 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     A null text, one without letters, or a model that learned no language gives `und` and 0. Ties go to the first language in order.
     """
-    spark = docs.sparkSession
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double")
-    shared = spark.sparkContext.broadcast(model)
+    rows, blocks = docs.select(*kept), [model]
+    while blocks[-1].more is not None:
+        blocks.append(blocks[-1].more)
+    for k, block in enumerate(blocks):
+        rows = _scored_by(rows, kept, replace(block, more=None), text, k == 0, k == len(blocks) - 1)
+    return rows
+
+
+def _scored_by(docs: DataFrame, kept: list[str], block: Model, text: str, first: bool, last: bool) -> DataFrame:
+    """docs (columns kept, and if this isn't the first block what the blocks before found) with what they and this block find: the best
+    language, its likelihood and the sum of all posteriors against it; after the last block, lang_pred and score."""
+    spark = docs.sparkSession
+    schema = docs.select(*kept).schema
+    schema = schema.add("lang_pred", "string").add("score", "double") if last else schema.add("_best", "string").add("_top", "double").add("_sum", "double")
+    shared = spark.sparkContext.broadcast(block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         scorer = _scorer(model)
         for batch in batches:
             for rows in slices(batch, text):
-                predicted, scores = [UNDETERMINED] * len(rows), np.zeros(len(rows))
+                n = len(rows)
+                best = [UNDETERMINED] * n if first else rows.column("_best").to_pylist()
+                top, total = (np.full(n, -np.inf), np.zeros(n)) if first else (rows.column(c).to_numpy().copy() for c in ("_top", "_sum"))
                 if model.languages:
                     totals, counts = scorer.texts([t or "" for t in rows.column(text).to_pylist()])
-                    totals -= totals.max(axis=1, keepdims=True)
                     found = np.flatnonzero(counts)
-                    tempered = totals[found] * np.minimum(1.0, SCORE_WORDS / counts[found])[:, None]
-                    scores[found] = 1 / np.exp(tempered).sum(axis=1)
-                    for i, k in zip(found.tolist(), totals[found].argmax(axis=1).tolist(), strict=True):
-                        predicted[i] = model.languages[k]
-                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in kept), pa.array(predicted, pa.string()), pa.array(scores, pa.float64())], [*kept, "lang_pred", "score"])
-
-    return docs.select(*kept).mapInArrow(run, schema)
+                    own = totals[found]
+                    highest = np.maximum(own.max(axis=1), top[found])
+                    temper = np.minimum(1.0, SCORE_WORDS / counts[found])
+                    with np.errstate(invalid="ignore"):
+                        before = np.where(total[found] > 0, total[found] * np.exp((top[found] - highest) * temper), 0.0)
+                    total[found] = before + np.exp((own - highest[:, None]) * temper[:, None]).sum(axis=1)
+                    for i, k, better in zip(found.tolist(), own.argmax(axis=1).tolist(), (own.max(axis=1) > top[found]).tolist(), strict=True):
+                        best[i] = model.languages[k] if better else best[i]
+                    top[found] = highest
+                own = [pa.array(best, pa.string())]
+                own += [pa.array(np.divide(1.0, total, out=np.zeros(n), where=total > 0))] if last else [pa.array(top), pa.array(total)]
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in kept), *own], [*kept, *schema.names[len(kept) :]])
+
+    return docs.mapInArrow(run, schema)
 
 
 def held_out(docs: DataFrame) -> DataFrame:

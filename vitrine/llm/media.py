@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
-import struct
 import zlib
 from collections.abc import Iterator
 
@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from vitrine.llm.common import SLICE_BYTES, read, slices, staged
-from vitrine.llm.jpeg import PAYLOAD_COMMENT, UNIT, Image, decode, encode_payload, payload_of, rows_of_rgb
+from vitrine.llm.jpeg import PAYLOAD_COMMENT, UNIT, BrokenImage, Image, decode, encode_payload, payload_of, rows_of_rgb
 
 
 def padded(text: str | None) -> tuple[int, bytes]:
@@ -44,8 +44,10 @@ def _tensor(data: bytes | None) -> tuple[Image | None, np.ndarray | None, str |
     try:
         image = decode(data)
         return image, np.concatenate(list(rows_of_rgb(image))), None
-    except (ValueError, IndexError, KeyError, struct.error) as e:
-        return None, None, f"{type(e).__name__}: {e}"
+    except BrokenImage as e:
+        return None, None, str(e)
+    except KeyError:
+        return None, None, "no such table of quantisation"
 
 
 _TENSOR = {"height": ("integer", pa.int32()), "width": ("integer", pa.int32()), "rgb": ("binary", pa.binary()), "error": ("string", pa.string())}
@@ -55,8 +57,9 @@ _PAYLOAD = {"payload_bytes": ("long", pa.int64()), "payload_sha256": ("string",
 def _payload_facts(data: bytes, image: Image | None) -> tuple:
     own = (None, None, None)
     if image is not None and image.comment.startswith(PAYLOAD_COMMENT):
-        payload = payload_of(image)
-        own = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        with contextlib.suppress(BrokenImage):
+            payload = payload_of(image)
+            own = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
     return *own, len(data), hashlib.sha256(data).hexdigest()
 
 
