@@ -7,6 +7,7 @@ permutation of its own. The least hashes' low bits make up the fingerprint.
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -94,11 +95,13 @@ def in_id_order(docs: DataFrame) -> tuple[DataFrame, Window]:
     last = len(bounds) - 1
     group = max(1, int(len(bounds) ** 0.5))
     groups = [bounds[i : i + group] for i in range(0, len(bounds), group)]
-    heads = F.lit([g[0] for g in groups])
+    #: One literal each, whatever the number of bounds.
+    table = F.from_json(F.lit(json.dumps(groups)), "array<array<bigint>>")
+    heads = F.from_json(F.lit(json.dumps([g[0] for g in groups])), "array<bigint>")
     coarse = F.size(F.filter(heads, lambda b: b <= F.col("_key"))) - 1
-    fine = F.size(F.filter(F.get(F.lit(groups), F.col("_coarse")), lambda b: b <= F.col("_key"))) - 1
+    fine = F.size(F.filter(F.get(table, F.col("_coarse")), lambda b: b <= F.col("_key"))) - 1
     rows = docs.withColumn("_key", key).withColumn("_coarse", coarse).withColumn("_bucket", F.col("_coarse") * group + fine)
-    head = F.get(F.get(F.lit(groups), F.col("_coarse")), F.col("_bucket") - F.col("_coarse") * group) == F.col("_key")
+    head = F.get(F.get(table, F.col("_coarse")), F.col("_bucket") - F.col("_coarse") * group) == F.col("_key")
     own = F.struct(F.col("_bucket").alias("bucket"), F.lit(0).alias("lap"), F.lit(False).alias("halo"))
     halo = F.struct(F.when(F.col("_bucket") == 0, F.lit(last)).otherwise(F.col("_bucket") - 1).alias("bucket"), (F.col("_bucket") == 0).cast("int").alias("lap"), F.lit(True).alias("halo"))
     rows = rows.select("doc_id", "text", "_key", F.explode(F.when(head, F.array(own, halo)).otherwise(F.array(own))).alias("_at"))
