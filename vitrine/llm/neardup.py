@@ -233,9 +233,9 @@ def _prefix_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
         more = False
         if level < LEVELS:
             hot = staged(keyed.groupBy("key").agg(F.count("*").alias("rows"), F.sum(spare + level - F.col("place")).alias("further")).where(F.col("rows") > HOT), "common-keys")
-            #: Going on to further elements must cost fewer rows than comparing what shares these.
+            #: From the second on, going on to further elements must cost far fewer rows, which are written, than comparing what shares these.
             cost = hot.agg(F.sum(F.expr("rows * (rows - 1) DIV 2")).alias("pairs"), F.sum("further").alias("further")).first()
-            more = cost["pairs"] is not None and cost["further"] < cost["pairs"]
+            more = cost["pairs"] is not None and (level == 1 or 8 * cost["further"] < cost["pairs"])
         cold = join_checked(keyed, hot.select("key"), ["key"], "left_anti") if more else keyed
         other = cold.select("key", *(F.col(c).alias(f"other_{c}") for c in ("rep", "component", "n", "place")))
         left = level + F.least(F.col("n") - F.col("place"), F.col("other_n") - F.col("other_place")) - 1
