@@ -64,17 +64,6 @@ def test_near_duplicates_of_hot_groups(spark, monkeypatch, k: int) -> None:
     assert all((a, b) in found for b in ids for a in ids if a > b and sets[a] != sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]))
 
 
-def test_prefixes_around_common_phrases(spark) -> None:
-    """2,000 texts share two phrases that are rare elsewhere and nothing else: no pair of them is a candidate, but their near copies are."""
-    words = lambda i: [f"w{i}_{j}" for j in range(20)]
-    common_ = [[f"c{j}" for j in range(5)], [f"d{j}" for j in range(5)]]
-    docs = [(i, " ".join([*common_[0], *words(i)[:10], *common_[1], *words(i)[10:]])) for i in range(2000)]
-    docs += [(10_000 + i, docs[i][1] + " end") for i in range(0, 2000, 100)]
-    table = common.staged(neardup.shingle_sets(spark.createDataFrame(docs, "doc_id long, text string"), 5), "sets-test")
-    found = neardup._prefix_pairs(common.staged(table.select(F.col("doc_id").alias("rep"), F.col("doc_id").alias("component")), "nodes"), table)
-    assert {(r["a"], r["b"]) for r in found.collect()} == {(10_000 + i, i) for i in range(0, 2000, 100)}
-
-
 def test_near_duplicates_odd(spark, odd) -> None:
     rows = neardup.near_duplicates(odd).collect()
     assert len(rows) == odd.count()
