@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.plans.catalogue_queries import Query, table
-from vitrine.streaming import live, rates
+from vitrine.streaming import live, rates, state
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -86,3 +86,41 @@ SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id
 """)
 def discovery_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.discovery_pages(table(spark, sf_dir, "events"), "user_id", "event_id").select("user_id", "event_id")
+
+
+# What a stream learns
+
+
+@query("""
+WITH a AS (SELECT CAST(user_id AS VARCHAR) AS slug, event_id AS attempt, event_id AS seq, event_type = 'purchase' AS ok FROM events),
+b AS (SELECT *, coalesce(bool_or(ok) OVER (PARTITION BY slug ORDER BY seq, attempt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS done FROM a)
+SELECT slug, attempt, CASE WHEN done THEN 'skipped' WHEN ok THEN 'extracted' ELSE 'failed' END AS outcome FROM b
+""")
+def stream_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A product is done with its first success; the stream's state knows."""
+    events = live.stream_table(spark, sf_dir, "events")
+    attempts = events.select(F.col("user_id").alias("slug"), F.col("event_id").alias("attempt"), F.col("event_id").alias("at"), (F.col("event_type") == "purchase").alias("success"))
+    return spark.read.parquet(live.drained(state.seen_once(attempts), "attempts")).drop("at")
+
+
+@query("""
+WITH e AS (SELECT 'l' || (user_id % 500) AS lineage, event_id AS item, event_id AS seq, CASE event_type WHEN 'purchase' THEN 'approved' WHEN 'error' THEN 'rejected' END AS verdict FROM events),
+w AS (SELECT *, coalesce(bool_or(verdict = 'approved') OVER b, false) AS yes, coalesce(bool_or(verdict = 'rejected') OVER b, false) AS no FROM e WINDOW b AS (PARTITION BY lineage ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT lineage, item, CASE WHEN yes THEN 'approved' WHEN no THEN 'rejected' END AS verdict FROM w WHERE verdict IS NULL
+""")
+def stream_lineages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items get the verdict that is known of their lineage when they come; decisions accumulate."""
+    verdict = F.when(F.col("event_type") == "purchase", "approved").when(F.col("event_type") == "error", "rejected")
+    rows = live.stream_table(spark, sf_dir, "events").select(F.concat(F.lit("l"), (F.col("user_id") % 500).cast("string")).alias("lineage"), F.col("event_id").alias("item"), F.col("event_id").alias("at"), verdict.alias("verdict"))
+    return spark.read.parquet(live.drained(state.decided(rows), "lineages")).drop("at")
+
+
+@query("""
+WITH e AS (SELECT CAST(user_id AS VARCHAR) AS key, event_id AS item, event_type = 'purchase' AS discovery, value FROM events),
+f AS (SELECT key, string_agg(CAST(item AS VARCHAR), ',' ORDER BY item) AS taught_by, sum(coalesce(value, 0)) AS config FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY item) AS r FROM e WHERE discovery) WHERE r <= 2 GROUP BY key HAVING count(*) = 2)
+SELECT e.key, item, taught_by, config FROM e JOIN f USING (key)
+""")
+def stream_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows wait until two discovery rows of their key have come."""
+    rows = live.stream_table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("item"), (F.col("event_type") == "purchase").alias("discovery"), "value")
+    return spark.read.parquet(live.drained(state.behind_barrier(rows), "discovery"))

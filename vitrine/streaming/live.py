@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from vitrine.shared import shared_path
 from vitrine.sources.catalogue import table
+from vitrine.streaming.state import STATE_STORE
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int = 100) -> DataFrame:
@@ -21,10 +22,13 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str, files_per_batch: i
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", f"{name}*.parquet").parquet(sf_dir)
 
 
-def drained(stream: DataFrame, name: str, mode: str = "append", batch: Callable[[DataFrame, int], None] | None = None) -> str:
-    """Runs a stream over all that is there now and returns the folder of its results."""
+def drained(stream: DataFrame, name: str, mode: str = "append", batch: Callable[[DataFrame, int], None] | None = None, path: str | None = None) -> str:
+    """Runs a stream over all that is there now and returns the folder of its results. With the path of an earlier run, it goes on there.
+    A stream with timers never has all there is, and must be started without an end."""
     spark = stream.sparkSession
-    path = shared_path(spark, name)
+    path = path or shared_path(spark, name)
+    for k, v in STATE_STORE.items():
+        spark.conf.set(k, v)
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
     if batch is None and mode == "append":
         query = writer.format("parquet").option("path", f"{path}/data").start()
