@@ -184,3 +184,19 @@ def modal_kind(text: Column) -> Column:
     for kind, words in reversed(MODAL_WORDS.items()):
         out = F.when(any_of(low, words), F.lit(kind)).otherwise(out)
     return out
+
+
+#: Parts of addresses whose responses a page load passes over.
+LOAD_TRACKERS = ["google", "facebook", "analytics", "tracking", "pixel", "doubleclick", "criteo", "onetrust", "cookielaw"]
+
+
+def is_load_tracker(url: Column) -> Column:
+    return any_of(F.lower(url), LOAD_TRACKERS)
+
+
+def benchmark_score(name: Column, price: Column, images: Column, description: Column) -> Column:
+    """0 to 100, what an extraction found: 30 for a name of two characters or more, 30 for a price that isn't "0", 10 each for up to three
+    images, 10 for a description of more than ten characters. A null is nothing found."""
+    points = lambda test, n: F.when(F.coalesce(test, F.lit(False)), n).otherwise(0)
+    priced = (price.cast("string") != "") & (price.cast("string") != "0") & (F.coalesce(price.try_cast("double"), F.lit(1.0)) != 0)
+    return points(F.length(name) > 1, 30) + points(priced, 30) + 10 * F.least(F.coalesce(F.size(images), F.lit(0)), F.lit(3)) + points(F.length(description) > 10, 10)

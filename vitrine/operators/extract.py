@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.functions import text
+from vitrine.functions.predicates import any_of
 from vitrine.functions.urls import absolute, extract, host
+from vitrine.shared import staged
 
 VARIANTS = "array<struct<size:string,color:string,sku:string,price:double,available:boolean>>"
 #: Names under which an API response may hold a field, in the order in which they are tried.
@@ -112,6 +114,10 @@ def api_product(body: Column) -> dict[str, Column]:
     return {k: text.price(field(k)) if k == "price" else field(k) for k in ALIASES}
 
 
+#: Parts of field names that speak of a product; those that contain another one are left out.
+PRODUCT_NAMES = ["price", "cost", "amount", "size", "color", "colour", "stock", "inventory", "availability", "sku", "productid", "itemid", "variantid", "name", "title", "description", "details", "image", "media", "gallery", "variant", "options", "material", "fabric", "composition"]
+
+
 def response_score(keys: Column) -> Column:
     """10 for each key of a response that speaks of a product."""
     return 10 * F.size(F.filter(keys, lambda k: F.lower(k).rlike("|".join(INDICATORS))))
@@ -129,6 +135,23 @@ def keys_of(bodies: DataFrame, key: str, body: str = "body", depth: int = 3) ->
     return out
 
 
+def product_paths(bodies: DataFrame, key: str, body: str = "body", names: int = 5) -> DataFrame:
+    """key and path of the fields of a VARIANT whose name speaks of a product, `names` names deep at most; an array stands for its first item,
+    however many arrays there are on the way, and takes no depth. One explode for each level that has anything."""
+    level, out = bodies.select(key, F.lit("").alias("path"), F.lit(0).alias("names"), F.lit("").alias("name"), F.col(body).alias("v")), None
+    while True:
+        inner = level.sparkSession.sql(f"SELECT b.{key}, b.path, b.names, f.pos AS pos, f.key AS k, f.value AS value FROM {{level}} b, LATERAL variant_explode(b.v) AS f", level=level)
+        named = F.col("k").isNotNull()
+        inner = inner.where((named & (F.col("names") < names)) | (~named & (F.col("pos") == 0) & (F.col("names") < names)))
+        path = F.when(~named, F.concat("path", F.lit("[0]"))).when(F.col("path") == "", F.col("k")).otherwise(F.concat_ws(".", "path", "k"))
+        #: The next level is small beside the texts, and is read by the level after it too.
+        level = staged(inner.select(key, path.alias("path"), (F.col("names") + named.cast("int")).alias("names"), F.coalesce("k", F.lit("")).alias("name"), F.col("value").alias("v")), "paths")
+        found = level.where(any_of(F.lower("name"), PRODUCT_NAMES)).select(key, "path")
+        out = found if out is None else out.unionAll(found)
+        if level.isEmpty():
+            return out
+
+
 def merged_responses(responses: DataFrame, fields: dict[str, str], key: str = "page_url") -> DataFrame:
     """Per page of responses (key, response_no, score, fields): each field from the best response that has it, if together they have a name; else the best one's."""
     best = F.max_by(F.struct(*fields), F.struct("score", -F.col("response_no")))
@@ -268,6 +291,15 @@ def images(pages: DataFrame, key: str = "page_id", most: int = 15) -> DataFrame:
     return first.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("pos"))).where(F.col("rank") <= most).select(key, "pos", "url")
 
 
+def by_relevance(found: DataFrame, page: str, score: str = "score", least: int = 1) -> DataFrame:
+    """The images (page, pos, url, score) that score above `least`, in order of score, then of position, each file name once: with rank."""
+    from pyspark.sql import Window
+
+    stem = F.element_at(F.split(F.split_part("url", F.lit("?"), F.lit(1)), "/"), -1)
+    best = found.where(F.col(score) > least).withColumn("_rank", F.row_number().over(Window.partitionBy(page, stem).orderBy(F.col(score).desc(), "pos"))).where("_rank = 1").drop("_rank")
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy(page).orderBy(F.col(score).desc(), "pos")))
+
+
 def relevance(alt: Column, linked: Column, container: Column, name: Column) -> Column:
     """How likely an image shows the product: its name in the alternative text 3, no link to elsewhere 1, a gallery around it 2."""
     return F.when(F.contains(F.lower(F.coalesce(alt, F.lit(""))), F.lower(name)), 3).otherwise(0) + F.when(linked, 0).otherwise(1) + F.when(F.lower(F.coalesce(container, F.lit(""))).rlike("gallery|carousel|product"), 2).otherwise(0)

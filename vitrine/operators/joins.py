@@ -51,6 +51,23 @@ def _in_order(lines: DataFrame, name: str, step: Callable[[list, int | None, int
     return lines.repartition("doc_id").sortWithinPartitions("doc_id", "line_no").mapInArrow(run, StructType([*lines.schema.fields, StructField(name, number)]))
 
 
+def expandable_above(lines: DataFrame, kinds: tuple[str, ...] = ("button", "tab", "menuitem")) -> DataFrame:
+    """For each line (doc_id, line_no, indent, kind), its parent in a menu: of the lines that can be opened, the latest one at the greatest
+    indent below its own; null if there is none. A line that can be opened ends those before it that are as deep or deeper; others end none."""
+
+    def step(opened: list, indent: int | None, line: int, kind: str) -> int | None:
+        if indent is None:
+            return None
+        at = bisect_left(opened, indent, key=lambda x: x[0])
+        above = opened[at - 1][1] if at else None
+        if kind in kinds:
+            del opened[at:]
+            opened.append((indent, line))
+        return above
+
+    return _in_order(lines, "parent_line", step)
+
+
 def nearest_above(lines: DataFrame) -> DataFrame:
     """For each line (doc_id, line_no, indent, kind), the nearest earlier one of smaller indent: parent_line; null at the top. A line without
     an indent has no parent and is none."""

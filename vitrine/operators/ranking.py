@@ -26,3 +26,50 @@ def positioned(rows: DataFrame, *order: Column, name: str = "position") -> DataF
     starts = sizes.select("_part", before.alias("_start"))
     place = F.col("_start") + F.col("_id").bitwiseAND(F.lit(_ROW)) + 1
     return stored.join(F.broadcast(starts), "_part").withColumn(name, place).drop("_part", "_id", "_start")
+
+
+def least_errors(text: Column, pattern: str, most: int) -> Column:
+    """The fewest edits with which the pattern (of 62 characters at most) occurs anywhere in the text, whatever its case; null if it takes
+    more than `most`. A bit for each character of the pattern, a word of bits for each number of edits, one step for each character of the
+    text: time is the text's length times the edits, and nothing is compared pairwise."""
+    pattern = pattern.lower()
+    n = len(pattern)
+    if not 0 < n <= 62:
+        raise ValueError("a pattern has 1 to 62 characters")
+    most = min(most, n)
+    places: dict[str, int] = {}
+    for i, c in enumerate(pattern):
+        places[c] = places.get(c, 0) | 1 << i
+    masks = F.create_map(*[F.lit(x) for c, m in places.items() for x in (c, m)]).cast("map<string,bigint>")
+    end, full = F.lit(1 << (n - 1)).cast("long"), F.lit((1 << n) - 1).cast("long")
+
+    def step(state: Column, c: Column) -> Column:
+        here = F.coalesce(F.try_element_at(masks, c), F.lit(0).cast("long"))
+        rows: list[Column] = []
+        for d in range(most + 1):
+            old = state[f"r{d}"]
+            row = (F.shiftleft(old, 1).bitwiseOR(F.lit(1).cast("long"))).bitwiseAND(here)
+            if d:
+                #: One more character in the text, another one, or one less.
+                row = row.bitwiseOR(state[f"r{d - 1}"]).bitwiseOR(F.shiftleft(state[f"r{d - 1}"], 1)).bitwiseOR(F.shiftleft(rows[-1], 1)).bitwiseOR(F.lit(1).cast("long"))
+            rows.append(row.bitwiseAND(full))
+        best = state["best"]
+        for d in reversed(range(most + 1)):
+            best = F.when(rows[d].bitwiseAND(end) != 0, F.least(best, F.lit(d))).otherwise(best)
+        return F.struct(*(r.alias(f"r{d}") for d, r in enumerate(rows)), best.alias("best"))
+
+    #: Without any character, d edits leave out the first d.
+    start = F.struct(*(F.lit((1 << d) - 1).cast("long").alias(f"r{d}") for d in range(most + 1)), F.lit(n if most >= n else most + 1).alias("best"))
+    letters = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), ""), lambda c: c != "")
+    best = F.aggregate(letters, start, step, lambda state: state["best"])
+    return F.when(best <= most, best)
+
+
+def fuzzy_ranked(rows: DataFrame, pattern: str, weights: dict[str, float], threshold: float = 0.5) -> DataFrame:
+    """rows in which a weighted column has the pattern with errors of at most `threshold` of its length, with score: the weighted mean of
+    1 - errors / length over all columns, those without a match counting 0. Rows that match nowhere are left out, not ranked last."""
+    most = int(threshold * len(pattern))
+    named = {c: f"_errors{i}" for i, c in enumerate(weights)}
+    found = rows.withColumns({v: least_errors(F.col(c), pattern, most) for c, v in named.items()})
+    score = sum((w * F.coalesce(1 - F.col(named[c]) / len(pattern), F.lit(0.0)) for c, w in weights.items()), F.lit(0.0)) / sum(weights.values())
+    return found.where(F.coalesce(*(F.col(v) for v in named.values())).isNotNull()).withColumn("score", score).drop(*named.values())

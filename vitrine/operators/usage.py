@@ -84,3 +84,20 @@ def pages_until_empty(pages: DataFrame, streak: int = 3) -> DataFrame:
     empties = F.sum((F.col("found") == 0).cast("int")).over(w.rowsBetween(1 - streak, 0))
     ended = pages.withColumn("ends", (empties == streak).cast("int"))
     return ended.withColumn("before", F.coalesce(F.sum("ends").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where("before = 0").drop("ends", "before")
+
+
+def pool_statistics(uses: DataFrame, size: int, width_seconds: int = 3600) -> DataFrame:
+    """Per pool of uses (pool, start, end; an end is no longer busy): served, peak (most at once), available_at_peak of `size`, and
+    busy_seconds. A sweep line: starts and ends are +1 and -1 at their moments, moments are summed in buckets of time, and a bucket starts
+    with the sum of those before, one row each; so no use meets another, and no pool is one task. Uses without a start or end, or that end
+    before they start, don't count."""
+    kept = uses.where("start IS NOT NULL AND end IS NOT NULL AND end >= start").select("pool", F.unix_micros("start").alias("s"), F.unix_micros("end").alias("e"))
+    moments = kept.where("e > s").select("pool", F.explode(F.array(F.struct(F.col("s").alias("at"), F.lit(1).alias("d")), F.struct(F.col("e").alias("at"), F.lit(-1).alias("d")))).alias("m"))
+    moments = moments.groupBy("pool", F.col("m.at").alias("at")).agg(F.sum("m.d").alias("d")).withColumn("bucket", F.expr(f"at DIV {width_seconds * 1_000_000}"))
+    before = Window.partitionBy("pool").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = moments.groupBy("pool", "bucket").agg(F.sum("d").alias("d")).select("pool", "bucket", F.coalesce(F.sum("d").over(before), F.lit(0)).alias("carried"))
+    within = moments.withColumn("busy", F.sum("d").over(Window.partitionBy("pool", "bucket").orderBy("at")))
+    peaks = within.join(carried, ["pool", "bucket"]).groupBy("pool").agg(F.max(F.col("carried") + F.col("busy")).alias("peak"))
+    totals = kept.groupBy("pool").agg(F.count("*").alias("served"), (F.sum(F.col("e") - F.col("s")) / 1e6).alias("busy_seconds"))
+    out = totals.join(peaks, "pool", "left").withColumn("peak", F.coalesce("peak", F.lit(0)))
+    return out.select("pool", "served", "peak", (F.lit(size) - F.col("peak")).alias("available_at_peak"), "busy_seconds")
