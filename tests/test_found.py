@@ -73,3 +73,11 @@ def test_parents_that_open(spark) -> None:
 def test_scores(spark) -> None:
     rows = spark.createDataFrame([("ab", "12", ["x"] * 5, "long enough text"), ("a", "0", [], "short"), (None, None, None, None), ("abc", "0.0", ["x"], None)], "name string, price string, images array<string>, description string")
     assert [r[0] for r in rows.select(predicates.benchmark_score(*(F.col(c) for c in rows.columns))).collect()] == [100, 0, 0, 40]
+
+
+def test_templates(spark) -> None:
+    rows = [("a", "https://x.com/p/big-hat?c=1", "x {name:'Big Hat', sku: 12} {id:'big hat',name: 'A.B*', sku:7}"), ("a", "https://x.com/p/none", "{id:'big hat', name:'x', sku:1}"), ("b", "https://x.com/p/big-hat", "{id:'big hat'}"), ("c", None, None)]
+    pages = spark.createDataFrame(rows, "domain string, url string, html string")
+    templates = spark.createDataFrame([("a", "{id:'{{SLUG}}', name: '{name}', sku: {sku}}"), ("b", "{other}{{SLUG}}"), ("c", None)], "domain string, template string")
+    got = sorted(((r["url"] or "", r["name"], r["sku"], r["more"]) for r in extract.by_templates(pages, templates, {"name": "[^']*", "sku": r"\d+", "more": ".*"}).collect()), key=str)
+    assert got == sorted([("https://x.com/p/big-hat?c=1", "A.B*", "7", None), ("https://x.com/p/none", None, None, None), ("https://x.com/p/big-hat", None, None, None), ("", None, None, None)], key=str)

@@ -121,10 +121,26 @@ def fuzzy_slug_pattern(slug: str) -> str:
     return r"[-_\s]?".join(re.escape(w) for w in re.split(r"[-_\s]+", slug) if w)
 
 
+_TEMPLATE_PARTS = r"(\{\{SLUG\}\}|\{\w+\}|\s+)"
+
+
+def placeholders(template: str, fields: dict[str, str]) -> list[str]:
+    """The fields that a template names, in order; as often as it does."""
+    return [p[1:-1] for p in re.split(_TEMPLATE_PARTS, template) if re.fullmatch(r"\{\w+\}", p) and p[1:-1] in fields]
+
+
 def compiled_pattern(template: str, fields: dict[str, str], slug: str | None = None) -> str:
-    """A template with {field} placeholders as a pattern with groups, all else literal; {{SLUG}} is the escaped slug."""
-    parts = re.split(r"(\{\{SLUG\}\}|\{\w+\})", template)
-    return "".join(re.escape(slug or "") if p == "{{SLUG}}" else f"({fields.get(p[1:-1], '.*?')})" if re.fullmatch(r"\{\w+\}", p) else re.escape(p) for p in parts)
+    """A template as a pattern: {field} is a group of the field's own pattern, {{SLUG}} the slug whatever parts its words, blanks are any
+    number of blanks, and all else, other names in braces too, is literal."""
+    out = []
+    for part in re.split(_TEMPLATE_PARTS, template):
+        if part == "{{SLUG}}":
+            out.append(fuzzy_slug_pattern(slug or ""))
+        elif re.fullmatch(r"\{\w+\}", part) and part[1:-1] in fields:
+            out.append(f"({fields[part[1:-1]]})")
+        else:
+            out.append(r"\s*" if part.isspace() else re.escape(part))
+    return "".join(out)
 
 
 def token_cost(tokens_in: Column, tokens_out: Column) -> Column:

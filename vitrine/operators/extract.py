@@ -218,6 +218,26 @@ def by_patterns(pages: DataFrame, patterns: DataFrame, names: list[str]) -> Data
     return pages.join(patterns, "domain", "left").select("url", "html", "patterns").mapInPandas(run, "url string, " + ", ".join(f"{n} string" for n in names))
 
 
+def by_templates(pages: DataFrame, templates: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """Fields of pages (domain, url, html) by the template of their domain (domain, template): text in which {field} stands for a value, of the
+    pattern that `fields` gives it, and {{SLUG}} for the page's slug, whatever parts its words. Blanks of a template stand for any. The first
+    place in the page that fits gives all fields; one that a template doesn't name, and all of a page where nothing fits, are null."""
+    names = list(fields)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            found = []
+            for url, page, template in zip(rows["url"], rows["html"], rows["template"], strict=True):
+                slug = re.split("[?#]", url or "")[0].rstrip("/").rsplit("/", 1)[-1]
+                named = text.placeholders(template or "", fields)
+                m = re.search(text.compiled_pattern(template, fields, slug), page or "", re.S) if template else None
+                values = dict(zip(named, m.groups(), strict=True)) if m else {}
+                found.append([values.get(n) for n in names])
+            yield pd.DataFrame({"url": rows["url"], **{n: [f[i] for f in found] for i, n in enumerate(names)}})
+
+    return pages.join(templates, "domain", "left").select("url", "html", "template").mapInPandas(run, "url string, " + ", ".join(f"`{n}` string" for n in names))
+
+
 def _match(pattern: str | None, slug: str, scripts: str) -> str | None:
     try:
         m = re.search(pattern.replace("{{SLUG}}", re.escape(slug)), scripts) if pattern else None

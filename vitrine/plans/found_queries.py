@@ -163,3 +163,16 @@ def relevant_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     score = extract.relevance(F.when(k % 4 < 2, F.col("name")), k % 3 == 0, F.when(k % 5 == 0, F.lit("Gallery")), F.col("name"))
     found = products(spark, sf_dir).select((k % 100).alias("page"), k.alias("pos"), url.alias("url"), score.alias("score"))
     return extract.by_relevance(found, "page").select("page", "url", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"SELECT product_id::VARCHAR AS key, CASE WHEN product_id % 5 > 0 THEN name END AS title, CASE WHEN product_id % 5 > 0 THEN size_no::VARCHAR END AS size FROM {PRODUCTS_SQL}")
+def template_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values by the template of a brand, around the page's own slug, however its words are parted; every fifth page has another slug alone."""
+    k = F.col("product_id").cast("string")
+    own = F.when(F.col("product_id") % 5 > 0, F.concat(F.lit("item_"), k, F.lit(" x"))).otherwise("other")
+    html = F.concat(F.lit('<script>[{"slug":"other","title":"No","size":0},  {"slug" : "'), own, F.lit('", "title":  "'), F.col("name"), F.lit('","size":'), F.col("size_no").cast("string"), F.lit("}]</script>"))
+    pages = products(spark, sf_dir).select(F.col("brand_id").alias("domain"), F.concat(F.lit("https://x.example.com/p/item-"), k, F.lit("-x?v=1")).alias("url"), html.alias("html"))
+    template = F.lit('{ "slug" : "{{SLUG}}" , "title" : "{title}" , "size" : {size} }')
+    templates = products(spark, sf_dir).select(F.col("brand_id").alias("domain"), template.alias("template")).distinct()
+    found = extract.by_templates(pages, templates, {"title": '[^"]*', "size": r"\d+"})
+    return found.select(F.regexp_extract("url", r"item-(\d+)-x", 1).alias("key"), "title", "size")
