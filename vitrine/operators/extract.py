@@ -127,8 +127,7 @@ def keys_of(bodies: DataFrame, key: str, body: str = "body", depth: int = 3) ->
     """key and path of every field of a VARIANT down to `depth`, of arrays their first item: one explode per level."""
     level, out = bodies.select(key, F.lit("").alias("path"), F.col(body).alias("v")), None
     for _ in range(depth):
-        level.createOrReplaceTempView("_level")
-        inner = level.sparkSession.sql(f"SELECT {key}, path, f.pos AS pos, f.key AS k, f.value AS value FROM _level, LATERAL variant_explode_outer(v) AS f")
+        inner = level.sparkSession.sql(f"SELECT b.{key}, b.path, f.pos AS pos, f.key AS k, f.value AS value FROM {{level}} b, LATERAL variant_explode_outer(b.v) AS f", level=level)
         inner = inner.where("k IS NOT NULL OR pos = 0").select(key, F.when(F.col("k").isNull(), F.concat("path", F.lit("[0]"))).when(F.col("path") == "", F.col("k")).otherwise(F.concat_ws(".", "path", "k")).alias("path"), F.col("value").alias("v"))
         rows = inner.select(key, "path")
         out, level = rows if out is None else out.unionAll(rows), inner

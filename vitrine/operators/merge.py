@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FIELDS = ("name", "price", "currency", "description", "brand", "sku", "category")
@@ -67,7 +67,7 @@ def merged_patterns(old: Column, new: Column) -> Column:
 def pattern_usage(uses: DataFrame) -> DataFrame:
     """Per selector of uses (pos, selector, products, lineage): its products, uses and lineages; the first one seen is the primary."""
     by = uses.groupBy("selector").agg(F.min("pos").alias("first"), F.sum("products").alias("products"), F.count("*").alias("uses"), F.count_distinct("lineage").alias("lineages"))
-    return by.withColumn("is_primary", F.col("first") == F.min("first").over(Window.partitionBy()))
+    return by.crossJoin(F.broadcast(uses.agg(F.min("pos").alias("_least")))).withColumn("is_primary", F.col("first") == F.col("_least")).drop("_least")
 
 
 def availability_by_size(sizes: DataFrame, stock: DataFrame) -> DataFrame:

@@ -156,14 +156,15 @@ _LINES_SQL = "list_filter(list_transform(string_split({}, chr(10)), lambda x: tr
 
 
 @query(f"""
-WITH d AS (SELECT doc_id, text AS a, replace(text, ' the ', ' a ') AS b FROM documents), l AS (SELECT doc_id, {_LINES_SQL.format("a")} AS a, {_LINES_SQL.format("b")} AS b FROM d),
+WITH d AS (SELECT doc_id, coalesce(text, '') AS a, replace(coalesce(text, ''), ' the ', ' a ') AS b FROM documents), l AS (SELECT doc_id, {_LINES_SQL.format("a")} AS a, {_LINES_SQL.format("b")} AS b FROM d),
 n AS (SELECT *, list_distinct(list_filter(b, lambda x: NOT list_contains(a, x))) AS new, len(list_filter(b, lambda x: list_contains(a, x))) AS old, len(list_filter(list_distinct(a), lambda x: list_contains(b, x))) AS shared FROM l)
 SELECT doc_id, len(b) > 0 AND old >= 0.8 * len(b) AS duplicate, len(new) >= 10 AS reacted, shared >= 0.7 * greatest(len(list_distinct(a)), len(list_distinct(b)), 1) AS same_menu FROM n
 """)
 def page_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    before, after = F.col("text"), F.replace("text", F.lit(" the "), F.lit(" a "))
+    before = F.coalesce("text", F.lit(""))
+    after = F.replace(before, F.lit(" the "), F.lit(" a "))
     lines = lambda c: F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", predicates.is_duplicate_block(before, after).alias("duplicate"), records.page_reacted(before, after).alias("reacted"), records.fingerprint_matches(lines(before), lines(after)).alias("same_menu"))
+    return table(spark, sf_dir, "documents").select("doc_id", predicates.is_duplicate_block(before, after).alias("duplicate"), records.page_reacted(before, after).alias("reacted"), records.fingerprint_matches(lines(before), lines(after)).alias("same_menu"))
 
 
 def _snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,11 +78,12 @@ def pattern_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH s AS (SELECT arg_max(l_returnflag = 'N', l_orderkey * 8 + l_linenumber) AS available, l_partkey AS id FROM lineitem WHERE l_partkey % 2 = 0 GROUP BY l_partkey)
+WITH s AS (SELECT arg_max(l_returnflag = 'N', l_orderkey * 8 + l_linenumber) AS available, CASE WHEN l_partkey % 2 = 0 THEN l_partkey END AS id FROM lineitem GROUP BY 2)
 SELECT p_partkey AS id, p_size AS size, available FROM part LEFT JOIN s ON id = p_partkey
 """)
 def availability_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stock = table(spark, sf_dir, "lineitem").where("l_partkey % 2 = 0").select(F.col("l_partkey").alias("id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pos"), (F.col("l_returnflag") == "N").alias("available"))
+    """Every second line names no product, so products lack stock."""
+    stock = table(spark, sf_dir, "lineitem").select(F.when(F.col("l_partkey") % 2 == 0, F.col("l_partkey")).alias("id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pos"), (F.col("l_returnflag") == "N").alias("available"))
     return merge.availability_by_size(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("size")), stock)
 
 

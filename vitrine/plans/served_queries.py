@@ -26,10 +26,11 @@ def query(sql: str | None = None):  # noqa: ANN201
 
 @query("""
 SELECT 'supplier_' || s_suppkey || '_com' AS brand_id, 'https://supplier.' || s_suppkey || '.com' AS homepage_url, CASE WHEN coalesce(n, 0) > 0 THEN 'completed' ELSE 'pending' END AS status, coalesce(s3, s2, 1) AS last_scrape_at
-FROM supplier LEFT JOIN (SELECT l_suppkey, count(DISTINCT l_partkey) AS n, max(CASE WHEN l_quantity = 50 THEN l_orderkey END) AS s3, max(CASE WHEN l_quantity > 45 THEN l_orderkey END) AS s2 FROM lineitem WHERE l_suppkey % 3 > 0 GROUP BY 1) ON l_suppkey = s_suppkey
+FROM supplier LEFT JOIN (SELECT l_suppkey, count(DISTINCT l_partkey) AS n, max(CASE WHEN l_quantity = 50 THEN l_orderkey END) AS s3, max(CASE WHEN l_quantity > 45 THEN l_orderkey END) AS s2 FROM (SELECT * REPLACE (CASE WHEN l_suppkey % 3 > 0 THEN l_suppkey END AS l_suppkey) FROM lineitem) GROUP BY 1) ON l_suppkey = s_suppkey
 """)
 def brand_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = table(spark, sf_dir, "lineitem").where("l_suppkey % 3 > 0").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count_distinct("l_partkey").alias("unique_products"), F.max(F.when(F.col("l_quantity") == 50, F.col("l_orderkey"))).alias("stage_3"), F.max(F.when(F.col("l_quantity") > 45, F.col("l_orderkey"))).alias("stage_2"))
+    """Every third supplier's lines name no supplier, so it has no run."""
+    runs = table(spark, sf_dir, "lineitem").groupBy(F.when(F.col("l_suppkey") % 3 > 0, F.col("l_suppkey")).alias("s_suppkey")).agg(F.count_distinct("l_partkey").alias("unique_products"), F.max(F.when(F.col("l_quantity") == 50, F.col("l_orderkey"))).alias("stage_3"), F.max(F.when(F.col("l_quantity") > 45, F.col("l_orderkey"))).alias("stage_2"))
     brands = table(spark, sf_dir, "supplier").join(runs, "s_suppkey", "left").withColumn("brand_id", F.concat(F.lit("supplier_"), F.col("s_suppkey").cast("string"), F.lit("_com"))).withColumn("stage_1", F.lit(1).cast("long"))
     return records.brand_record(brands).select("brand_id", "homepage_url", "status", "last_scrape_at")
 
@@ -89,12 +90,12 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH RECURSIVE nodes AS {NODES_SQL}, up AS (SELECT node_id, node_id AS a, parent_id AS nxt FROM nodes UNION ALL SELECT up.node_id, p.node_id, p.parent_id FROM up JOIN nodes p ON p.node_id = up.nxt),
-listed AS (SELECT DISTINCT 's' || l_suppkey AS node_id FROM lineitem WHERE l_suppkey % 2 = 0), kept AS (SELECT DISTINCT a FROM up WHERE node_id IN (SELECT node_id FROM listed))
+listed AS (SELECT DISTINCT CASE WHEN l_suppkey % 2 = 0 THEN 's' || l_suppkey END AS node_id FROM lineitem), kept AS (SELECT DISTINCT a FROM up WHERE node_id IN (SELECT node_id FROM listed))
 SELECT node_id, name FROM nodes WHERE node_id IN (SELECT a FROM kept)
 """)
 def category_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pruned to categories with products, a single root's level taken away."""
-    listed = category_products(spark, sf_dir).where("cast(substring(node_id, 2) AS int) % 2 = 0")
+    listed = category_products(spark, sf_dir).withColumn("node_id", F.expr("CASE WHEN cast(substring(node_id, 2) AS int) % 2 = 0 THEN node_id END"))
     return trees.collapsed(trees.pruned(category_nodes(spark, sf_dir), listed)).select("node_id", "name")
 
 

@@ -273,19 +273,21 @@ def shared_url_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH l AS (SELECT s_nationkey AS n, s_name AS name, 'https://x.com/s/' || s_suppkey AS url FROM supplier WHERE s_suppkey % 3 > 0 UNION ALL SELECT n_nationkey, lower(n_name), 'https://x.com/n/' || n_nationkey FROM nation WHERE n_nationkey % 3 = 0),
+WITH l AS (SELECT CASE WHEN s_suppkey % 3 > 0 THEN s_nationkey END AS n, s_name AS name, 'https://x.com/s/' || s_suppkey AS url FROM supplier UNION ALL SELECT CASE WHEN n_nationkey % 3 = 0 THEN n_nationkey END, lower(n_name), 'https://x.com/n/' || n_nationkey FROM nation),
 c AS (SELECT n_nationkey AS n, n_regionkey AS r, n_name, (SELECT count(*) FROM l WHERE l.n = n_nationkey) AS of_nation FROM nation), g AS (SELECT *, sum(of_nation) OVER (PARTITION BY r) AS of_region FROM c)
 SELECT CASE WHEN of_nation > 1 THEN 'n' || g.n WHEN of_region > 1 THEN 'r' || r END AS parent_id, name, url, true AS is_link FROM l JOIN g USING (n)
 UNION ALL SELECT 'r' || r, n_name, CASE WHEN n % 3 = 0 THEN 'https://x.com/n/' || n END, false FROM g WHERE of_nation > 1
 UNION ALL SELECT DISTINCT NULL, r_name, NULL, false FROM g JOIN region ON r_regionkey = r WHERE of_region > 1
+UNION ALL SELECT NULL, name, url, true FROM l WHERE n IS NULL
 """)
 def standard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = lambda kind, key: F.concat(F.lit(kind), _text(key))
     regions = table(spark, sf_dir, "region").select(named("r", "r_regionkey").alias("node_id"), F.lit("root").alias("parent_id"), F.col("r_name").alias("name"))
     nations = table(spark, sf_dir, "nation").select(named("n", "n_nationkey").alias("node_id"), named("r", "n_regionkey").alias("parent_id"), F.col("n_name").alias("name"))
     root = spark.range(1).select(F.lit("root").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.lit("root").alias("name"))
-    of_suppliers = table(spark, sf_dir, "supplier").where("s_suppkey % 3 > 0").select(named("n", "s_nationkey").alias("node_id"), F.col("s_suppkey").alias("pos"), F.col("s_name").alias("name"), named("https://x.com/s/", "s_suppkey").alias("url"))
-    own = table(spark, sf_dir, "nation").where("n_nationkey % 3 = 0").select(named("n", "n_nationkey").alias("node_id"), F.lit(0).cast("long").alias("pos"), F.lower("n_name").alias("name"), named("https://x.com/n/", "n_nationkey").alias("url"))
+    #: Links of every third supplier, and of two nations in three, are under no node, so they stand at the top.
+    of_suppliers = table(spark, sf_dir, "supplier").select(F.when(F.col("s_suppkey") % 3 > 0, named("n", "s_nationkey")).alias("node_id"), F.col("s_suppkey").alias("pos"), F.col("s_name").alias("name"), named("https://x.com/s/", "s_suppkey").alias("url"))
+    own = table(spark, sf_dir, "nation").select(F.when(F.col("n_nationkey") % 3 == 0, named("n", "n_nationkey")).alias("node_id"), F.lit(0).cast("long").alias("pos"), F.lower("n_name").alias("name"), named("https://x.com/n/", "n_nationkey").alias("url"))
     return trees.standard_tree(root.unionByName(regions).unionByName(nations), of_suppliers.unionByName(own))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.functions.text import slug
+from vitrine.operators.ranking import positioned
 
 
 def product_path(category: Column, source_url: Column, name: Column) -> Column:
@@ -96,10 +97,8 @@ def kept_artifacts(files: DataFrame, stages: list[int]) -> DataFrame:
 
 def combined_log(logs: DataFrame) -> DataFrame:
     """Categories of all logs by falling count: rank, category, products."""
-    from pyspark.sql import Window
-
     by = logs.groupBy("category").agg(F.sum("products").alias("products"))
-    return by.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("products"), "category")))
+    return positioned(by, F.desc("products"), F.col("category"), name="rank").withColumn("rank", F.col("rank").cast("int"))
 
 
 def normalized_results(products: DataFrame, nodes: DataFrame, usage: DataFrame, run: DataFrame) -> dict[str, DataFrame]:
