@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vitrine.functions import predicates
-from vitrine.operators import extract, joins, ranking, usage
+from vitrine.operators import extract, joins, looks, ranking, usage
 
 
 def fewest(text: str, pattern: str) -> int:
@@ -81,3 +81,33 @@ def test_templates(spark) -> None:
     templates = spark.createDataFrame([("a", "{id:'{{SLUG}}', name: '{name}', sku: {sku}}"), ("b", "{other}{{SLUG}}"), ("c", None)], "domain string, template string")
     got = sorted(((r["url"] or "", r["name"], r["sku"], r["more"]) for r in extract.by_templates(pages, templates, {"name": "[^']*", "sku": r"\d+", "more": ".*"}).collect()), key=str)
     assert got == sorted([("https://x.com/p/big-hat?c=1", "A.B*", "7", None), ("https://x.com/p/none", None, None, None), ("https://x.com/p/big-hat", None, None, None), ("", None, None, None)], key=str)
+
+
+def test_similarity_groups_by_nested_loop(spark) -> None:
+    """Against a loop over all files of a folder, with names, seasons and years of which at least two are known."""
+    rng = random.Random(8)
+    rows = []
+    for folder in ("f", "g", "h"):
+        for pos in range(60):
+            v = [rng.choice(["ann", "bo", "cy"]), rng.choice(["fall", "spring"]), rng.choice([2020, 2021])]
+            if rng.random() < 0.3:
+                v[rng.randrange(3)] = None
+            rows.append((folder, pos, *v))
+    got = {(r["folder"], r["pos"]): r["group_no"] for r in looks.similarity_groups(spark.createDataFrame(rows, "folder string, pos int, designer string, season string, year int")).collect()}
+    for folder in ("f", "g", "h"):
+        seeds: list[tuple] = []
+        for r in sorted(r for r in rows if r[0] == folder):
+            hit = next((k for k, s in enumerate(seeds) if sum(a is not None and a == b for a, b in zip(r[2:], s, strict=True)) >= 2), None)
+            if hit is None:
+                hit = len(seeds)
+                seeds.append(r[2:])
+            assert got[folder, r[1]] == hit
+    few = [("f", 1, "ann", None, None), ("f", 0, "ann", None, None), ("f", 2, "bo", "fall", None), ("f", 3, "bo", "fall", None), ("g", 0, None, None, None)]
+    got = {(r["folder"], r["pos"]): r["group_no"] for r in looks.similarity_groups(spark.createDataFrame(few, "folder string, pos int, designer string, season string, year int")).collect()}
+    assert got == {("f", 2): 0, ("f", 3): 0, ("f", 0): 1, ("f", 1): 2, ("g", 0): 0}
+
+
+def test_endpoints(spark) -> None:
+    rows = [(1, None, None), (2, [("https://a.myshopify.com/graphql", None)], "storefrontAccessToken: '" + "0f" * 16 + "'"), (3, [], "x.myshopify.com")]
+    got = {r["id"]: (r["endpoint"], r["token"]) for r in extract.graph_endpoint(spark.createDataFrame(rows, "id int, requests array<struct<url:string,headers:map<string,string>>>, html string")).collect()}
+    assert got == {1: (None, None), 2: ("https://a.myshopify.com/graphql", "0f" * 16), 3: ("https://x.myshopify.com/api/2024-01/graphql.json", None)}

@@ -217,6 +217,21 @@ def by_patterns(pages: DataFrame, patterns: DataFrame, names: list[str]) -> Data
     return pages.join(patterns, "domain", "left").select("url", "html", "patterns").mapInPandas(run, "url string, " + ", ".join(f"{n} string" for n in names))
 
 
+def graph_endpoint(pages: DataFrame) -> DataFrame:
+    """pages (with requests, an array of (url, headers) in order, and html) with endpoint and token of a shop's product service: of the first
+    request to one that carries a token; else the last such request's address, and what the page's own scripts say: a token, and an address
+    made of the shop's name if no request has one. Null where there is none."""
+    token_of = lambda r: F.get(F.map_values(F.map_filter(r["headers"], lambda k, v: F.contains(F.lower(k), F.lit("storefront-access-token")))), 0)
+    fits = lambda r: F.coalesce(F.contains(r["url"], F.lit("myshopify.com")) & F.contains(r["url"], F.lit("graphql")), F.lit(False))
+    none = F.struct(F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("token"))
+    step = lambda acc, r: F.when(acc["token"].isNotNull() | ~fits(r), acc).otherwise(F.struct(r["url"].alias("url"), token_of(r).alias("token")))
+    rows = pages.withColumn("_found", F.aggregate(F.coalesce("requests", F.array().cast(pages.schema["requests"].dataType)), none, step))
+    said = F.nullif(F.regexp_extract("html", r"""(?i)storefrontAccessToken["'\s:]+([a-f0-9]{32})""", 1), F.lit(""))
+    shop = F.nullif(F.regexp_extract("html", r"(?i)([a-z0-9-]+\.myshopify\.com)", 1), F.lit(""))
+    made = F.when(F.col("_found.token").isNull(), F.concat(F.lit("https://"), shop, F.lit("/api/2024-01/graphql.json")))
+    return rows.withColumns({"endpoint": F.coalesce("_found.url", made), "token": F.coalesce("_found.token", said)}).drop("_found")
+
+
 def by_templates(pages: DataFrame, templates: DataFrame, fields: dict[str, str]) -> DataFrame:
     """Fields of pages (domain, url, html) by the template of their domain (domain, template): text in which {field} stands for a value, of the
     pattern that `fields` gives it, and {{SLUG}} for the page's slug, whatever parts its words. Blanks of a template stand for any. The first

@@ -43,10 +43,12 @@ def largest_pattern(files: DataFrame) -> DataFrame:
 def similarity_groups(files: DataFrame, threshold: float = 2.0) -> DataFrame:
     """Groups of a folder's described files: the first file without a group begins one, and later ones join that score enough against it.
 
-    The score is 1 each for an equal designer, season and year, so a file's partners depend on its values alone: files of equal values always share a
-    group, and the pass in order runs over the distinct values of a folder, which are few, not over its files.
+    The score is 1 each for an equal designer, season and year, so a file's partners depend on its values alone: files of equal values, of which
+    enough are known, share a group, and the pass in order runs over the distinct values of a folder, which are few, not over its files. A
+    file of which fewer are known joins none and is joined by none; such groups of one are numbered after the others, by pos.
     """
-    by = files.groupBy("folder", "designer", "season", "year").agg(F.min("pos").alias("pos"))
+    known = sum(F.col(c).isNotNull().cast("int") for c in ("designer", "season", "year")) >= threshold
+    by = files.where(known).groupBy("folder", "designer", "season", "year").agg(F.min("pos").alias("pos"))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("pos").reset_index(drop=True)
@@ -62,7 +64,28 @@ def similarity_groups(files: DataFrame, threshold: float = 2.0) -> DataFrame:
 
     grouped = by.groupBy("folder").applyInPandas(run, "folder string, designer string, season string, year int, group_no long")
     keys = [F.col(f"f.{c}").eqNullSafe(F.col(f"g.{c}")) for c in ("folder", "designer", "season", "year")]
-    return files.alias("f").join(grouped.alias("g"), keys).select("f.*", "g.group_no")
+    together = files.where(known).alias("f").join(grouped.alias("g"), keys).select("f.*", "g.group_no")
+    groups = grouped.groupBy("folder").agg((F.max("group_no") + 1).alias("_groups"))
+    alone = files.where(~known).withColumn("_nth", F.row_number().over(Window.partitionBy("folder").orderBy("pos"))).join(groups, "folder", "left")
+    return together.unionByName(alone.withColumn("group_no", F.coalesce("_groups", F.lit(0)) + F.col("_nth") - 1).drop("_groups", "_nth"))
+
+
+def primary_cluster(images: DataFrame, page: str = "page_id") -> DataFrame:
+    """The gallery of each page of images (page, dom_index, ancestry, url): those of the ancestry that most images have, of equals the one
+    that comes first in the page; each file name once, with position from 1. An image without an ancestry counts as of the empty one."""
+    named = images.withColumn("ancestry", F.coalesce("ancestry", F.lit("")))
+    sizes = named.groupBy(page, "ancestry").agg(F.count("*").alias("n"), F.min("dom_index").alias("first"))
+    best = sizes.groupBy(page).agg(F.max_by(F.struct("ancestry", "n"), F.struct("n", -F.col("first"))).alias("b")).select(page, "b.ancestry", F.col("b.n").alias("images"))
+    stem = F.element_at(F.split(F.split_part("url", F.lit("?"), F.lit(1)), "/"), -1)
+    once = named.join(best, [page, "ancestry"]).where("url IS NOT NULL").groupBy(page, "ancestry", "images", stem.alias("stem")).agg(F.min_by("url", "dom_index").alias("url"), F.min("dom_index").alias("dom_index"))
+    return once.withColumn("position", F.row_number().over(Window.partitionBy(page).orderBy("dom_index"))).drop("stem")
+
+
+def class_groups(elements: DataFrame, page: str = "page_id") -> DataFrame:
+    """The groups of elements (page, name, css_class) that share a class: page, css_class, members, and filterable, whether groups may be left
+    out by a judge. An element alone in its class is in no group, and a page with a single group can't be told apart, so nothing is left out."""
+    groups = elements.where("css_class != ''").groupBy(page, "css_class").agg(F.count("*").alias("members")).where("members > 1")
+    return groups.withColumn("filterable", F.count("*").over(Window.partitionBy(page)) > 1)
 
 
 def matching_collection(files: DataFrame, name: str, least: int = 5, confidence: float = 0.6) -> DataFrame:

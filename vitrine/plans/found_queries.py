@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.functions import predicates
-from vitrine.operators import extract, joins, merge, ranking, usage
+from vitrine.operators import extract, joins, looks, merge, ranking, usage
 from vitrine.plans.catalogue_queries import Query, products, table
 from vitrine.plans.record_queries import _LINES, _lines
 from vitrine.shared import shared_path
@@ -176,3 +176,42 @@ def template_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     templates = products(spark, sf_dir).select(F.col("brand_id").alias("domain"), template.alias("template")).distinct()
     found = extract.by_templates(pages, templates, {"title": '[^"]*', "size": r"\d+"})
     return found.select(F.regexp_extract("url", r"item-(\d+)-x", 1).alias("key"), "title", "size")
+
+
+@query(f"""
+SELECT product_id, CASE WHEN product_id % 4 = 0 THEN 'https://b.myshopify.com/graphql' WHEN product_id % 4 = 1 THEN 'https://a.myshopify.com/graphql' WHEN product_id % 4 = 2 THEN 'https://shop-' || product_id || '.myshopify.com/api/2024-01/graphql.json' END AS endpoint,
+  CASE WHEN product_id % 4 = 0 THEN name WHEN product_id % 4 < 3 THEN lpad(product_id::VARCHAR, 32, 'a') END AS token
+FROM {PRODUCTS_SQL}
+""")
+def graph_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By headers of the second request, by an address without a token and the page's script, by the script alone, or not at all."""
+    k = F.col("product_id")
+    request = lambda url, token: F.struct(F.lit(url).alias("url"), F.create_map(F.lit("Accept"), F.lit("*"), F.lit("X-Shopify-Storefront-Access-Token"), token).alias("headers"))
+    bare = lambda url: F.struct(F.lit(url).alias("url"), F.create_map(F.lit("Accept"), F.lit("*")).alias("headers"))
+    requests = F.when(k % 4 == 0, F.array(bare("https://a.myshopify.com/graphql"), request("https://b.myshopify.com/graphql", F.col("name")))).when(k % 4 == 1, F.array(bare("https://x.com/graphql"), bare("https://a.myshopify.com/graphql"))).when(k % 4 == 2, F.array(bare("https://a.myshopify.com/cart")))
+    html = F.when(k % 4 != 3, F.concat(F.lit("<script>var s = 'shop-"), k.cast("string"), F.lit(".myshopify.com', t = {\"storefrontAccessToken\": \""), F.lpad(k.cast("string"), 32, "a"), F.lit("\"}</script>"))).otherwise("<p>none</p>")
+    return extract.graph_endpoint(products(spark, sf_dir).select("product_id", requests.alias("requests"), html.alias("html"))).select("product_id", "endpoint", "token")
+
+
+@query("""
+WITH i AS (SELECT user_id AS page, event_id AS dom, event_type AS ancestry, 'https://x.com/' || event_id || '/' || (event_id % 50) || '.jpg' AS url, event_id % 50 AS stem FROM events),
+c AS (SELECT page, ancestry, count(*) AS n, min(dom) AS f FROM i GROUP BY ALL), b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY page ORDER BY n DESC, f) = 1),
+o AS (SELECT i.*, n FROM i JOIN b USING (page, ancestry) QUALIFY row_number() OVER (PARTITION BY page, stem ORDER BY dom) = 1)
+SELECT page, ancestry, n AS images, url, CAST(row_number() OVER (PARTITION BY page ORDER BY dom) AS INTEGER) AS position FROM o
+""")
+def primary_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The images of each user's commonest ancestry, in page order, each file once."""
+    e = F.col("event_id")
+    url = F.concat(F.lit("https://x.com/"), e.cast("string"), F.lit("/"), (e % 50).cast("string"), F.lit(".jpg"))
+    images = table(spark, sf_dir, "events").select(F.col("user_id").alias("page"), e.alias("dom_index"), F.col("event_type").alias("ancestry"), url.alias("url"))
+    return looks.primary_cluster(images, "page").select("page", "ancestry", "images", "url", "position")
+
+
+@query("""
+WITH g AS (SELECT user_id AS page, event_type AS css_class, count(*) AS members FROM events WHERE event_id % 3 > 0 OR event_type = 'view' GROUP BY ALL HAVING count(*) > 1)
+SELECT *, count(*) OVER (PARTITION BY page) > 1 AS filterable FROM g
+""")
+def class_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements of one class; a third of them, but for one class, has none."""
+    css = F.when((F.col("event_id") % 3 > 0) | (F.col("event_type") == "view"), F.col("event_type"))
+    return looks.class_groups(table(spark, sf_dir, "events").select(F.col("user_id").alias("page"), F.lit("x").alias("name"), css.alias("css_class")), "page")
