@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,11 @@ def positioned(rows: DataFrame, *order: Column, name: str = "position") -> DataF
     return stored.join(F.broadcast(starts), "_part").withColumn(name, place).drop("_part", "_id", "_start")
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), where value is computed once however often body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def least_errors(text: Column, pattern: str, most: int) -> Column:
     """The fewest edits with which the pattern (of 62 characters at most) occurs anywhere in the text, whatever its case; null if it takes
     more than `most`. A bit for each character of the pattern, a word of bits for each number of edits, one step for each character of the
@@ -43,20 +50,24 @@ def least_errors(text: Column, pattern: str, most: int) -> Column:
     masks = F.create_map(*[F.lit(x) for c, m in places.items() for x in (c, m)]).cast("map<string,bigint>")
     end, full = F.lit(1 << (n - 1)).cast("long"), F.lit((1 << n) - 1).cast("long")
 
+    one = F.lit(1).cast("long")
+
     def step(state: Column, c: Column) -> Column:
-        here = F.coalesce(F.try_element_at(masks, c), F.lit(0).cast("long"))
-        rows: list[Column] = []
-        for d in range(most + 1):
-            old = state[f"r{d}"]
-            row = (F.shiftleft(old, 1).bitwiseOR(F.lit(1).cast("long"))).bitwiseAND(here)
-            if d:
-                #: One more character in the text, another one, or one less.
-                row = row.bitwiseOR(state[f"r{d - 1}"]).bitwiseOR(F.shiftleft(state[f"r{d - 1}"], 1)).bitwiseOR(F.shiftleft(rows[-1], 1)).bitwiseOR(F.lit(1).cast("long"))
-            rows.append(row.bitwiseAND(full))
-        best = state["best"]
-        for d in reversed(range(most + 1)):
-            best = F.when(rows[d].bitwiseAND(end) != 0, F.least(best, F.lit(d))).otherwise(best)
-        return F.struct(*(r.alias(f"r{d}") for d, r in enumerate(rows)), best.alias("best"))
+        return _bound(F.coalesce(F.try_element_at(masks, c), F.lit(0).cast("long")), lambda here: rows_from(state, here, []))
+
+    def rows_from(state: Column, here: Column, rows: list[Column]) -> Column:
+        """The words of bits after a character, each bound to a name, as the next one and the outcome use it."""
+        d = len(rows)
+        if d > most:
+            best = state["best"]
+            for k in reversed(range(most + 1)):
+                best = F.when(rows[k].bitwiseAND(end) != 0, F.least(best, F.lit(k))).otherwise(best)
+            return F.struct(*(r.alias(f"r{k}") for k, r in enumerate(rows)), best.alias("best"))
+        row = F.shiftleft(state[f"r{d}"], 1).bitwiseOR(one).bitwiseAND(here)
+        if d:
+            #: One more character in the text; or another one there, or one less, either of which moves on in the pattern.
+            row = row.bitwiseOR(state[f"r{d - 1}"]).bitwiseOR(F.shiftleft(state[f"r{d - 1}"].bitwiseOR(rows[-1]), 1)).bitwiseOR(one)
+        return _bound(row.bitwiseAND(full), lambda r: rows_from(state, here, [*rows, r]))
 
     #: Without any character, d edits leave out the first d.
     start = F.struct(*(F.lit((1 << d) - 1).cast("long").alias(f"r{d}") for d in range(most + 1)), F.lit(n if most >= n else most + 1).alias("best"))
