@@ -168,6 +168,29 @@ def css_escaped(name: Column) -> Column:
     return F.replace(name, F.lit(":"), F.lit("\\:"))
 
 
+#: Parts of class names of galleries, and classes that say nothing.
+GALLERY_CLASSES = ["swiper", "carousel", "gallery", "slider", "splide", "product-media", "product-image", "media-list", "lightbox"]
+UTILITY_CLASSES = ["div", "span", "relative", "flex", "hidden", "w-full", "h-full", "block", "inline", "absolute", "overflow"]
+
+
+def container_signature(path: Column) -> Column:
+    """The four nearest containers of an image, from an array of (tag, cls, id), nearest first: each by its classes, else its id, else its tag."""
+    named = lambda c: F.when(c["cls"] != "", c["cls"]).when(c["id"] != "", F.concat(F.lit("#"), c["id"])).otherwise(c["tag"])
+    return F.array_join(F.transform(F.slice(path, 1, 4), named), " > ")
+
+
+def image_selector(path: Column) -> Column:
+    """A selector for the images of a container: an id among the four nearest, else a class of a gallery among them, else up to two classes of
+    the nearest of three that has any, those that say something first. Null where there is neither id nor class."""
+    near, first = F.slice(path, 1, 4), lambda found: F.get(found, 0)
+    by_id = F.concat(F.lit("#"), first(F.filter(near, lambda c: c["id"] != ""))["id"])
+    of_gallery = first(F.filter(near, lambda c: F.lower(c["cls"]).rlike("|".join(GALLERY_CLASSES))))["cls"]
+    classes = F.split(first(F.filter(F.slice(path, 1, 3), lambda c: c["cls"] != ""))["cls"], r"\.")
+    telling = F.filter(classes, lambda x: (x != "") & ~x.isin(*UTILITY_CLASSES))
+    own = F.array_join(F.slice(F.when(F.size(telling) > 0, telling).otherwise(classes), 1, 2), ".")
+    return F.concat(F.coalesce(by_id, F.concat(F.lit("."), F.split_part(of_gallery, F.lit("."), F.lit(1))), F.concat(F.lit("."), own)), F.lit(" img"))
+
+
 def path_signature(path: Column) -> Column:
     """The first part of an element path that has a class or an id."""
     return F.get(F.filter(F.split(path, " > "), lambda p: p.rlike("[.#]")), F.lit(0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.functions import predicates
+from vitrine.functions import predicates, text
 from vitrine.operators import extract, joins, looks, merge, ranking, usage
 from vitrine.plans.catalogue_queries import Query, products, table
 from vitrine.plans.record_queries import _LINES, _lines
@@ -215,3 +215,18 @@ def class_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elements of one class; a third of them, but for one class, has none."""
     css = F.when((F.col("event_id") % 3 > 0) | (F.col("event_type") == "view"), F.col("event_type"))
     return looks.class_groups(table(spark, sf_dir, "events").select(F.col("user_id").alias("page"), F.lit("x").alias("name"), css.alias("css_class")), "page")
+
+
+@query(f"""
+SELECT product_id, CASE WHEN product_id % 4 = 0 THEN '#g' || product_id WHEN product_id % 4 = 1 THEN '.Product-Media' WHEN product_id % 4 = 2 THEN '.' || replace(name, ' ', '-') || '.big' ELSE '.flex.block' END || ' img' AS selector,
+  CASE WHEN product_id % 4 = 0 THEN 'a > #g' || product_id WHEN product_id % 4 = 1 THEN 'a > relative.x > Product-Media.y' WHEN product_id % 4 = 2 THEN 'a > flex.' || replace(name, ' ', '-') || '.big.red' ELSE 'a > flex.block.hidden' END || ' > ul' AS signature
+FROM {PRODUCTS_SQL}
+""")
+def gallery_selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers with an id, with a gallery's class, with telling classes, and with none that tells anything."""
+    k, part = F.col("product_id"), lambda tag, cls="", id_="": F.struct(F.lit(tag).alias("tag"), (cls if not isinstance(cls, str) else F.lit(cls)).alias("cls"), (id_ if not isinstance(id_, str) else F.lit(id_)).alias("id"))
+    name = F.replace("name", F.lit(" "), F.lit("-"))
+    path = F.when(k % 4 == 0, F.array(part("a"), part("div", "", F.concat(F.lit("g"), k.cast("string"))), part("ul"))).when(k % 4 == 1, F.array(part("a"), part("div", "relative.x"), part("div", "Product-Media.y"), part("ul")))
+    path = path.when(k % 4 == 2, F.array(part("a"), part("div", F.concat(F.lit("flex."), name, F.lit(".big.red"))), part("ul"))).otherwise(F.array(part("a"), part("div", "flex.block.hidden"), part("ul")))
+    rows = products(spark, sf_dir).select("product_id", path.alias("path"))
+    return rows.select("product_id", text.image_selector(F.col("path")).alias("selector"), text.container_signature(F.col("path")).alias("signature"))
