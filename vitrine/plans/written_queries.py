@@ -9,8 +9,8 @@ from vitrine.functions import predicates, text, urls
 from vitrine.operators import catalogue, joins, merge, records, trees
 from vitrine.plans.catalogue_queries import Query, category_nodes, products, table
 from vitrine.shared import shared_path
+from vitrine.sources import brand_folders, sinks
 from vitrine.sources import catalogue as sources
-from vitrine.sources import sinks
 from vitrine.sources.catalogue import NODES_SQL, PRODUCTS_SQL
 from vitrine.streaming import live
 
@@ -37,13 +37,18 @@ def _text(c: str) -> Column:
 _FILES = "(SELECT s_suppkey, s_name AS name, s_acctbal AS price, 'kind=' || (s_nationkey % 3) AS classification, CASE WHEN s_suppkey % 2 = 0 THEN 'acme' ELSE 'nord' END AS brand_id FROM supplier)"
 
 
+def _file() -> Column:
+    """A file's name for each row, whatever its key."""
+    return F.concat(F.lit("p-"), F.monotonically_increasing_id().cast("string"), F.lit(".json"))
+
+
 def _product_files(spark: SparkSession, sf_dir: str) -> str:
     """A JSON file of each supplier, in a folder of its brand and classification."""
-    path = shared_path(spark, "product-files")
-    s = F.col("s_suppkey")
-    for brand, k in (("acme", 0), ("nord", 1)):
-        rows = table(spark, sf_dir, "supplier").where(s % 2 == k).select(F.col("s_name").alias("name"), F.col("s_acctbal").alias("price"), F.array(F.lit("a.jpg")).alias("images"), (F.col("s_nationkey") % 3).alias("kind"))
-        rows.repartition("kind").write.partitionBy("kind").option("maxRecordsPerFile", 1).json(f"{path}/{brand}/products")
+    path, s = shared_path(spark, "product-files"), F.col("s_suppkey")
+    kind = F.coalesce(F.concat(F.lit("/kind="), (F.col("s_nationkey") % 3).cast("string")), F.lit(""))
+    folder = F.concat(F.when(s % 2 == 0, "acme").otherwise("nord"), F.lit("/products"), kind)
+    body = F.to_json(F.struct(F.col("s_name").alias("name"), F.col("s_acctbal").alias("price"), F.array(F.lit("a.jpg")).alias("images")))
+    brand_folders.save_files(table(spark, sf_dir, "supplier").select(folder.alias("brand_id"), _file().alias("file"), body.alias("body")), path)
     return path
 
 

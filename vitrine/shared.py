@@ -33,6 +33,12 @@ def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt by their keys to as many tasks as a shuffle has, for work that is heavy row by row: a small file of many rows is read by
+    one or two tasks. The number is given, so that small partitions aren't put together again."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def read_if_there(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
     """The Parquet table at path, or None if there is no such folder; looked up as Spark sees it, so in any store."""
     try:

@@ -1,4 +1,4 @@
-"""Saved configurations of brands as a data source: a partition for each brand's folder, and one shape for the older and newer files.
+"""Saved configurations of brands as a data source: a partition for some brands' folders, and one shape for the older and newer files.
 
 `<path>/<brand>/config.json` has the strategies that extract a brand's products (older files name one strategy and no fields), and
 `<path>/<brand>/gallery.json` how its images are found (older files have one selector). A filter on brand_id opens those folders alone.
@@ -7,7 +7,9 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator, Sequence
+from itertools import batched
 from typing import Any
 
 import pyarrow as pa
@@ -16,8 +18,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 from pyspark.sql.types import StructType
 
+from vitrine.shared import spread
+
 #: The fields that a strategy may contribute.
 TRACKED_FIELDS = ["name", "price", "currency", "description", "variants", "brand", "sku", "category"]
+#: Partitions of few folders, and the folders that one has at most: a task costs far more than a folder.
+FEW_PARTITIONS, MOST_FOLDERS = 32, 1000
 #: The score of a strategy in an older file, which has none.
 OLD_SCORE = 100.0
 SCHEMA = (
@@ -43,10 +49,10 @@ def one_shape(config: dict[str, Any] | None, gallery: dict[str, Any] | None, bra
     return out
 
 
-class _Folder(InputPartition):
-    def __init__(self, brand: str) -> None:
-        super().__init__(brand)
-        self.brand = brand
+class _Folders(InputPartition):
+    def __init__(self, brands: Sequence[str]) -> None:
+        super().__init__(brands)
+        self.brands = brands
 
 
 class _Reader(DataSourceReader):
@@ -66,17 +72,22 @@ class _Reader(DataSourceReader):
         store, base = fs.FileSystem.from_uri(self.path)
         there = store.get_file_info(fs.FileSelector(base, allow_not_found=True)) if self.wanted is None else [store.get_file_info(f"{base}/{w}") for w in sorted(x for x in self.wanted if x)]
         #: A brand is a folder with at least one of the files; which of them is seen when it is read.
-        return [_Folder(i.base_name) for i in sorted(there, key=lambda i: i.path) if i.type == fs.FileType.Directory]
+        brands = sorted(i.base_name for i in there if i.type == fs.FileType.Directory)
+        return [_Folders(b) for b in batched(brands, min(MOST_FOLDERS, -(-len(brands) // FEW_PARTITIONS)))] if brands else []
 
-    def read(self, partition: _Folder | None) -> Iterator[tuple]:
+    def read(self, partition: _Folders | None) -> Iterator[tuple]:
         if partition is None:  # there are no folders
             return
         store, base = fs.FileSystem.from_uri(self.path)
+        for brand in partition.brands:
+            yield from self._of_brand(store, base, brand)
+
+    def _of_brand(self, store: fs.FileSystem, base: str, brand: str) -> Iterator[tuple]:
         found: list[dict[str, Any] | None] = []
         error = None
         for name in ("config.json", "gallery.json"):
             try:
-                with store.open_input_stream(f"{base}/{partition.brand}/{name}") as f:
+                with store.open_input_stream(f"{base}/{brand}/{name}") as f:
                     found.append(json.loads(f.read()))
             except FileNotFoundError:
                 found.append(None)
@@ -84,7 +95,7 @@ class _Reader(DataSourceReader):
                 found.append(None)
                 error = f"{name}: {type(e).__name__}"
         if error or any(x is not None for x in found):
-            row = one_shape(*(x if isinstance(x, dict) else None for x in found), partition.brand) | {"error": error}
+            row = one_shape(*(x if isinstance(x, dict) else None for x in found), brand) | {"error": error}
             yield tuple(row[c] for c in self.names)
 
 
@@ -110,16 +121,23 @@ def read_brand_folders(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save_files(rows: DataFrame, path: str) -> None:
-    """Writes rows (brand_id, file, body) as <path>/<brand_id>/<file>, each as a whole, by the tasks that hold them."""
+    """Writes rows (brand_id, file, body) as <path>/<brand_id>/<file>, each as a whole; rows are dealt to all tasks. brand_id may be folders in
+    folders. A file comes under its name when it is whole, and a task that runs again writes it again."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(path)
+        made: set[str] = set()
         for batch in batches:
             for r in batch.to_pylist():
-                store.create_dir(f"{base}/{r['brand_id']}", recursive=True)
-                with store.open_output_stream(f"{base}/{r['brand_id']}/.{r['file']}.part") as out:
+                folder = f"{base}/{r['brand_id']}"
+                if folder not in made:
+                    store.create_dir(folder, recursive=True)
+                    made.add(folder)
+                part = f"{folder}/.{r['file']}.{uuid.uuid4().hex}.part"
+                with store.open_output_stream(part) as out:
                     out.write(r["body"].encode())
-                store.move(f"{base}/{r['brand_id']}/.{r['file']}.part", f"{base}/{r['brand_id']}/{r['file']}")
-            yield batch.select(["brand_id"])
+                store.move(part, f"{folder}/{r['file']}")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["files"])
 
-    rows.select("brand_id", "file", "body").mapInArrow(write, "brand_id string").count()
+    rows = spread(rows.select("brand_id", "file", "body"), "brand_id", "file")
+    rows.mapInArrow(write, "files long").agg({"files": "sum"}).collect()
