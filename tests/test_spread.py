@@ -21,3 +21,11 @@ def test_product_files_of_odd_keys(spark, tmp_path) -> None:
     pq.write_table(pa.table(rows, pa.schema([("s_suppkey", pa.int64()), ("s_name", pa.string()), ("s_nationkey", pa.int32()), ("s_acctbal", pa.float64())])), tmp_path / "supplier.parquet")
     found = sorted((r["name"], r["price"], r["images"], r["brand_id"], r["classification"]) for r in written_queries.product_files(spark, str(tmp_path)).collect())
     assert found == [("a", 1.0, 1, "acme", "kind=1"), ("b", 2.0, 1, "acme", "kind=2"), ("c", 3.0, 1, "nord", None), ("d", 4.0, 1, "nord", "kind=2"), ("e", 5.0, 1, "nord", None)]
+
+
+def test_folders_share_partitions(spark) -> None:
+    path = shared_path(spark, "many-folders")
+    brand_folders.save_files(spark.range(0, 200, 1, 1).selectExpr("concat('b', id) AS brand_id", "'config.json' AS file", "'{\"strategy\": \"api\"}' AS body"), path)
+    rows = brand_folders.read_brand_folders(spark, path)
+    assert rows.rdd.getNumPartitions() <= brand_folders.FEW_PARTITIONS
+    assert sorted(r["brand_id"] for r in rows.collect()) == sorted(f"b{i}" for i in range(200))
