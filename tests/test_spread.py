@@ -29,3 +29,13 @@ def test_folders_share_partitions(spark) -> None:
     rows = brand_folders.read_brand_folders(spark, path)
     assert rows.rdd.getNumPartitions() <= brand_folders.FEW_PARTITIONS
     assert sorted(r["brand_id"] for r in rows.collect()) == sorted(f"b{i}" for i in range(200))
+
+
+def test_tolerant_files_are_not_of_four_tasks(spark) -> None:
+    """Every row is a file of its own, written by its task at once, with no side files that a commit moves one by one."""
+    path = shared_path(spark, "small-files")
+    brand_folders.save_files(spark.range(0, 50, 1, 1).selectExpr("'a/b' AS brand_id", "concat(id, '.json') AS file", "'{}' AS body"), path)
+    from pyarrow import fs
+
+    store, base = fs.FileSystem.from_uri(path)
+    assert sorted(i.base_name for i in store.get_file_info(fs.FileSelector(f"{base}/a/b"))) == sorted(f"{i}.json" for i in range(50))

@@ -62,10 +62,10 @@ def product_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tolerant_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Broken files give nulls where the read is tolerant."""
     path = shared_path(spark, "broken-files")
-    good = table(spark, sf_dir, "supplier").select(F.lit('{"name": "good"}').alias("value"))
-    broken = table(spark, sf_dir, "nation").select(F.lit('{"name": "bad').alias("value"))
-    good.unionByName(broken).repartition(4).write.option("maxRecordsPerFile", 1).text(path)
-    rows = sources.read_documents(spark, path, "part-*")
+    good = table(spark, sf_dir, "supplier").select(F.lit("good").alias("brand_id"), _file().alias("file"), F.lit('{"name": "good"}').alias("body"))
+    broken = table(spark, sf_dir, "nation").select(F.lit("broken").alias("brand_id"), _file().alias("file"), F.lit('{"name": "bad').alias("body"))
+    brand_folders.save_files(good.unionByName(broken), path)
+    rows = sources.read_documents(spark, path)
     return rows.groupBy(F.try_variant_get("body", "$.name", "string").alias("said")).agg(F.count("*").alias("files"))
 
 
