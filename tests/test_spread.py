@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
+from pyspark.sql import functions as F
 
+from vitrine import plans
+from vitrine.operators import extract, menus
 from vitrine.plans import written_queries
 from vitrine.shared import shared_path, spread
 from vitrine.sources import brand_folders
@@ -39,3 +43,28 @@ def test_tolerant_files_are_not_of_four_tasks(spark) -> None:
 
     store, base = fs.FileSystem.from_uri(path)
     assert sorted(i.base_name for i in store.get_file_info(fs.FileSelector(f"{base}/a/b"))) == sorted(f"{i}.json" for i in range(50))
+
+
+def test_a_line_goes_without_its_page(spark) -> None:
+    """A line of a snapshot carries the few below it, not all lines of its page."""
+    pages = spark.createDataFrame([(1, '- link "A"\n  - text\n- link:\n\n\n    - /url: /s/b-c\n- link "D"\n\n\n\n  - /url: /no\n- link "E" /url: /e'), (2, None), (3, "")], "doc_id long, snapshot string")
+    found = menus.snapshot_links(pages)
+    plan = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate posexplode" in line]
+    assert plan and "lines#" not in plan[0]
+    assert sorted((r["doc_id"], r["name"], r["url"], r["line_no"]) for r in found.collect()) == [(1, "B C", "/s/b-c", 2), (1, "E", "/e", 11)]
+
+
+@pytest.mark.parametrize("name", ["template_products", "pattern_products", "api_products", "fuzzy_ranking"])
+def test_heavy_rows_are_dealt(spark, name: str) -> None:
+    df = plans.queries()[name](spark, "/root/testdata/sf0.001")
+    assert df.rdd.getNumPartitions() == 4
+    #: Nothing heavy comes before the dealing.
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("aggregate(" in line for line in plan[plan.index("RepartitionByExpression") :].splitlines())
+
+
+def test_api_fields_of_odd_objects(spark) -> None:
+    """An object that is null or no object is passed over; the top comes before objects, objects and names go in their order."""
+    rows = [('{"product": null, "data": {"name": {"value": "n"}}, "item": 3}', "n"), ('{"title": "t", "product": {"name": "p"}}', "t"), ('{"payload": {"title": "x"}, "result": {"displayName": "d"}}', "d"), ("[1]", None), (None, None)]
+    df = spark.createDataFrame(rows, "body string, want string")
+    assert [r["name"] for r in df.select(extract.api_product(F.try_parse_json("body"))["name"].alias("name")).collect()] == [w for _, w in rows]

@@ -12,7 +12,7 @@ from vitrine.plans.record_queries import _LINES, _lines
 from vitrine.shared import shared_path
 from vitrine.sources import brand_folders, listings
 from vitrine.sources import catalogue as sources
-from vitrine.sources.catalogue import PRODUCTS_SQL
+from vitrine.sources.catalogue import PRODUCTS_SQL, dealt_products
 from vitrine.streaming import frames, live
 
 QUERIES: dict[str, Query] = {}
@@ -90,7 +90,7 @@ SELECT product_id, score FROM {PRODUCTS_SQL} JOIN s USING (name, kind)
 """)
 def fuzzy_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A misspelt search over two weighted columns, by the fewest edits with which it occurs in them."""
-    return ranking.fuzzy_ranked(products(spark, sf_dir), "rde wigdet", {"name": 2.0, "kind": 1.0}).select("product_id", "score")
+    return ranking.fuzzy_ranked(dealt_products(spark, sf_dir), "rde wigdet", {"name": 2.0, "kind": 1.0}).select("product_id", "score")
 
 
 @query("""
@@ -124,7 +124,7 @@ def product_field_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     deep = F.struct(F.struct(F.col("name").alias("title"), F.struct(F.col("name").alias("image")).alias("c")).alias("b"))
     item = F.struct(F.col("price").alias("price"), deep.alias("a"), F.lit(1).alias("other"))
     body = F.struct(F.array(F.struct(F.array(item, item).alias("items"))).alias("data"), F.array(F.lit(1)).alias("skuList"), F.array(F.array(F.struct(F.lit(1).alias("color")))).alias("w"))
-    return extract.product_paths(products(spark, sf_dir).select("product_id", F.parse_json(F.to_json(body)).alias("body")), "product_id")
+    return extract.product_paths(dealt_products(spark, sf_dir).select("product_id", F.parse_json(F.to_json(body)).alias("body")), "product_id")
 
 
 @query(f"""
@@ -171,7 +171,7 @@ def template_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("product_id").cast("string")
     own = F.when(F.col("product_id") % 5 > 0, F.concat(F.lit("item_"), k, F.lit(" x"))).otherwise("other")
     html = F.concat(F.lit('<script>[{"slug":"other","title":"No","size":0},  {"slug" : "'), own, F.lit('", "title":  "'), F.col("name"), F.lit('","size":'), F.col("size_no").cast("string"), F.lit("}]</script>"))
-    pages = products(spark, sf_dir).select(F.col("brand_id").alias("domain"), F.concat(F.lit("https://x.example.com/p/item-"), k, F.lit("-x?v=1")).alias("url"), html.alias("html"))
+    pages = dealt_products(spark, sf_dir).select(F.col("brand_id").alias("domain"), F.concat(F.lit("https://x.example.com/p/item-"), k, F.lit("-x?v=1")).alias("url"), html.alias("html"))
     template = F.lit('{ "slug" : "{{SLUG}}" , "title" : "{title}" , "size" : {size} }')
     templates = products(spark, sf_dir).select(F.col("brand_id").alias("domain"), template.alias("template")).distinct()
     found = extract.by_templates(pages, templates, {"title": '[^"]*', "size": r"\d+"})
@@ -190,7 +190,7 @@ def graph_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     bare = lambda url: F.struct(F.lit(url).alias("url"), F.create_map(F.lit("Accept"), F.lit("*")).alias("headers"))
     requests = F.when(k % 4 == 0, F.array(bare("https://a.myshopify.com/graphql"), request("https://b.myshopify.com/graphql", F.col("name")))).when(k % 4 == 1, F.array(bare("https://x.com/graphql"), bare("https://a.myshopify.com/graphql"))).when(k % 4 == 2, F.array(bare("https://a.myshopify.com/cart")))
     html = F.when(k % 4 != 3, F.concat(F.lit("<script>var s = 'shop-"), k.cast("string"), F.lit(".myshopify.com', t = {\"storefrontAccessToken\": \""), F.lpad(k.cast("string"), 32, "a"), F.lit("\"}</script>"))).otherwise("<p>none</p>")
-    return extract.graph_endpoint(products(spark, sf_dir).select("product_id", requests.alias("requests"), html.alias("html"))).select("product_id", "endpoint", "token")
+    return extract.graph_endpoint(dealt_products(spark, sf_dir).select("product_id", requests.alias("requests"), html.alias("html"))).select("product_id", "endpoint", "token")
 
 
 @query("""
@@ -228,5 +228,5 @@ def gallery_selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.replace("name", F.lit(" "), F.lit("-"))
     path = F.when(k % 4 == 0, F.array(part("a"), part("div", "", F.concat(F.lit("g"), k.cast("string"))), part("ul"))).when(k % 4 == 1, F.array(part("a"), part("div", "relative.x"), part("div", "Product-Media.y"), part("ul")))
     path = path.when(k % 4 == 2, F.array(part("a"), part("div", F.concat(F.lit("flex."), name, F.lit(".big.red"))), part("ul"))).otherwise(F.array(part("a"), part("div", "flex.block.hidden"), part("ul")))
-    rows = products(spark, sf_dir).select("product_id", path.alias("path"))
+    rows = dealt_products(spark, sf_dir).select("product_id", path.alias("path"))
     return rows.select("product_id", text.image_selector(F.col("path")).alias("selector"), text.container_signature(F.col("path")).alias("signature"))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from vitrine.shared import spread
+
 #: A product file as it is stored; what a file lacks is null.
 PRODUCT_SCHEMA = "name string, price double, currency string, images array<string>, description string, url string, source_url string, brand string, sku string, category string, variants array<struct<size:string,color:string,sku:string,price:double,available:boolean>>"
 
@@ -34,6 +36,11 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").selectExpr(*[f"{v} AS {k}" for k, v in PRODUCT_COLUMNS.items()])
 
 
+def dealt_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """products for work that is heavy row by row, dealt to all tasks while its rows are narrow: a part file of a million rows is read by one or two."""
+    return spread(products(spark, sf_dir), "product_id")
+
+
 PRODUCTS_SQL = "(SELECT " + ", ".join(f"{v} AS {k}" for k, v in PRODUCT_COLUMNS.items()) + " FROM part)"
 
 #: Colours by the digit of a line; a variant without stock is one that was returned.
