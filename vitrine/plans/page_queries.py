@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vitrine.functions import predicates, text, urls
 from vitrine.operators import extract, menus, records
 from vitrine.plans.catalogue_queries import Query, products, table
-from vitrine.sources.catalogue import PRODUCTS_SQL
+from vitrine.sources.catalogue import PRODUCTS_SQL, dealt_products
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -238,7 +238,7 @@ def text_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
     reply = F.concat(F.lit("Sure!\n"), F.when(_k() % 2 == 0, "```json\n").otherwise(""), F.to_json(F.struct("name", F.when(_k() % 2 == 0, F.col("price")).alias("price"))), F.when(_k() % 2 == 0, "\n```").otherwise(" Done."))
     path = F.concat(F.lit("html > body > div.c"), (_k() % 3).cast("string"), F.lit(" > p#x"))
     said = text.json_object(reply)
-    return products(spark, sf_dir).select(
+    return dealt_products(spark, sf_dir).select(
         "product_id", text.unescaped(escaped).alias("unescaped"), text.css_escaped(F.replace("name", F.lit(" "), F.lit(":"))).alias("css"), text.path_signature(path).alias("signature"),
         F.try_variant_get(said, "$.name", "string").alias("said"), F.try_variant_get(said, "$.price", "double").alias("found"),
     )
@@ -272,7 +272,7 @@ def shop_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     images = F.array(*[F.struct(F.lit(x).alias("src")) for x in ("a.jpg", "b.jpg")])
     body = F.parse_json(_json_of({"product": F.struct(F.col("name").alias("title"), F.col("kind").alias("vendor"), options.alias("options"), images.alias("images"), F.array(variant).alias("variants"))}))
     f = extract.shop_product(F.col("body"))
-    rows = products(spark, sf_dir).select("product_id", body.alias("body")).select("product_id", *[c.alias(k) for k, c in f.items() if k != "description"])
+    rows = dealt_products(spark, sf_dir).select("product_id", body.alias("body")).select("product_id", *[c.alias(k) for k, c in f.items() if k != "description"])
     return rows.select("product_id", "name", "price", "currency", "brand", F.size("images").alias("images"), F.col("variants")[0]["size"].alias("size"), F.col("variants")[0]["available"].alias("available"))
 
 
@@ -282,7 +282,7 @@ def graph_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     low = F.struct(F.struct(F.col("price").cast("string").alias("amount"), F.lit("EUR").alias("currencyCode")).alias("minVariantPrice"))
     body = _json_of({"data": F.struct(F.struct(F.col("name").alias("title"), low.alias("priceRange"), F.struct(F.array(F.struct(node.alias("node"))).alias("edges")).alias("variants")).alias("product"))})
     f = extract.graph_product(F.col("body"))
-    rows = products(spark, sf_dir).select("product_id", F.parse_json(body).alias("body")).select("product_id", *[f[k].alias(k) for k in ("name", "price", "currency", "variants")])
+    rows = dealt_products(spark, sf_dir).select("product_id", F.parse_json(body).alias("body")).select("product_id", *[f[k].alias(k) for k in ("name", "price", "currency", "variants")])
     return rows.select("product_id", "name", "price", "currency", F.col("variants")[0]["size"].alias("size"), F.col("variants")[0]["color"].alias("color"))
 
 
@@ -293,7 +293,7 @@ def linked_data_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     thing = F.struct(F.lit("Thing").alias("@type"), F.lit("no").alias("name"))
     block = F.when(_k() % 4 == 1, F.to_json(product)).when(_k() % 4 == 2, F.to_json(F.array(product))).when(_k() % 4 == 3, _json_of({"@graph": F.array(product)})).otherwise(F.to_json(thing))
     page = F.concat(F.lit("<script type='application/ld+json'>{broken</script><p>x</p><script type=\"application/ld+json\">"), block, F.lit("</script>"))
-    pages = products(spark, sf_dir).select(_k().cast("string").alias("url"), page.alias("html"))
+    pages = dealt_products(spark, sf_dir).select(_k().cast("string").alias("url"), page.alias("html"))
     return extract.linked_data(pages).select("url", "name", "price", "currency", "brand", F.col("variants")[0]["available"].alias("available"))
 
 
@@ -302,13 +302,13 @@ def api_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = _json_of({"title": F.col("name"), "currentPrice": F.struct(F.col("price").alias("value")), "currency": F.when(_k() % 3 == 0, "EUR"), "productId": _k()})
     body = F.when(_k() % 3 == 0, flat).when(_k() % 3 == 1, F.concat(F.lit('{"data": {"product": '), flat, F.lit("}}"))).otherwise(F.concat(F.lit('{"result": '), flat, F.lit("}")))
     f = extract.api_product(F.col("body"))
-    return products(spark, sf_dir).select("product_id", F.parse_json(body).alias("body")).select("product_id", *[f[k].alias(k) for k in ("name", "price", "currency", "sku")])
+    return dealt_products(spark, sf_dir).select("product_id", F.parse_json(body).alias("body")).select("product_id", *[f[k].alias(k) for k in ("name", "price", "currency", "sku")])
 
 
 @query(f"SELECT product_id::VARCHAR AS url, name, CASE WHEN product_id % 2 = 0 THEN kind END AS kind, 'USD' AS currency FROM {PRODUCTS_SQL}")
 def schema_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     first, second = F.lit('{"other": 1}'), _json_of({"p": F.struct(F.array("name").alias("names"), F.when(_k() % 2 == 0, F.col("kind")).alias("kind"))})
-    pages = products(spark, sf_dir).select(F.col("brand_id").alias("domain"), _k().cast("string").alias("url"), F.array(first, second).alias("responses"))
+    pages = dealt_products(spark, sf_dir).select(F.col("brand_id").alias("domain"), _k().cast("string").alias("url"), F.array(first, second).alias("responses"))
     paths = F.create_map(*[F.lit(x) for x in ("name", "[2].p.names[0]", "kind", "p.kind", "currency", "USD")])
     schemas = products(spark, sf_dir).select(F.col("brand_id").alias("domain")).distinct().withColumn("paths", paths)
     return extract.by_schema(pages, schemas, ["name", "kind", "currency"])
@@ -319,7 +319,7 @@ def pattern_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's own script is the one that names its slug; the other script has the same fields."""
     slug = F.concat(F.lit("item-"), _k().cast("string"), F.lit("x"))
     script = F.concat(F.lit("<script>var a = {slug: 'other', title: 'No'}</script><script>var b = {slug: '"), slug, F.lit("', title: '"), F.col("name"), F.when(_k() % 2 == 0, F.concat(F.lit("', size: "), F.col("size_no").cast("string"))).otherwise("', none: 1"), F.lit("}</script>"))
-    pages = products(spark, sf_dir).select(F.col("brand_id").alias("domain"), F.concat(F.lit("https://x.example.com/p/"), slug, F.lit("?v=1")).alias("url"), script.alias("html"))
+    pages = dealt_products(spark, sf_dir).select(F.col("brand_id").alias("domain"), F.concat(F.lit("https://x.example.com/p/"), slug, F.lit("?v=1")).alias("url"), script.alias("html"))
     patterns = products(spark, sf_dir).select(F.col("brand_id").alias("domain")).distinct().withColumn("patterns", F.create_map(*[F.lit(x) for x in ("title", "slug: '{{SLUG}}', title: '([^']*)'", "size", r"size: (\d+)")]))
     found = extract.by_patterns(pages, patterns, ["title", "size"])
     return found.select(F.regexp_extract("url", r"item-(\d+)x", 1).alias("key"), "title", "size")
@@ -343,7 +343,7 @@ def page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two sizes of one image count once, at the first."""
     k = _k().cast("string")
     page = F.concat(F.lit("<img src='img/"), k, F.lit("a_1.jpg'><img data-src='img/"), k, F.lit("a_2.jpg'><img src=\"img/"), k, F.lit("b.png?x=1\"><img data-zoom='img/"), k, F.lit("c-2.webp'><img src='x.svg'>"))
-    return extract.images(products(spark, sf_dir).select(_k().alias("page_id"), page.alias("html")))
+    return extract.images(dealt_products(spark, sf_dir).select(_k().alias("page_id"), page.alias("html")))
 
 
 @query(f"SELECT product_id, 'https://shop.example.com/products/p' || product_id AS product_url, 'https://shop.example.com/' || CASE WHEN product_id % 2 = 0 THEN 'in' ELSE 'before' END || product_id || '.jpg' AS image_url FROM {PRODUCTS_SQL} WHERE product_id % 3 > 0")
@@ -351,7 +351,7 @@ def sample_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = _k().cast("string")
     inside = F.when(_k() % 2 == 0, F.concat(F.lit("<img src='/in"), k, F.lit(".jpg'>"))).otherwise("text")
     page = F.concat(F.lit("<a href='/about'>About</a><img src='/before"), k, F.lit(".jpg'>"), F.when(_k() % 3 > 0, F.concat(F.lit("<a class=x href='/products/p"), k, F.lit("'>"), inside, F.lit("</a><a href='/products/other'><img src='/no.jpg'></a>"))).otherwise(""))
-    pages = products(spark, sf_dir).select("product_id", F.lit("https://shop.example.com/c/all").alias("url"), page.alias("html"))
+    pages = dealt_products(spark, sf_dir).select("product_id", F.lit("https://shop.example.com/c/all").alias("url"), page.alias("html"))
     return records.sample_product(pages, "product_id")
 
 
@@ -364,7 +364,7 @@ def image_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT product_id, unnest(['a', 'b', 'd', 'a[0]', 'b.c', 'a[0].price', 'b.c.deep']) AS path FROM {PRODUCTS_SQL}")
 def response_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.parse_json(_json_of({"a": F.array(F.struct(F.col("price").alias("price")), F.struct(F.col("price").alias("price"))), "b": F.struct(F.struct(F.col("name").alias("deep")).alias("c")), "d": F.col("name")}))
-    return extract.keys_of(products(spark, sf_dir).select("product_id", body.alias("body")), "product_id").select("product_id", "path")
+    return extract.keys_of(dealt_products(spark, sf_dir).select("product_id", body.alias("body")), "product_id").select("product_id", "path")
 
 
 # Small sources
