@@ -105,11 +105,15 @@ def meta_fields(html: Column) -> dict[str, Column]:
 def api_product(body: Column) -> dict[str, Column]:
     """Fields of any API response: each by its names, at the top or in one of the usual objects; an object's name or value stands for it."""
 
-    def field(name: str, kind: str = "string") -> Column:
-        paths = [f"$.{o}.{a}" if o else f"$.{a}" for o in ["", *OBJECTS] for a in ALIASES[name]]
-        tries = [get(body, p + end) for p in paths for end in ("", ".name", ".value", ".amount")]
-        plain = [F.when(~t.startswith("{") & ~t.startswith("["), t) for t in tries]
-        return F.coalesce(*plain)
+    #: The objects that are there, so that names aren't looked for in the others.
+    objects = F.filter(F.array(body, *[get(body, f"$.{o}", "variant") for o in OBJECTS]), lambda o: o.isNotNull())
+
+    def field(name: str) -> Column:
+        def first(found: Column, o: Column) -> Column:
+            tries = [get(o, f"$.{a}{end}") for a in ALIASES[name] for end in ("", ".name", ".value", ".amount")]
+            return F.coalesce(found, *[F.when(~t.startswith("{") & ~t.startswith("["), t) for t in tries])
+
+        return F.aggregate(objects, F.lit(None).cast("string"), first)
 
     return {k: text.price(field(k)) if k == "price" else field(k) for k in ALIASES}
 
