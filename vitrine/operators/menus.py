@@ -23,9 +23,11 @@ def snapshot_links(pages: DataFrame, key: str = "doc_id", text: str = "snapshot"
     """Links of snapshots: key, name, url, line_no. The URL is on the link's line or on one of the next three, before another element; a link
     without a name has one from its URL; of equal names in a page the later counts."""
     array = F.split(text, "\n")
-    lines = pages.select(key, array.alias("lines"), F.posexplode(array).alias("line_no", "line"))
+    #: A line goes with the few below it alone: with all lines of its page, rows would grow with the square of a page's length.
+    below = [f"_below{k}" for k in range(1, URL_LINES + 1)]
+    lines = pages.select(key, F.posexplode(F.arrays_zip(array.alias("line"), *[F.slice(array, k + 1, F.size(array)).alias(b) for k, b in enumerate(below, 1)])).alias("line_no", "at")).select(key, "line_no", "at.*")
     lines = lines.where(F.col("line").rlike('- link "[^"]+"') | F.col("line").rlike(r"- link:\s*$"))
-    after = F.slice("lines", F.col("line_no") + 2, URL_LINES)
+    after = F.array(*below)
     url = lambda line: extract(line, r"/url:\s*(\S+)")
     stops = lambda line: line.rlike(r"^\s*-\s+(link|button|tab|img|text|listitem|menu)")
     #: The first line below that has a URL or is another element decides.
