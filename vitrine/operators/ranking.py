@@ -81,6 +81,9 @@ def fuzzy_ranked(rows: DataFrame, pattern: str, weights: dict[str, float], thres
     1 - errors / length over all columns, those without a match counting 0. Rows that match nowhere are left out, not ranked last."""
     most = int(threshold * len(pattern))
     named = {c: f"_errors{i}" for i, c in enumerate(weights)}
-    found = rows.withColumns({v: least_errors(F.col(c), pattern, most) for c, v in named.items()})
+    #: An array of one or no struct, as a filter on the errors would be worked out before the rows are dealt, and once more after it.
+    errors = F.struct(*(least_errors(F.col(c), pattern, most).alias(v) for c, v in named.items()))
+    some = lambda e: F.coalesce(*(e[v] for v in named.values())).isNotNull()
+    found = rows.select("*", F.inline(F.filter(F.array(errors), some)))
     score = sum((w * F.coalesce(1 - F.col(named[c]) / len(pattern), F.lit(0.0)) for c, w in weights.items()), F.lit(0.0)) / sum(weights.values())
-    return found.where(F.coalesce(*(F.col(v) for v in named.values())).isNotNull()).withColumn("score", score).drop(*named.values())
+    return found.withColumn("score", score).drop(*named.values())
