@@ -11,7 +11,7 @@ from vitrine import plans
 from vitrine.operators import extract, menus
 from vitrine.plans import written_queries
 from vitrine.shared import shared_path, spread
-from vitrine.sources import brand_folders
+from vitrine.sources import brand_folders, sinks
 
 
 def test_spread(spark) -> None:
@@ -68,3 +68,20 @@ def test_api_fields_of_odd_objects(spark) -> None:
     rows = [('{"product": null, "data": {"name": {"value": "n"}}, "item": 3}', "n"), ('{"title": "t", "product": {"name": "p"}}', "t"), ('{"payload": {"title": "x"}, "result": {"displayName": "d"}}', "d"), ("[1]", None), (None, None)]
     df = spark.createDataFrame(rows, "body string, want string")
     assert [r["name"] for r in df.select(extract.api_product(F.try_parse_json("body"))["name"].alias("name")).collect()] == [w for _, w in rows]
+
+
+@pytest.mark.parametrize("name", ["subtree_products", "favourite_writes"])
+def test_sets_stay_dealt(spark, name: str) -> None:
+    """Every dealing of whole sets is of a given number of tasks."""
+    df = plans.queries()[name](spark, "/root/testdata/sf0.001")
+    assert "REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_insert_unique_is_one_aggregation(spark) -> None:
+    """Null keys are equal; other columns come with the row that is inserted; nothing is joined."""
+    old = spark.createDataFrame([(1, None, "a"), (2, "x", "b")], "k int, l string, v string")
+    new = spark.createDataFrame([(1, None, "c"), (None, "x", "d"), (None, "x", "d"), (3, "y", None)], "k int, l string, v string")
+    rows, outcome = sinks.insert_unique(old, new, ["k", "l"])
+    assert "Join" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in rows.collect()} == {(1, None, "a"), (2, "x", "b"), (None, "x", "d"), (3, "y", None)} and rows.count() == 4
+    assert {tuple(r) for r in outcome.collect()} == {(1, None, False), (None, "x", True), (3, "y", True)} and outcome.count() == 3

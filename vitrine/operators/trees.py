@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrine.functions.predicates import is_all_category, is_homepage
-from vitrine.shared import staged
+from vitrine.shared import spread, staged
 
 
 def closure(nodes: DataFrame) -> DataFrame:
@@ -60,7 +60,10 @@ def counts(nodes: DataFrame) -> DataFrame:
 
 def subtree_products(nodes: DataFrame, listed: DataFrame) -> DataFrame:
     """Per node, the distinct products of its subtree; listed has (node_id, product_id). Nodes without any are left out."""
-    return closure(nodes).join(listed.select("node_id", "product_id").distinct(), "node_id").groupBy(F.col("ancestor_id").alias("node_id")).agg(F.count_distinct("product_id").alias("products"))
+    #: Both dealings are of a given number, as tasks that hold whole sets of pairs would be put together by how small these are when packed.
+    pairs = spread(listed.select("node_id", "product_id"), "node_id").distinct()
+    above = closure(nodes).join(pairs, "node_id").where("product_id IS NOT NULL").select(F.col("ancestor_id").alias("node_id"), "product_id")
+    return spread(above, "node_id", "product_id").distinct().groupBy("node_id").agg(F.count("*").alias("products"))
 
 
 def pruned(nodes: DataFrame, listed: DataFrame) -> DataFrame:

@@ -300,7 +300,9 @@ def tree_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_CLOSURE + f" SELECT ancestor_id AS node_id, count(DISTINCT product_id) AS products FROM up JOIN {BRIDGE_SQL} b USING (node_id) GROUP BY ancestor_id")
 def subtree_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trees.subtree_products(category_nodes(spark, sf_dir), category_products(spark, sf_dir))
+    #: The lines as they are: the operator takes each product of a category once.
+    lines = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("node_id"), F.col("l_partkey").alias("product_id"))
+    return trees.subtree_products(category_nodes(spark, sf_dir), lines)
 
 
 @query(_CLOSURE + f" SELECT node_id, name FROM nodes WHERE node_id IN (SELECT ancestor_id FROM up WHERE node_id IN (SELECT node_id FROM {BRIDGE_SQL} WHERE node_id LIKE '%1'))")
