@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vitrine.functions import predicates, text, urls
 from vitrine.operators import catalogue, joins, merge, records, trees
 from vitrine.plans.catalogue_queries import Query, category_nodes, products, table
-from vitrine.shared import shared_path
+from vitrine.shared import shared_path, spread
 from vitrine.sources import brand_folders, sinks
 from vitrine.sources import catalogue as sources
 from vitrine.sources.catalogue import NODES_SQL, PRODUCTS_SQL
@@ -129,11 +129,16 @@ WITH o AS (SELECT DISTINCT o_custkey AS season, o_orderpriority AS look FROM ord
 SELECT season, look, (season, look) NOT IN (SELECT (season, look) FROM o) AS inserted, season % 3 = 0 AS deleted FROM n
 """)
 def favourite_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("season"), F.col("o_orderpriority").alias("look"), (F.col("o_orderkey") % 2).alias("new"))
+    """The table after the insertion is written, and deleted from as it is read."""
+    rows = spread(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("season"), F.col("o_orderpriority").alias("look"), (F.col("o_orderkey") % 2).alias("new")), "season", "look")
     old, new = rows.where("new = 0").select("season", "look").distinct(), rows.where("new = 1").select("season", "look")
     after, outcome = sinks.insert_unique(old, new, ["season", "look"])
-    left = sinks.delete(after, after.where("season % 3 = 0"), ["season", "look"]).withColumn("kept", F.lit(True))
-    return outcome.join(left, ["season", "look"], "left").select("season", "look", "inserted", F.col("kept").isNull().alias("deleted"))
+    after = spread(spark.read.parquet(sinks.replace_table(spark, after, shared_path(spark, "favourites"))), "season", "look")
+    left = sinks.delete(after, after.where("season % 3 = 0"), ["season", "look"])
+    #: What came and isn't left any more was deleted.
+    both = outcome.withColumn("kept", F.lit(False)).unionByName(left.withColumn("kept", F.lit(True)), allowMissingColumns=True)
+    came = both.groupBy("season", "look").agg(F.max("inserted").alias("inserted"), (~F.bool_or("kept")).alias("deleted"))
+    return came.where("inserted IS NOT NULL").select("season", "look", "inserted", "deleted")
 
 
 @query("SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'noted' ELSE c_name END AS note, c_acctbal AS balance FROM customer")

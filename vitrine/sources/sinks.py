@@ -38,10 +38,14 @@ def with_stage(metrics: DataFrame, stage: str, values: DataFrame) -> DataFrame:
 
 
 def insert_unique(rows: DataFrame, new: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(rows with the new ones whose key is free, new with inserted). Of new rows of one key, one is inserted."""
-    free = new.dropDuplicates(key).join(rows.select(*key), key, "left_anti")
-    outcome = new.select(*key).distinct().join(free.select(*key).withColumn("inserted", F.lit(True)), key, "left").withColumn("inserted", F.coalesce("inserted", F.lit(False)))
-    return rows.unionByName(free), outcome
+    """(rows with the new ones whose key is free, new with inserted). Of new rows of one key, one is inserted. One aggregation over the keys of
+    both says so; nulls in keys are equal."""
+    rest = [c for c in new.columns if c not in key]
+    given = new.select(*key, F.lit(True).alias("_new"), *([F.struct(*rest).alias("_row")] if rest else []))
+    both = rows.select(*key, F.lit(False).alias("_new")).unionByName(given, allowMissingColumns=True)
+    one = [F.first("_row", ignorenulls=True).alias("_row")] if rest else []
+    came = both.groupBy(*key).agg(F.bool_or("_new").alias("_new"), F.bool_and("_new").alias("inserted"), *one).where("_new")
+    return rows.unionByName(came.where("inserted").select(*key, *(["_row.*"] if rest else []))), came.select(*key, "inserted")
 
 
 def delete(rows: DataFrame, gone: DataFrame, key: list[str]) -> DataFrame:
