@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -12,6 +13,7 @@ from vitrine.operators import extract, menus
 from vitrine.plans import written_queries
 from vitrine.shared import shared_path, spread
 from vitrine.sources import brand_folders, sinks
+from vitrine.streaming import rates
 
 
 def test_spread(spark) -> None:
@@ -85,3 +87,15 @@ def test_insert_unique_is_one_aggregation(spark) -> None:
     assert "Join" not in rows._jdf.queryExecution().optimizedPlan().toString()
     assert {tuple(r) for r in rows.collect()} == {(1, None, "a"), (2, "x", "b"), (None, "x", "d"), (3, "y", None)} and rows.count() == 4
     assert {tuple(r) for r in outcome.collect()} == {(1, None, False), (None, "x", True), (3, "y", True)} and outcome.count() == 3
+
+
+def test_a_site_goes_out_in_blocks() -> None:
+    """Rows of a site come in any order and go out in order, in blocks, by one limiter."""
+    n = 2 * rates.BLOCK + 5
+    whole = pd.DataFrame({"site": "s", "event_id": range(n), "ts": pd.Timestamp("2024-01-01") + pd.to_timedelta([i // 2 * 100 for i in range(n)], unit="ms"), "status": [rates.REFUSED if i % 97 == 0 else 200 for i in range(n)], "retry_after": [2.0 if i % 3 == 0 else None for i in range(n)]})
+    mixed = whole.sample(frac=1, random_state=1)
+    blocks = list(rates._advance(rates.Limiter(), "s", iter([mixed[:7000], mixed[7000:]])))
+    assert [len(b) for b in blocks] == [rates.BLOCK, rates.BLOCK, 5]
+    one, got = rates.Limiter(), pd.concat(blocks)
+    want = [(i, one.step(t.timestamp(), s, None if pd.isna(r) else r), one.rate, one.tokens) for i, t, s, r in zip(whole["event_id"], whole["ts"], whole["status"], whole["retry_after"], strict=True)]
+    assert [tuple(r) for r in got[["event_id", "wait", "rate", "tokens"]].itertuples(index=False)] == want and list(got["ts"]) == list(whole["ts"])

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from dataclasses import asdict, dataclass, fields
 from typing import Any
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -19,6 +20,9 @@ RAMP_EVERY, CALM, RAMP_SUCCESSES = 5.0, 10.0, 10
 MOST_TOKENS_AFTER_REFUSAL = 3.0
 FORCED_AFTER = 60.0
 REFUSED = 429
+#: Rows that go out at once, and the numbers that a row is held as until then.
+BLOCK = 10_000
+_NUMBERS = {"ts": "datetime64[us]", "retry_after": "float64"}
 OUT = "site string, event_id long, ts timestamp, status int, rate double, tokens double, wait double"
 STATE = "tokens double, rate double, last double, window double, refused double, ramped double, successes long, paused double"
 
@@ -59,15 +63,6 @@ class Limiter:
         return start + wait - now
 
 
-def _advance(limiter: Limiter, rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["ts", "event_id"])
-    out = []
-    for ts, status, retry in zip(rows["ts"], rows["status"], rows["retry_after"], strict=True):
-        wait = limiter.step(ts.timestamp(), int(status), None if pd.isna(retry) else float(retry))
-        out.append((limiter.rate, limiter.tokens, wait))
-    return rows[["site", "event_id", "ts", "status"]].assign(**dict(zip(("rate", "tokens", "wait"), map(list, zip(*out, strict=True)), strict=True)))
-
-
 def limited(outcomes: DataFrame) -> DataFrame:
     """outcomes (site, event_id, ts, status, retry_after) with the rate, tokens and wait after each, in order of event time within a site.
 
@@ -96,9 +91,27 @@ def limited(outcomes: DataFrame) -> DataFrame:
 
 def _stateful(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     limiter = Limiter(**dict(zip((f.name for f in fields(Limiter)), state.get, strict=True))) if state.exists else Limiter()
-    out = _advance(limiter, pd.concat(list(batches)))
+    for out in _advance(limiter, key[0], batches):
+        yield out
     state.update(tuple(asdict(limiter).values()))
-    yield out
+
+
+def _advance(limiter: Limiter, site: str, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A site's rows of one batch come in any order, so they are held while they are put in order, as plain numbers alone; what is said of them
+    goes out in blocks."""
+    parts: dict[str, list[np.ndarray]] = {c: [] for c in ("ts", "event_id", "status", "retry_after")}
+    for rows in batches:
+        for c, held in parts.items():
+            held.append(rows[c].to_numpy(dtype=_NUMBERS.get(c)))
+    ts, ids, status, retry = (np.concatenate(parts.pop(c)) for c in list(parts))
+    order = np.lexsort((ids, ts))
+    for at in range(0, len(order), BLOCK):
+        take = order[at : at + BLOCK]
+        out = np.empty((len(take), 3))
+        for i, (now, said, after) in enumerate(zip(ts[take].astype("int64").tolist(), status[take].tolist(), retry[take].tolist(), strict=True)):
+            wait = limiter.step(now / 1e6, int(said), None if after != after else after)
+            out[i] = limiter.rate, limiter.tokens, wait
+        yield pd.DataFrame({"site": site, "event_id": ids[take], "ts": ts[take], "status": status[take], "rate": out[:, 0], "tokens": out[:, 1], "wait": out[:, 2]})
 
 
 def statistics(outcomes: DataFrame, width: str = "1 hour") -> DataFrame:
