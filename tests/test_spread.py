@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from vitrine import plans
@@ -13,7 +16,7 @@ from vitrine.operators import extract, menus
 from vitrine.plans import written_queries
 from vitrine.shared import shared_path, spread
 from vitrine.sources import brand_folders, sinks
-from vitrine.streaming import rates
+from vitrine.streaming import rates, state
 
 
 def test_spread(spark) -> None:
@@ -99,3 +102,12 @@ def test_a_site_goes_out_in_blocks() -> None:
     one, got = rates.Limiter(), pd.concat(blocks)
     want = [(i, one.step(t.timestamp(), s, None if pd.isna(r) else r), one.rate, one.tokens) for i, t, s, r in zip(whole["event_id"], whole["ts"], whole["status"], whole["retry_after"], strict=True)]
     assert [tuple(r) for r in got[["event_id", "wait", "rate", "tokens"]].itertuples(index=False)] == want and list(got["ts"]) == list(whole["ts"])
+
+
+def test_a_barrier_looks_at_what_waits_once() -> None:
+    """Not once a row: each look is a call to the state store."""
+    barrier, looks = state._Barrier(2, None), []
+    barrier.config = SimpleNamespace(get=lambda: ("1,2", 3.0))
+    barrier.waiting = SimpleNamespace(exists=lambda: looks.append(1) or False)
+    rows = [Row(key="k", item=i, discovery=False, value=1.0) for i in range(5)]
+    assert [r["item"] for r in barrier.handleInputRows(("k",), iter(rows), None)] == list(range(5)) and len(looks) == 1

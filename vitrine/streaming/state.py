@@ -100,7 +100,7 @@ class _Barrier(StatefulProcessor):
         self.waiting = handle.getListState("waiting", "item long")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
-        config, held = self.config.get(), []
+        config, held, released = self.config.get(), [], False
         for r in sorted(rows, key=lambda r: r["item"]):
             if config is None and r["discovery"]:
                 self.found.updateValue((r["item"],), (r["value"],))
@@ -113,9 +113,12 @@ class _Barrier(StatefulProcessor):
             if config is None:
                 held.append((r["item"],))
                 continue
-            yield from self._released(key, config)
+            #: Once for all rows: each look at the state is a call to the store.
+            if not released:
+                yield from self._released(key, config)
+                released = True
             yield Row(key=key[0], item=r["item"], taught_by=config[0], config=config[1])
-        if held and self.config.get() is None:
+        if held and config is None:
             self.waiting.appendList(held)
             if self.wait_ms and not list(self.handle.listTimers()):
                 self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_ms)
